@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from textloom.llm import canonical, sentences
+from textloom.llm import canonical, packing, sentences
 
 QUERIES = {
     "p2_found": sentences.p2_found,
     "p3_found": canonical.p3_found,
     "p3_canonical_bodies": canonical.p3_canonical_bodies,
+    "p6_packed": packing.p6_packed,
+    "p6_fill": packing.p6_fill,
 }
 ORACLES: dict[str, str] = {}
