@@ -23,7 +23,7 @@ from textloom.sources.tables import table
 TOKENIZER = os.environ.get("TEXTLOOM_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 #: How byte-level BPE vocabularies of this kind cut text before merging.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-RANK_BUCKETS = 64
+RANK_BUCKETS = 16
 
 
 @lru_cache(2)

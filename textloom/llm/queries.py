@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from textloom.llm import canonical, packing, sentences
+from textloom.llm import canonical, leakage, packing, sentences
 
 QUERIES = {
     "p2_found": sentences.p2_found,
@@ -10,5 +10,7 @@ QUERIES = {
     "p3_canonical_bodies": canonical.p3_canonical_bodies,
     "p6_packed": packing.p6_packed,
     "p6_fill": packing.p6_fill,
+    "p7_found": leakage.p7_found,
+    "p7_clean_documents": leakage.p7_clean_documents,
 }
 ORACLES: dict[str, str] = {}
