@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from textloom.llm import canonical, leakage, packing, sentences
+from textloom.llm import alignment, canonical, leakage, packing, scans, sentences
 
 QUERIES = {
+    "p1_found": alignment.p1_found,
+    "p1_scored": alignment.p1_scored,
     "p2_found": sentences.p2_found,
     "p3_found": canonical.p3_found,
     "p3_canonical_bodies": canonical.p3_canonical_bodies,
+    "p4_found": scans.p4_found,
+    "p4_paragraphs": scans.p4_paragraphs,
     "p6_packed": packing.p6_packed,
     "p6_fill": packing.p6_fill,
     "p7_found": leakage.p7_found,
