@@ -31,7 +31,11 @@ class Boosted:
         return best
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> Boosted:
-        self.edges = [np.unique(np.quantile(x[:, k], np.linspace(0, 1, self.bins + 1)[1:-1])) for k in range(x.shape[1])]
+        self.edges = []
+        for col in x.T:  # quantiles, and a cut just over the least value however many share it
+            over = col[col > col.min()]
+            least = [(col.min() + over.min()) / 2] if len(over) else []
+            self.edges.append(np.unique(np.concatenate([np.quantile(col, np.linspace(0, 1, self.bins)[1:-1]), least])))
         b, f = self._binned(x), np.zeros(len(x))
         mean = min(max(y.mean(), 1e-3), 1 - 1e-3)
         self.base = float(np.log(mean / (1 - mean)))

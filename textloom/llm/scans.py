@@ -149,7 +149,7 @@ def _plain(token: str) -> str:
     return re.sub(r"^[^\w|]+|[^\w|]+$", "", token.lower())
 
 
-WORD_FEATURES = ["edit", "folded_edit", "length", "count", "own", "first", "last", "strange", "share"]
+WORD_FEATURES = ["edit", "folded_edit", "length", "count", "often", "first", "last", "strange", "share"]
 
 
 def _distance(a: str, b: str) -> int:
@@ -166,7 +166,7 @@ def word_features(w: str, c: str, count: float, own: float) -> list[float]:
     a, b = skeleton(w), skeleton(c)
     ga, gb = {a[k : k + 2] for k in range(len(a) - 1)}, {b[k : k + 2] for k in range(len(b) - 1)}
     strange = bool(re.search(r"[\d|ſ]|[^\w-]", w))
-    return [_distance(w, c) / max(len(c), 1), _distance(a, b) / max(len(b), 1), float(len(w) - len(c)), np.log1p(count), np.log1p(own), float(w[:1] == c[:1]), float(w[-1:] == c[-1:]), float(strange), len(ga & gb) / max(len(ga | gb), 1)]
+    return [_distance(w, c) / max(len(c), 1), _distance(a, b) / max(len(b), 1), float(len(w) - len(c)), np.log1p(count), np.log1p(own) - np.log1p(count), float(w[:1] == c[:1]), float(w[-1:] == c[-1:]), float(strange), len(ga & gb) / max(len(ga | gb), 1)]
 
 
 def spoiled(w: str, rng: np.random.Generator) -> str:
@@ -195,6 +195,8 @@ def ranking_model(words: list[tuple[str, int]]) -> Boosted:
         for g in {f"^{s}$"[j : j + 2] for j in range(len(s) + 1)}:
             grams.setdefault(g, []).append(k)
 
+    often = 20 * np.median(list(count.values())) if count else 0
+
     def near(w: str, out: str | None) -> list[str]:
         s = skeleton(w)
         hits: dict[int, int] = {}
@@ -207,9 +209,11 @@ def ranking_model(words: list[tuple[str, int]]) -> Boosted:
     for w in names:
         if len(w) < 3:
             continue
-        bad = spoiled(w, rng)
-        if bad not in known:
-            own = float(rng.integers(1, 4)) if rng.random() < 0.7 else float(rng.integers(1, 300))
+        for _ in range(6 if len(w) <= 4 or count[w] >= often else 1):
+            bad = spoiled(w, rng)
+            if bad in known or bad == w:
+                continue
+            own = 1.0 + rng.poisson(count[w] * rng.random() * 0.02)  # a spoiled form is rare beside its original
             x.append(word_features(bad, w, count[w], own))
             y.append(1)
             for c in near(bad, w):
@@ -218,7 +222,7 @@ def ranking_model(words: list[tuple[str, int]]) -> Boosted:
                     y.append(0)
         for c in near(w, None):  # the word itself, as if it were not in the lexicon
             if skeleton(c) != skeleton(w):
-                x.append(word_features(w, c, count[c], float(rng.integers(1, 20))))
+                x.append(word_features(w, c, count[c], float(count[w] if rng.random() < 0.7 else rng.integers(1, 4))))
                 y.append(0)
     return Boosted(trees=60).fit(np.array(x), np.array(y, float)) if x else Boosted()
 
@@ -303,6 +307,9 @@ def scan_findings(segments: DataFrame, clean: DataFrame) -> dict[str, DataFrame]
     lexicon = written(tokens_of_clean.groupBy("w").agg(F.count("*").alias("count")), "lexicon")
     sample = [(r[0], r[1]) for r in lexicon.filter(f"count >= {TRUSTED} and w rlike '^[a-z]+$'").orderBy(F.xxhash64("w")).limit(SAMPLE).collect()]
 
+    frequent = lexicon.filter("w rlike '^[a-z]+$'").orderBy(F.desc("count"), "w").limit(SAMPLE // 5).collect()
+    sample = sorted(set(sample) | {(r[0], r[1]) for r in frequent if r[1] >= TRUSTED})
+
     sampled = rows.orderBy(F.xxhash64(*KEY)).limit(SAMPLE // 10).select("work_id", "raw").collect()
     titles = sorted({re.sub(r"-", " ", r[0]) for r in sampled})
     texts = sorted({x for r in sampled for x in r[1].split("\n") if len(x) > 25 and re.search(r"[a-z]{3}.*[a-z]{3}", x)})
