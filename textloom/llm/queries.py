@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from textloom.llm import alignment, canonical, leakage, packing, scans, sentences
+from textloom.llm import alignment, canonical, leakage, packing, private, scans, sentences
 
 QUERIES = {
     "p1_found": alignment.p1_found,
@@ -16,5 +16,7 @@ QUERIES = {
     "p6_fill": packing.p6_fill,
     "p7_found": leakage.p7_found,
     "p7_clean_documents": leakage.p7_clean_documents,
+    "p8_found": private.p8_found,
+    "p8_redacted": private.p8_redacted,
 }
 ORACLES: dict[str, str] = {}

@@ -35,7 +35,7 @@ CONFUSED = [
     ("u", "n"), ("n", "u"), ("s", "ſ"), ("w", "vv"), ("d", "cl"), ("n", "ii"), ("a", "o"), ("o", "c"), ("rn", "m"), ("i", "1"), ("I", "l"), ("g", "q"), ("y", "v"), ("s", "5"), ("b", "6"), ("ri", "n"), ("e", "o"), ("in", "m"), ("t", "7"), ("i", "!"),
 ]
 _FOLD_MANY = [("rn", "m"), ("in", "m"), ("vv", "w"), ("cl", "d"), ("li", "h"), ("ii", "n"), ("ri", "n")]
-_FOLD_ONE = str.maketrans("ſ0|1!lie5bhunvyqft67", "soiiiiicshhnnvvgttht")
+_FOLD_ONE = str.maketrans("ſ0o|1!lie5bhunvyqft67", "scciiiiicshhnnvvgttht")
 _PAGE = re.compile(r"[\W_]*(?:(?:p|pp|page|pag)\.?\s*)?(?:[\dOolIS|Q]*\d[\dOolIS|Q]*|[ivxlcdm]+|[OolI|]{1,4})[\W_]*", re.I)
 _ROMAN = r"[IVXLCivxlc1|]+"
 _NUMBER = re.compile(r"[\dOolI|S]*\d[\dOolI|S]*")
