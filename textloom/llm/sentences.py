@@ -34,20 +34,48 @@ ABBREVIATIONS = [
     "עי.", "וכו'.", "पृ.", "उदा.", "इत्यादि...", "ityādi...",
 ]
 
-_DOTTED = "|".join(r"(?<![^\W\d_])" + f"[{INVISIBLE}]*".join(r"\s+" if c == " " else re.escape(c) for c in a) for a in sorted({f for a in ABBREVIATIONS for f in (a, unicodedata.normalize("NFD", a))}, key=len, reverse=True))
 _MARKS = "̀-ͯ֐-׿ऀ-ॣ"
 _GAP = rf"[\s{INVISIBLE}]"
 _QUOTE = "".join(a + b for a, b in PAIRS)
+# Only these characters can begin an event; what a dot means is looked up in the word in front of it.
 EVENT = re.compile(
-    rf"(?P<verse>॥[\s{INVISIBLE}]*[\d०-९]{{1,6}}[\s{INVISIBLE}]*॥|॥)"
-    rf"|(?P<skip>{_DOTTED}|(?<![\w{_MARKS}])[A-ZΑ-Ωἀ-Ὧ][̀-ͯ]?h?\.(?={_GAP}+\S)|\.{{2,}}|…+|\d+\.(?=\d)|[A-Za-z]\.(?=[A-Za-z]\.))"
-    rf"|(?P<number>(?<![\w.])\d{{1,4}}\.(?={_GAP}))"
-    rf"|(?P<full>[。！？｡!?׃।]+|[|](?![^\s])|[|](?={_GAP})|\.(?=$|[{INVISIBLE}]*(?:[\s{CLOSERS})\]]|$))|．|[;;](?<=[Ͱ-Ͽἀ-῿̀-ͯ].)|[;;](?<=[Ͱ-Ͽἀ-῿̀-ͯ][{INVISIBLE}].))"
-    rf"|(?P<quote>[{_QUOTE}])"
-    r"|(?P<line>\n)|(?P<wide>　+)|(?P<part>[也矣焉哉耳乎])"
+    rf"(?P<verse>॥(?:[\s{INVISIBLE}]*[\d०-९]{{1,6}}[\s{INVISIBLE}]*॥)?)"
+    rf"|(?P<quote>[{_QUOTE}])|(?P<dot>[.．]+)|(?P<full>[。！？｡!?׃।|]+)|(?P<semi>[;\u037e])|(?P<line>\n)|(?P<wide>　+)|(?P<part>[也矣焉哉耳乎])"
 )
-HAS_END = re.compile(r"[。！？｡．!?׃।॥|;;]|[^.\s]\.(?:[\s”’»\"')\]]|$)")
-_AFTER = re.compile(r"\S\S[.;?!]\s+(?:\(\S+\) )?([^\W\d_])")
+_SHORT = {re.sub(rf"[{INVISIBLE}]", "", f) for a in ABBREVIATIONS for w in a.split(" ") for f in (w, unicodedata.normalize("NFD", w))}
+_INITIAL = re.compile(r"(?:[A-Za-zΑ-Ωα-ωἀ-ὧ][̀-ͯ]?|[A-Z]h)\.")
+_ORDINAL = re.compile(r"\d{1,4}\.")
+_ORDINAL_DIGITS = re.compile(r"\d+$")
+_HIDDEN_RE = re.compile(f"[{INVISIBLE}]+")
+_LEADS = "(([{“„«‘'\"–—"
+
+
+def _dot(text: str, a: int, b: int) -> str:
+    """What the dot or dots at [a, b) are: skip, number (of what follows, if nothing stands before it) or full."""
+    after = text[b : b + 1]
+    if b - a > 1:
+        return "skip"
+    if after and not after.isspace() and after not in CLOSERS and after not in ")]" and after not in INVISIBLE_SET:
+        return "skip"  # inside a number, an address, an abbreviation
+    begin = max(text.rfind(" ", max(0, a - 40), a), text.rfind("\n", max(0, a - 40), a), a - 40, -1) + 1
+    for k in range(a - 1, begin - 1, -1):
+        if text[k].isspace():
+            begin = k + 1
+            break
+    word = text[begin:b].lstrip(_LEADS)
+    if not word.isascii():
+        word = _HIDDEN_RE.sub("", word)
+    if word in _SHORT:
+        return "skip"
+    if _INITIAL.fullmatch(word):
+        return "skip" if _SPACE.match(text, b).end() < len(text) else "full"
+    return "number" if _ORDINAL.fullmatch(word) and after.isspace() else "full"
+
+
+INVISIBLE_SET = frozenset("\u00ad\u200b\u200c\u200d\u200e\u200f\u2060\ufeff")
+_SECTION = re.compile("[Ͱ-Ͽἀ-῿]")
+HAS_END = re.compile(r"[。！？｡．!?׃।॥|;\u037e]|[^.\s]\.(?:[\s”’»\"')\]]|$)")
+_AFTER = re.compile(r"\S\S[.;\u037e?!]\s+(?:\(\S+\) )?([^\W\d_])")
 _SPACE = re.compile(rf"{_GAP}*")
 _LETTER = re.compile(r"[^\W_]")
 
@@ -141,14 +169,24 @@ def events(text: str, how: str, begin: int = 0, stop: int | None = None) -> list
     """(event class, end of the event, where text goes on) of the events that start in [begin, stop)."""
     stop = len(text) if stop is None else stop
     found, last = [], 0  # events in front of `begin` are only looked at as context
+    greek = _SECTION.search(text) is not None
     lines, wide, parts, verse, lower = "l" in how, "w" in how, "p" in how, "v" in how, "c" in how
     for m in EVENT.finditer(text):
         a, b = m.span()
         if a >= stop:
             break
         kind = m.lastgroup
-        if kind == "skip":
-            continue
+        if kind == "dot":
+            kind = _dot(text, a, b)
+            if kind == "skip":
+                continue
+        elif kind == "full":
+            if text[a] == "|" and b < len(text) and not text[b].isspace() and text[b] not in CLOSERS:
+                continue
+        elif kind == "semi":
+            if not greek:
+                continue
+            kind = "full"
         if kind == "quote":
             c = text[a]
             k, closes = _KIND[c]
@@ -169,7 +207,7 @@ def events(text: str, how: str, begin: int = 0, stop: int | None = None) -> list
             last = b
             continue
         if kind == "number":
-            if _LETTER.search(text, last, a) is None and (not found or found[-1][0] == END or found[-1][0] >= QUOTE0):
+            if _LETTER.search(text, last, text.rfind(_ORDINAL_DIGITS.search(text[max(0, a - 4) : a]).group(), last, a)) is None and (not found or found[-1][0] == END or found[-1][0] >= QUOTE0):
                 last = b  # a number in front of its sentence
                 continue
             kind = "full"
