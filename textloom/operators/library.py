@@ -32,10 +32,10 @@ def is_verse(block: Column) -> Column:
 
 
 def normalised(block: Column) -> Column:
-    """Prose on one line with words cut at line ends put together and note anchors and italics gone; verse line by line."""
-    bare = F.regexp_replace(F.regexp_replace(block, r"\[\d+\]", ""), r"_([^_\n]+)_", "$1")
+    """Prose on one line, a line's end after a hyphen dropped, note anchors and italics gone; verse line by line."""
+    bare = F.regexp_replace(F.regexp_replace(block, r"\[(?:FN#)?\d+\]", ""), r"(^|\W)_([^_]+)_(?=\W|$)", "$1$2")
     verse = F.array_join(F.filter(F.transform(F.split(bare, "\n"), squash), lambda x: x != ""), "\n")
-    return F.when(is_verse(block), verse).otherwise(squash(F.regexp_replace(bare, r"(\p{L})-\n\s*(\p{Ll})", "$1-$2")))
+    return F.when(is_verse(block), verse).otherwise(squash(F.regexp_replace(bare, r"(\w-)\n\s*(?=\w)", "$1")))
 
 
 def running_chapters(segments: DataFrame, order: int = 1_000) -> DataFrame:
@@ -265,13 +265,13 @@ def _flat(c: str) -> str:
 
 _LINES = "list_filter(string_split(raw, chr(10)), lambda x: regexp_matches(x, '\\S'))"
 _VERSE = f"(len({_LINES}) > 1 AND len(list_filter({_LINES}, lambda x: NOT regexp_matches(x, '^\\s'))) = 0)"
-_BARE = r"regexp_replace(regexp_replace(raw, '\[\d+\]', '', 'g'), '_([^_\n]+)_', '\1', 'g')"
+_BARE = r"regexp_replace(regexp_replace(raw, '\[(?:FN#)?\d+\]', '', 'g'), '(^|\W)_([^_]+)_(\W|$)', '\1\2\3', 'g')"
 _EDGES = f"{ONCE}, ph AS (SELECT DISTINCT work_id, md5(body) AS h FROM pas WHERE body IS NOT NULL AND NOT is_apparatus), fi AS (SELECT h, min(work_id) AS source FROM ph GROUP BY h), ed AS (SELECT DISTINCT * FROM (SELECT source, work_id AS target, 'shares' AS type FROM ph JOIN fi USING (h) WHERE work_id <> source UNION ALL SELECT w.id, b.target, 'broader' FROM works w JOIN (SELECT tradition, min(id) AS target FROM works GROUP BY tradition) b USING (tradition) WHERE w.id <> b.target)), nb AS (SELECT x.id, other, type, w.title AS name FROM (SELECT source AS id, target AS other, type FROM ed UNION ALL SELECT target, source, CASE WHEN type = 'broader' THEN 'narrower' ELSE type END FROM ed) x JOIN works w ON w.id = other)"
 ORACLES = {
     "block_split": r"WITH r AS (SELECT DISTINCT concat_ws('|', snapshot_no, slug, strftime(delivered_at, '%Y-%m-%d %H:%M:%S')) AS rec, text FROM wcw_records), b AS (SELECT rec, unnest(regexp_split_to_array(coalesce(text, ''), '\n\s*\n')) AS block FROM r) SELECT rec, count(*) AS n_blocks, sum(length(block))::BIGINT AS chars FROM b WHERE regexp_matches(block, '\S') GROUP BY rec",
     "segment_ids": f"WITH {_SEG} SELECT work_id || ':' || n || CASE WHEN part > 0 THEN chr(97 + part) ELSE '' END AS id, regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g') AS slug, {_flat('raw')} AS flat FROM seg",
     "segment_chapters": f"WITH {_SEG}, h AS (SELECT *, CASE WHEN apparatus AND regexp_matches(raw, '^\\s*(?:CHAPTER|BOOK)\\s+(?:[IVXLC]+|\\d+)\\.?(?:\\s|$)') AND NOT regexp_matches(raw, '^[^\\n]*\\d+\\s*$') THEN regexp_extract(raw, '^\\s*(?:CHAPTER|BOOK)\\s+([IVXLC]+|\\d+)', 1) END AS hd FROM seg), v AS (SELECT work_id, n, part, CASE WHEN regexp_matches(hd, '^[0-9]+$') THEN hd::INT ELSE (SELECT sum(CASE WHEN nx > dv THEN -dv ELSE dv END)::INT FROM (SELECT dv, coalesce(lead(dv) OVER (ORDER BY i), 0) AS nx FROM (SELECT i, CASE substring(hd, i, 1) WHEN 'I' THEN 1 WHEN 'V' THEN 5 WHEN 'X' THEN 10 WHEN 'L' THEN 50 WHEN 'C' THEN 100 END AS dv FROM (SELECT unnest(range(1, length(hd) + 1)) AS i)))) END AS hn FROM h), c AS (SELECT work_id, n, last_value(hn IGNORE NULLS) OVER (PARTITION BY work_id ORDER BY n, part ROWS UNBOUNDED PRECEDING) AS chapter FROM v) SELECT work_id, chapter::BIGINT AS chapter, count(*) AS n_segments, min(n)::BIGINT AS first_n FROM c GROUP BY ALL",
-    "raw_normalised": f"WITH {ONCE} SELECT id, CASE WHEN {_VERSE} THEN array_to_string(list_filter(list_transform(string_split({_BARE}, chr(10)), lambda x: {_flat('x')}), lambda x: x <> ''), chr(10)) ELSE {_flat(f'''regexp_replace({_BARE}, '(\\p{{L}})-\\n\\s*(\\p{{Ll}})', '\\1-\\2', 'g')''')} END AS body, {_VERSE} AS is_verse FROM pas",
+    "raw_normalised": f"WITH {ONCE} SELECT id, CASE WHEN {_VERSE} THEN array_to_string(list_filter(list_transform(string_split({_BARE}, chr(10)), lambda x: {_flat('x')}), lambda x: x <> ''), chr(10)) ELSE {_flat(f'''regexp_replace({_BARE}, '(\\w-)\\n\\s*(\\w)', '\\1\\2', 'g')''')} END AS body, {_VERSE} AS is_verse FROM pas",
     "unit_members": f"WITH {ONCE}, u AS (SELECT DISTINCT work_id, ref_unit FROM pas WHERE ref_unit IS NOT NULL), m AS (SELECT *, CASE WHEN regexp_matches(ref_unit, '^\\d{{1,9}}-\\d{{1,9}}$') THEN list_transform(range(split_part(ref_unit, '-', 1)::BIGINT, split_part(ref_unit, '-', 2)::BIGINT + 1), lambda x: x::VARCHAR) ELSE [ref_unit] END AS ms FROM u) SELECT work_id, ref_unit, unnest(ms) AS source_unit, unnest(range(0, len(ms))) AS ord FROM m",
     "price_bands": "WITH s AS (SELECT DISTINCT floor(abs(c_acctbal) * 20)::BIGINT AS band FROM customer WHERE c_custkey % 100 = 0), b AS (SELECT band, lead(band) OVER (ORDER BY band) AS e FROM s), o AS (SELECT floor(o_totalprice)::BIGINT AS price FROM orders) SELECT band, count(*) AS n FROM o LEFT JOIN b ON price >= band AND (e IS NULL OR price < e) GROUP BY band",
     "unit_ranges": f"WITH {ONCE}, o AS (SELECT work_id, ref_unit, min(id) AS pos FROM originals WHERE ref_unit IS NOT NULL AND work_id IS NOT NULL GROUP BY ALL), e AS (SELECT work_id, min(pos) AS a, max(pos) AS b FROM o WHERE (work_id, ref_unit) IN (SELECT (work_id, ref_unit) FROM pas WHERE ref_unit IS NOT NULL) GROUP BY work_id) SELECT work_id, count(*) AS n_units, min(pos) AS first_pos, max(pos) AS last_pos FROM o JOIN e USING (work_id) WHERE pos BETWEEN a AND b GROUP BY work_id",

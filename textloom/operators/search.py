@@ -97,7 +97,7 @@ def two_pass(rows: DataFrame, key: str, columns: dict[str, float], query: str, k
     if first is None:
         return rows.select(key, F.lit(0).alias("tier"), F.lit(0.0).alias("score"), F.lit(0).alias("rnk")).limit(0)
     both = first
-    if some != every:
+    if some != every or len(some) > 1:  # a single phrase is the same query either way
         second = keyword_topk(bm25(rows, key, columns, some).filter(keep), key, len(some), False, 2 * k).select(key, "score", F.lit(1).alias("tier"))
         both = first.unionByName(second.join(F.broadcast(first.select(key)), key, "left_anti"))  # at most k rows
     best = both.orderBy("tier", F.desc(F.round("score", 9)), key).limit(k)

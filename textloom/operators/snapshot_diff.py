@@ -60,7 +60,8 @@ def _bucket_changes(pdf: pd.DataFrame) -> pd.DataFrame:
         if len(old):
             found.append(parts[a].iloc[old_order[gone]].assign(change="removed", later=b))
     cols = ["snapshot_no", "kh", "kh2", "later", "change"]
-    return pd.concat(found)[cols].astype({"later": "int32"}) if found else pd.DataFrame({c: [] for c in cols})
+    found.append(pdf.iloc[:0].assign(change="", later=0))  # the columns' types, where nothing changed
+    return pd.concat([f for f in found if len(f)] or found[-1:])[cols].astype({"later": "int32"})
 
 
 def snapshot_changes(df: DataFrame, key: str, ignore: tuple[str, ...] = ("delivered_at",), rows: int | None = None) -> DataFrame:
