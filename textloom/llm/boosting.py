@@ -31,6 +31,8 @@ class Boosted:
         return best
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> Boosted:
+        if not len(x):
+            return self
         self.edges = []
         for col in x.T:  # quantiles, and a cut just over the least value however many share it
             over = col[col > col.min()]
@@ -57,8 +59,8 @@ class Boosted:
 
     def score(self, x: np.ndarray) -> np.ndarray:
         """Probability of the class 1."""
-        if not len(x):
-            return np.zeros(0)
+        if not len(x) or not self.model:  # not fitted, for want of a sample: nothing is of class 1
+            return np.zeros(len(x))
         b, f = self._binned(x), np.full(len(x), self.base)
         for (k, at), one, two in self.model:
             left = b[:, k] <= at

@@ -45,7 +45,7 @@ _LOOSE_JOINER = re.compile(f"(?<![ऀ-෿])[{JOINERS}]|[{JOINERS}](?![ऀ-෿])"
 
 @lru_cache(1 << 16)
 def _segment(s: str) -> str:
-    s = _LOOSE_JOINER.sub("", _HIDDEN.sub("", s))
+    s = _HIDDEN.sub("", s)
     return unicodedata.normalize("NFC", unicodedata.normalize("NFD", "".join(map(_one, s))))
 
 
@@ -67,9 +67,9 @@ def _unstable() -> str:
 @lru_cache(1)
 def _pattern() -> re.Pattern[str]:
     marks = "".join(chr(k) for k in range(0x300, 0x3100) if unicodedata.combining(chr(k)))
-    changing = f"[{_unstable()}{INVISIBLE}{JOINERS}ᅠ-ᇿ]"
+    changing = f"[{_unstable()}{INVISIBLE}ᅠ-ᇿ]"
     # the character in front is context: it may compose with what follows, also across what is not seen
-    return re.compile(rf"[^\s{marks}](?=[{INVISIBLE}{JOINERS}]*[{marks}])(?:{changing})+|(?:{changing})+")
+    return re.compile(rf"[^\s{marks}](?=[{INVISIBLE}]*[{marks}])(?:{changing})+|(?:{changing})+")
 
 
 _SPACES = re.compile(r"\s+")
@@ -100,6 +100,8 @@ def canonical(text: str | None) -> str | None:
     if text is None:
         return None
     if not text.isascii():
+        if "\u200c" in text or "\u200d" in text:  # between letters of Indic scripts joiners are seen
+            text = _LOOSE_JOINER.sub("", text)
         text = _pattern().sub(lambda m: _segment(m.group()), text)
         if _MIXED.search(text):
             for k, (word, _) in enumerate(_WORDS):

@@ -116,29 +116,40 @@ def verbatim(doc: np.ndarray, item: np.ndarray, bits: int) -> tuple[np.ndarray,
 
 
 def _follow(doc: list[int], item: list[int], p: int, i: int, step: int) -> list[tuple[int, int]]:
-    """From places p, i on in one direction: (item words covered, edits) after each verbatim run that an edit leads to."""
-    reach, covered, edits = [(0, 0)], 0, 0
-    while True:
-        best = None
-        for dp, di in ((1, 1), (1, 0), (0, 1), (2, 2), (2, 1), (1, 2), (2, 0), (0, 2)):
-            a, b, run = p + step * dp, i + step * di, 0
-            # the words passed over must be the item's own, and nothing of another document
-            if di and not all(0 <= i + step * k < len(item) and item[i + step * k] for k in range(di)):
-                continue
-            if dp and not all(0 <= p + step * k < len(doc) and doc[p + step * k] >= 0 for k in range(dp)):
-                continue
-            while 0 <= a < len(doc) and 0 <= b < len(item) and item[b] and doc[a] == item[b]:
-                a, b, run = a + step, b + step, run + 1
-            cost = max(dp, di)
-            if run and (best is None or run - 5 * cost > best[0]):
-                best = (run - 5 * cost, a, b, run + di, cost)
-        if best is None:
-            return reach
-        _, p, i, more, cost = best
-        covered, edits = covered + more, edits + cost
-        if WORDS_AN_EDIT * edits > covered + 4 * LEAST_WORDS:
-            return reach
-        reach.append((covered, edits))
+    """From places p, i on in one direction: (item words covered, edits), the most words for every number of edits.
+
+    The furthest place on each diagonal for one more edit comes from its neighbours' places for one
+    less, followed over the verbatim run behind it.
+    """
+    room = 0
+    while 0 <= i + step * room < len(item) and item[i + step * room]:
+        room += 1
+    if not room:
+        return [(0, 0)]
+    size = 0
+    while size <= room + room // WORDS_AN_EDIT and 0 <= p + step * size < len(doc) and doc[p + step * size] >= 0:
+        size += 1
+
+    def run(a: int, b: int) -> int:
+        while a < size and b < room and doc[p + step * a] == item[i + step * b]:
+            a, b = a + 1, b + 1
+        return b
+
+    reach, level = [], {0: run(0, 0)}  # diagonal (place in doc less place in item) -> item words covered
+    for edits in range(room // WORDS_AN_EDIT + 2):
+        most = max(level.values())
+        reach.append((most, edits))
+        if most == room:
+            break
+        after: dict[int, int] = {}
+        for d, b in level.items():
+            for e, c in ((d, b + 1), (d + 1, b), (d - 1, b + 1)):  # changed, put in, left out
+                if c <= room and 0 <= c + e <= size and c > after.get(e, -1):
+                    after[e] = c
+        level = {d: run(b + d, b) for d, b in after.items()}
+        if not level:
+            break
+    return reach
 
 
 def repeats(doc: list[int], item: list[int], p: int, i: int, length: int) -> bool:

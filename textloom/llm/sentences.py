@@ -30,7 +30,7 @@ TITLE = 6  # marks of titles, not of speech
 # Abbreviations whose dots end nothing, by language of the text.
 ABBREVIATIONS = [
     "πρβλ.", "τ. ἔ.", "κ.τ.λ.", "κ. τ. λ.", "δηλ.", "prbl.", "t. e.", "k.t.l.",
-    "i.e.", "e.g.", "cf.", "ff.", "etc.", "viz.", "vol.", "no.", "pp.", "p.", "ch.", "vs.", "Dr.", "Mr.", "Mrs.", "Ms.", "Prof.", "St.", "Rev.",
+    "i.e.", "e.g.", "cf.", "ff.", "etc.", "viz.", "vs.", "Dr.", "Mr.", "Mrs.", "Ms.", "Prof.", "St.", "Rev.",
     "עי.", "וכו'.", "पृ.", "उदा.", "इत्यादि...", "ityādi...",
 ]
 
@@ -43,6 +43,7 @@ EVENT = re.compile(
     rf"|(?P<quote>[{_QUOTE}])|(?P<dot>[.．]+)|(?P<full>[。！？｡!?׃।|]+)|(?P<semi>[;\u037e])|(?P<line>\n)|(?P<wide>　+)|(?P<part>[也矣焉哉耳乎])"
 )
 _SHORT = {re.sub(rf"[{INVISIBLE}]", "", f) for a in ABBREVIATIONS for w in a.split(" ") for f in (w, unicodedata.normalize("NFD", w))}
+_BEFORE_NUMBER = {"no.", "vol.", "pp.", "p.", "ch.", "fol."}  # abbreviations only in front of a number
 _INITIAL = re.compile(r"(?:[A-Za-zΑ-Ωα-ωἀ-ὧ][̀-ͯ]?|[A-Z]h)\.")
 _ORDINAL = re.compile(r"\d{1,4}\.")
 _ORDINAL_DIGITS = re.compile(r"\d+$")
@@ -67,6 +68,8 @@ def _dot(text: str, a: int, b: int) -> str:
         word = _HIDDEN_RE.sub("", word)
     if word in _SHORT:
         return "skip"
+    if word in _BEFORE_NUMBER and text[_SPACE.match(text, b).end() :][:1].isdigit():
+        return "skip"
     if _INITIAL.fullmatch(word):
         return "skip" if _SPACE.match(text, b).end() < len(text) else "full"
     return "number" if _ORDINAL.fullmatch(word) and after.isspace() else "full"
