@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from textloom.functions.text import opening, words
+from textloom.functions.text import WORD, opening, words
 from textloom.sources.tables import delivered_once, table
 
 K1, B = 1.2, 0.75
@@ -42,14 +42,10 @@ def compile_query(text: str, skip_stop_words: bool = False) -> list[Phrase]:
     return list(dict.fromkeys(out))
 
 
-def _tf(tokens: Column, phrase: Phrase) -> Column:
-    """How often a phrase stands in a token array."""
-    if len(phrase.words) == 1:
-        return F.size(F.filter(tokens, lambda t: t == phrase.words[0]))
-    n = len(phrase.words)
-    target = F.array(*[F.lit(w) for w in phrase.words])
-    starts = F.when(F.size(tokens) >= n, F.sequence(F.lit(1), F.size(tokens) - n + 1)).otherwise(F.array().cast("array<int>"))
-    return F.size(F.filter(starts, lambda i: F.slice(tokens, i, n) == target))
+def _tf(lowered: Column, phrase: Phrase) -> Column:
+    """How often a phrase stands in a lower-case text; occurrences may overlap."""
+    body = "[^a-z0-9]+".join(re.escape(w) for w in phrase.words)
+    return F.regexp_count(lowered, F.lit(f"(?<![a-z0-9])(?={body}(?![a-z0-9]))"))
 
 
 def bm25(rows: DataFrame, key: str, columns: dict[str, float], phrases: list[Phrase], body_only: bool = False) -> DataFrame:
@@ -59,15 +55,15 @@ def bm25(rows: DataFrame, key: str, columns: dict[str, float], phrases: list[Phr
     from a second scan; postings are never shuffled.  Null text counts as empty.  body_only counts
     matches in the first column only, while all columns make up the length.
     """
-    token_cols = {c: f"_t_{c}" for c in columns}
+    low = {c: f"_l_{c}" for c in columns}
     t = rows
-    for c, name in token_cols.items():
-        t = t.withColumn(name, words(F.col(c)))
+    for c, name in low.items():
+        t = t.withColumn(name, F.lower(F.coalesce(c, F.lit(""))))
     counted = list(columns)[:1] if body_only else list(columns)
-    raw = [F.array(*[_tf(F.col(token_cols[c]), p) for c in counted]) for p in phrases]
-    t = t.withColumn("_dl", sum((F.size(n) for n in token_cols.values()), F.lit(0))).withColumn("_raw", F.array(*raw) if raw else F.array().cast("array<array<int>>"))
-    t = t.drop(*token_cols.values())
-    present = [F.exists(F.col("_raw")[k], lambda x: x > 0) for k in range(len(phrases))]
+    raw = [F.array(*[_tf(F.col(low[c]), p) for c in counted]) for p in phrases]
+    length = sum((F.regexp_count(F.col(n), F.lit(WORD)) for n in low.values()), F.lit(0))
+    t = t.withColumn("_dl", length).withColumn("_raw", F.array(*raw) if raw else F.array().cast("array<array<int>>")).drop(*low.values())
+    present = [sum((F.col("_raw")[k][j] for j in range(len(counted))), F.lit(0)) > 0 for k in range(len(phrases))]
     stats = t.agg(F.count("*").alias("_n"), F.avg("_dl").alias("_avgdl"), *[F.count(F.when(p, 1)).alias(f"_df{k}") for k, p in enumerate(present)])
     t = t.join(F.broadcast(stats))  # one row
     score, hits = F.lit(0.0), F.lit(0)
