@@ -2,10 +2,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from textloom.functions.romanise import greek, han_number, hebrew, sanskrit
-from textloom.functions.text import canonical_quote, roman, squash, trigrams, word_count
+from textloom.functions.text import LANGUAGES, canonical_quote, labelled, roman, squash, trigrams, word_count
 from textloom.operators.library import blocks, bounded_batches, cache_misses, concept_filter, is_verse, key_snippet, neighbours, normalised, running_chapters, unit_expand
 from textloom.operators.reading import cut_words, quote_matches
-from textloom.operators.sequences import align_headwords, anchored, by_bigrams, by_stream, carried_readings, pinyin
+from textloom.operators.search import validated
+from textloom.operators.sequences import align_headwords, anchored, by_bigrams, by_stream, carried_readings, common_places, complete, editions, pinyin, running_numbers
 from textloom.operators.sinks import cached_values, current, merged_drafts, replace_works
 from textloom.operators.usage import log_once, over_limit, retained
 
@@ -29,7 +30,7 @@ def test_verse_and_prose(spark):
 
 def test_blocks(spark):
     df = spark.createDataFrame([("k", "a\n \n\n  b\n\n"), ("n", None), ("e", "")], "k string, t string")
-    assert [tuple(r) for r in blocks(df, "k", "t").orderBy("n").collect()] == [("k", 0, "a"), ("k", 1, "  b\n\n".rstrip("\n") if False else "  b")]
+    assert [tuple(r) for r in blocks(df, "k", "t").orderBy("n").collect()] == [("k", 0, "a"), ("k", 1, "  b")]
 
 
 def test_cut_words(spark):
@@ -136,3 +137,31 @@ def test_sinks(spark, tmp_path):
     d = spark.createDataFrame([("1", 0, "x", "new", False), ("1", 1, "y", "new", False)], "unit string, pos int, char string, pinyin string, reviewed boolean")
     p = spark.createDataFrame([("1", 0, "x", "old", True), ("1", 1, "y", "old", False)], d.schema)
     assert sorted((r["pos"], r["pinyin"]) for r in merged_drafts(d, p).collect()) == [(0, "old"), (1, "new")]
+
+
+def test_running_numbers(spark):
+    b = spark.createDataFrame([("w", k, t) for k, t in enumerate(["Preface", "BOOK II.", "1. One", "goes on", "7. no, a note", "2. Two", "4. Four", None])], "work_id string, n int, body string")
+    strict = [r["ref"] for r in running_numbers(b).orderBy("n").collect()]
+    assert strict == [None, None, "II.1", "II.1", "II.1", "II.2", "II.2", "II.2"]
+    assert [r["ref"] for r in running_numbers(b, skip=1).orderBy("n").collect()][-2:] == ["II.4", "II.4"]
+
+
+def test_editions(spark):
+    assert common_places("abcbd", "xbcd") == [(1, 1), (2, 2), (4, 3)] and common_places("", "a") == [] and common_places("a", "") == []
+    one, two = (spark.createDataFrame([("b", t)], "book string, text string") for t in ("學而時", "學時"))
+    assert sorted((r["pos"], r["other"]) for r in editions(one, two).collect()) == [(0, 0), (2, 1)]
+
+
+def test_units_must_be_complete(spark):
+    u = spark.createDataFrame([("w", "1-2", "1", 0), ("w", "1-2", "2", 1)], "work_id string, ref_unit string, source_unit string, ord int")
+    s = spark.createDataFrame([("w", "1", "a"), ("w", "2", "b")], "work_id string, unit string, body string")
+    assert [r["body"] for r in complete(u, s).collect()] == ["a\nb"]
+    with pytest.raises(Exception, match="missing units: w:2"):
+        complete(u, s.limit(1)).collect()
+
+
+def test_labels_and_limits(spark):
+    assert one(spark, lambda c: labelled(c, LANGUAGES), "grc", "xx") == ["Ancient Greek", "xx"]
+    assert validated("query", "ab") == "ab"
+    with pytest.raises(ValueError):
+        validated("quote", "ab")

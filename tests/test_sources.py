@@ -3,7 +3,7 @@ import json
 
 import pytest
 
-from textloom.sources.readers import clean_html, clean_wikitext, corpus_records, delimited, json_documents, numbered_sections, pages, paragraphs, tei_units
+from textloom.sources.readers import clean_html, clean_wikitext, corpus_records, delimited, filled_templates, json_documents, licences, numbered_sections, pages, paragraphs, tei_milestones, tei_units
 from textloom.streaming.usage import append_log, calls_by_minute
 
 
@@ -53,3 +53,18 @@ def test_stream(spark, tmp_path):
     q = calls_by_minute(log, limit=4, late="0 seconds").writeStream.format("memory").queryName("minutes").outputMode("append").option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert [(r["n"], r["n_rejected"]) for r in spark.table("minutes").collect()] == [(6, 2)]
+
+
+def test_milestones(spark):
+    xml = '<text><body><p><milestone unit="section" n="3d"/>One <del>two</del></p><p>three <milestone unit="page" n="4"/><milestone unit="section" n="4a"/>four<note>x</note></p></body></text>'
+    df = spark.createDataFrame([(1, xml), (2, None)], "id int, xml string")
+    assert [(r["unit"], r["body"]) for r in tei_milestones(df, "id", "xml").orderBy("pos").collect()] == [("3d", "One [two]\nthree"), ("4a", "four")]
+
+
+def test_licences_and_templates(spark):
+    x = spark.createDataFrame([("a", '<licence target="u">'), ("a", '<licence target="u">'), ("b", "none")], "w string, x string")
+    assert sorted(map(tuple, licences(x, "w", "x").collect()), key=str) == [("a", "u"), ("b", None)]
+    with pytest.raises(Exception, match="disagree"):
+        licences(x.unionByName(spark.createDataFrame([("a", '<licence target="v">')], x.schema)), "w", "x").collect()
+    t = spark.createDataFrame([(1, "a{{x}}b{{y}}")], "k int, t string")
+    assert filled_templates(t, "k", "t", spark.createDataFrame([("x", "山")], "code string, glyph string")).first()["t"] == "a山b{{y}}"

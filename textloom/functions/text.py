@@ -55,3 +55,14 @@ def roman(c: Column) -> Column:
     digits = F.transform(F.split(up, ""), lambda x: F.coalesce(*[F.when(x == k, v) for k, v in value.items()], F.lit(0)))
     total = F.aggregate(digits, F.struct(F.lit(0).alias("sum"), F.lit(0).alias("last")), lambda acc, x: F.struct((acc["sum"] + x - F.when(acc["last"] < x, 2 * acc["last"]).otherwise(0)).alias("sum"), x.alias("last")), lambda acc: acc["sum"])
     return F.when(up.rlike("^[IVXLC]+$"), total)
+
+
+# Names of languages and of their transcription schemes.
+LANGUAGES = {"grc": "Ancient Greek", "lzh": "Classical Chinese", "pli": "Pali", "hbo": "Biblical Hebrew", "san": "Sanskrit", "en": "English"}
+SCHEMES = {"grc": "romanised Greek", "lzh": "pinyin", "hbo": "romanised Hebrew", "san": "IAST"}
+
+
+def labelled(code: Column, names: dict[str, str], default: str | None = None) -> Column:
+    """The name of a code; without one the default, or the code itself."""
+    table = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
+    return F.coalesce(table[code], F.lit(default) if default else code)

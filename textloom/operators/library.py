@@ -248,8 +248,24 @@ def script_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", han.cast("bigint").alias("n_han"), (han * 2 > full).alias("is_han"))
 
 
+def scan_shape(raw: Column) -> tuple[Column, Column, Column]:
+    """Letters, share of capitals among them, and the median length of the lines with text."""
+    letters, capitals = F.regexp_count(raw, F.lit(r"\p{L}")), F.regexp_count(raw, F.lit(r"\p{Lu}"))
+    sizes = F.sort_array(F.transform(F.filter(F.split(raw, "\n"), lambda x: x.rlike(r"\S")), lambda x: F.length(F.trim(x))))
+    middle = (F.get(sizes, F.floor((F.size(sizes) - 1) / 2).cast("int")) + F.get(sizes, F.floor(F.size(sizes) / 2).cast("int"))) / 2
+    return letters, F.when(letters > 0, capitals / letters), middle
+
+
+def scan_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks of scans by what they look like: noise (under 4 letters), heading (7 of 10 letters capital), small type (lines over 56), text."""
+    s = segments_once(spark, sf_dir)
+    letters, capitals, middle = scan_shape(F.col("raw"))
+    kind = F.when(letters < 4, "noise").when(capitals >= 0.7, "heading").when(middle > 56, "small").otherwise("text")
+    return s.withColumn("kind", kind).groupBy("work_id", "kind").agg(F.count("*").alias("n"), F.sum(letters.cast("bigint")).alias("letters"))
+
+
 QUERIES = {
-    "block_split": block_split, "segment_ids": segment_ids, "segment_chapters": segment_chapters, "raw_normalised": raw_normalised, "unit_members": unit_members, "price_bands": price_bands,
+    "scan_shapes": scan_shapes, "block_split": block_split, "segment_ids": segment_ids, "segment_chapters": segment_chapters, "raw_normalised": raw_normalised, "unit_members": unit_members, "price_bands": price_bands,
     "unit_ranges": unit_ranges, "concept_filter": concept_search, "concept_neighbours": concept_neighbours, "concept_groups": concept_groups, "concept_key_passages": concept_key_passages,
     "key_snippets": key_snippets, "content_hash_cache": content_hash_cache, "index_stats": index_stats, "script_share": script_share,
 }
@@ -267,7 +283,9 @@ _LINES = "list_filter(string_split(raw, chr(10)), lambda x: regexp_matches(x, '\
 _VERSE = f"(len({_LINES}) > 1 AND len(list_filter({_LINES}, lambda x: NOT regexp_matches(x, '^\\s'))) = 0)"
 _BARE = r"regexp_replace(regexp_replace(raw, '\[(?:FN#)?\d+\]', '', 'g'), '(^|\W)_([^_]+)_(\W|$)', '\1\2\3', 'g')"
 _EDGES = f"{ONCE}, ph AS (SELECT DISTINCT work_id, md5(body) AS h FROM pas WHERE body IS NOT NULL AND NOT is_apparatus), fi AS (SELECT h, min(work_id) AS source FROM ph GROUP BY h), ed AS (SELECT DISTINCT * FROM (SELECT source, work_id AS target, 'shares' AS type FROM ph JOIN fi USING (h) WHERE work_id <> source UNION ALL SELECT w.id, b.target, 'broader' FROM works w JOIN (SELECT tradition, min(id) AS target FROM works GROUP BY tradition) b USING (tradition) WHERE w.id <> b.target)), nb AS (SELECT x.id, other, type, w.title AS name FROM (SELECT source AS id, target AS other, type FROM ed UNION ALL SELECT target, source, CASE WHEN type = 'broader' THEN 'narrower' ELSE type END FROM ed) x JOIN works w ON w.id = other)"
+_LN = "list_filter(string_split(raw, chr(10)), lambda x: regexp_matches(x, '\\S'))"
 ORACLES = {
+    "scan_shapes": f"WITH {_SEG}, x AS (SELECT work_id, len(regexp_extract_all(raw, '\\p{{L}}')) AS l, len(regexp_extract_all(raw, '\\p{{Lu}}')) AS u, list_median(list_transform({_LN}, lambda y: length(trim(y)))) AS m FROM seg) SELECT work_id, CASE WHEN l < 4 THEN 'noise' WHEN u / l::DOUBLE >= 0.7 THEN 'heading' WHEN m > 56 THEN 'small' ELSE 'text' END AS kind, count(*) AS n, sum(l)::BIGINT AS letters FROM x GROUP BY ALL",
     "block_split": r"WITH r AS (SELECT DISTINCT concat_ws('|', snapshot_no, slug, strftime(delivered_at, '%Y-%m-%d %H:%M:%S')) AS rec, text FROM wcw_records), b AS (SELECT rec, unnest(regexp_split_to_array(coalesce(text, ''), '\n\s*\n')) AS block FROM r) SELECT rec, count(*) AS n_blocks, sum(length(block))::BIGINT AS chars FROM b WHERE regexp_matches(block, '\S') GROUP BY rec",
     "segment_ids": f"WITH {_SEG} SELECT work_id || ':' || n || CASE WHEN part > 0 THEN chr(97 + part) ELSE '' END AS id, regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g') AS slug, {_flat('raw')} AS flat FROM seg",
     "segment_chapters": f"WITH {_SEG}, h AS (SELECT *, CASE WHEN apparatus AND regexp_matches(raw, '^\\s*(?:CHAPTER|BOOK)\\s+(?:[IVXLC]+|\\d+)\\.?(?:\\s|$)') AND NOT regexp_matches(raw, '^[^\\n]*\\d+\\s*$') THEN regexp_extract(raw, '^\\s*(?:CHAPTER|BOOK)\\s+([IVXLC]+|\\d+)', 1) END AS hd FROM seg), v AS (SELECT work_id, n, part, CASE WHEN regexp_matches(hd, '^[0-9]+$') THEN hd::INT ELSE (SELECT sum(CASE WHEN nx > dv THEN -dv ELSE dv END)::INT FROM (SELECT dv, coalesce(lead(dv) OVER (ORDER BY i), 0) AS nx FROM (SELECT i, CASE substring(hd, i, 1) WHEN 'I' THEN 1 WHEN 'V' THEN 5 WHEN 'X' THEN 10 WHEN 'L' THEN 50 WHEN 'C' THEN 100 END AS dv FROM (SELECT unnest(range(1, length(hd) + 1)) AS i)))) END AS hn FROM h), c AS (SELECT work_id, n, last_value(hn IGNORE NULLS) OVER (PARTITION BY work_id ORDER BY n, part ROWS UNBOUNDED PRECEDING) AS chapter FROM v) SELECT work_id, chapter::BIGINT AS chapter, count(*) AS n_segments, min(n)::BIGINT AS first_n FROM c GROUP BY ALL",

@@ -42,6 +42,18 @@ def compile_query(text: str, skip_stop_words: bool = False) -> list[Phrase]:
     return list(dict.fromkeys(out))
 
 
+#: Lengths that requests may have.
+LIMITS = {"query": (2, 500), "id": (1, 100), "quote": (3, 2_000), "work": (1, 200), "filter": (0, 100), "concept": (1, 100)}
+
+
+def validated(kind: str, value: str) -> str:
+    """The value if its length is allowed for its kind of request, else ValueError."""
+    low, high = LIMITS[kind]
+    if not low <= len(value) <= high:
+        raise ValueError(f"a {kind} has {low} to {high} characters, not {len(value)}")
+    return value
+
+
 def _tf(lowered: Column, phrase: Phrase) -> Column:
     """How often a phrase stands in a lower-case text; occurrences may overlap."""
     body = "[^a-z0-9]+".join(re.escape(w) for w in phrase.words)

@@ -110,6 +110,79 @@ def tei_units(documents: DataFrame, key: str, xml: str, depth: int | None = None
     return documents.select(key, xml).mapInPandas(parse, f"`{key}` {kind}, unit string, pos int, body string")
 
 
+class _Milestones(HTMLParser):
+    """Text from one section milestone to the next, a line a paragraph or speech, editorial brackets kept."""
+
+    SKIP = {"note", "head", "bibl"}
+
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.body, self.skipping, self.section = False, 0, None
+        self.found: dict[str, list[list[str]]] = {}
+
+    def handle_starttag(self, tag, attrs):
+        a = dict(attrs)
+        self.body |= tag == "body"
+        if not self.body:
+            return
+        if tag == "milestone" and a.get("unit") == "section":
+            self.section = a.get("n")
+            self.found.setdefault(self.section, [[]])
+        elif tag in ("p", "said") and self.section:
+            self.found[self.section].append([])
+        self.skipping += tag in self.SKIP
+        if tag in ("del", "add"):
+            self.handle_data("[")
+
+    def handle_startendtag(self, tag, attrs):
+        if tag == "milestone":
+            self.handle_starttag(tag, attrs)
+
+    def handle_endtag(self, tag):
+        self.skipping -= tag in self.SKIP and self.skipping > 0
+        if tag in ("del", "add"):
+            self.handle_data("]")
+        if tag == "body":
+            self.body = False
+
+    def handle_data(self, data):
+        if self.body and self.section and not self.skipping:
+            self.found[self.section][-1].append(data)
+
+
+def tei_milestones(documents: DataFrame, key: str, xml: str) -> DataFrame:
+    """(key, unit, pos, body) by section milestones in document order; a section that is stated again goes on."""
+    kind = documents.schema[key].dataType.simpleString()
+
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for k, x in zip(pdf[key], pdf[xml]):
+                if x is not None:
+                    p = _Milestones()
+                    p.feed(x)
+                    bodies = {u: "\n".join(t for t in (" ".join("".join(parts).split()) for parts in lines) if t) for u, lines in p.found.items()}
+                    rows += [(k, u, n, b) for n, (u, b) in enumerate(bodies.items()) if b]
+            yield pd.DataFrame(rows, columns=[key, "unit", "pos", "body"])
+
+    return documents.select(key, xml).mapInPandas(parse, f"`{key}` {kind}, unit string, pos int, body string")
+
+
+def licences(documents: DataFrame, key: str, xml: str) -> DataFrame:
+    """(key, licence) from the headers of a work's editions; editions of one work that disagree are an error, none gives null."""
+    found = F.nullif(F.regexp_extract(xml, r'<licen[cs]e\b[^>]*\btarget="([^"]+)"', 1), F.lit(""))
+    by = documents.groupBy(key).agg(F.collect_set(found).alias("ls"))
+    return by.select(key, F.when(F.size("ls") > 1, F.raise_error(F.concat(F.lit("editions disagree: "), F.array_join("ls", ", ")))).otherwise(F.get("ls", F.lit(0))).alias("licence"))
+
+
+def filled_templates(texts: DataFrame, key: str, text: str, glyphs: DataFrame) -> DataFrame:
+    """texts with each {{code}} put in from glyphs (code, glyph); unknown codes stay."""
+    parts = F.split(F.col(text), r"(?=\{\{)|(?<=\}\})")
+    pieces = texts.select(key, F.posexplode(parts).alias("pos", "p")).withColumn("code", F.regexp_extract("p", r"^\{\{([^{}]+)\}\}$", 1))
+    filled = pieces.join(glyphs, "code", "left").withColumn("p", F.coalesce("glyph", "p"))
+    return filled.groupBy(key).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "p"))), lambda x: x["p"]), "").alias(text))
+
+
 _INNER = re.compile(r"\{\{[^{}]*\}\}")
 
 
