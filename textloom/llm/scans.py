@@ -26,6 +26,8 @@ from textloom.sources.tables import delivered_once, table
 SAMPLE = 1_500
 #: Segments of a work whose order is worked out by one task.
 BLOCK = 1_000
+#: A form of three or more places is misread only if its original is so many times as frequent.
+RARER = 5
 #: A word seen so often in cleanly transcribed text is trusted.
 TRUSTED = 2
 HYPHENS = "-¬­—‐‑–"
@@ -34,8 +36,9 @@ CONFUSED = [
     ("h", "li"), ("h", "b"), ("b", "h"), ("e", "c"), ("c", "e"), ("o", "0"), ("m", "rn"), ("l", "|"), ("l", "1"), ("i", "l"), ("l", "i"), ("t", "f"), ("t", "l"), ("f", "t"),
     ("u", "n"), ("n", "u"), ("s", "ſ"), ("w", "vv"), ("d", "cl"), ("n", "ii"), ("a", "o"), ("o", "c"), ("rn", "m"), ("i", "1"), ("I", "l"), ("g", "q"), ("y", "v"), ("s", "5"), ("b", "6"), ("ri", "n"), ("e", "o"), ("in", "m"), ("t", "7"), ("i", "!"),
 ]
-_FOLD_MANY = [("rn", "m"), ("in", "m"), ("vv", "w"), ("cl", "d"), ("li", "h"), ("ii", "n"), ("ri", "n")]
-_FOLD_ONE = str.maketrans("ſ0o|1!lie5bhunvyqft67", "scciiiiicshhnnvvgttht")
+# Single characters are folded first, so that pairs are found in whatever way their parts were misread.
+_FOLD_ONE = str.maketrans("ſ50oel1|!jb6uyqf7", "ssccciiiiihhnvgtt")
+_FOLD_MANY = [("ri", "n"), ("rn", "m"), ("in", "m"), ("ci", "d"), ("ii", "h"), ("vv", "w")]
 _PAGE = re.compile(r"[\W_]*(?:(?:p|pp|page|pag)\.?\s*)?(?:[\dOolIS|Q]*\d[\dOolIS|Q]*|[ivxlcdm]+|[OolI|]{1,4})[\W_]*", re.I)
 _ROMAN = r"[IVXLCivxlc1|]+"
 _NUMBER = re.compile(r"[\dOolI|S]*\d[\dOolI|S]*")
@@ -44,10 +47,10 @@ _END = re.compile(r"[.?!][\"”’'»)\]]*$")
 
 def skeleton(word: str) -> str:
     """A word with everything recognition confuses folded together, marks inside dropped."""
-    w = re.sub(r"[^\w|!]", "", word.lower())
+    w = re.sub(r"[^\w|!]", "", word.lower()).translate(_FOLD_ONE)
     for many, one in _FOLD_MANY:
         w = w.replace(many, one)
-    return w.translate(_FOLD_ONE)
+    return w
 
 
 # ---- furniture ------------------------------------------------------------------------------
@@ -382,7 +385,9 @@ def scan_findings(segments: DataFrame, clean: DataFrame) -> dict[str, DataFrame]
         for pdf in batches:
             x = np.array([word_features(*v) for v in zip(pdf["w"], pdf["c"], pdf["count"], pdf["own"])], float).reshape(-1, len(WORD_FEATURES))
             # another count of the same trusted kind breaks ties between equal scores
-            yield pd.DataFrame({"w": pdf["w"], "c": pdf["c"], "p": rank.score(x), "count": pdf["count"]})
+            # an exact check: what is seen nearly as often as its supposed original is a word of its own
+            rare = (pdf["own"] <= 2) | (pdf["count"] >= RARER * pdf["own"])
+            yield pd.DataFrame({"w": pdf["w"], "c": pdf["c"], "p": np.where(rare, rank.score(x), 0.0), "count": pdf["count"]})
 
     best = pairs.mapInPandas(ranked, "w string, c string, p double, count bigint").groupBy("w").agg(F.max(F.struct("p", "count", "c")).alias("best"))
     fixes = written(best.filter("best.p >= 0.5").select("w", F.col("best.c").alias("c")), "corrections")
