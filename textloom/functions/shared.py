@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -22,3 +23,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def hash_sample(df: DataFrame, keys: list[str], n: int, total: int) -> DataFrame:
+    """About n of the `total` rows of df, those of least key hash: a filter, so nothing is ordered or gathered.  All rows if there are no more than n."""
+    if total <= n:
+        return df
+    bits = (1 << 31) - 1
+    return df.filter(F.xxhash64(*keys).bitwiseAND(F.lit(bits)) < F.lit(max(1, round(n / total * bits))))
