@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textloom.functions.shared import hash_sample
 from textloom.sources.tables import table
 
 TYPES = ["email", "phone", "id_number", "address", "name"]
@@ -494,8 +495,9 @@ def find_private(documents: DataFrame, key: str = "doc_id", text: str = "text",
     to `sample` documents.  Keys of repeated rows give one row a place.
     """
     given = documents.filter(F.col(key).isNotNull() & (F.length(text) > 0)).select(key, text)
-    least = given.orderBy(F.xxhash64(key), key).limit(4 * sample)  # a bounded draw; all documents are labelled below
-    rows = least.filter(F.col(text).rlike(_MAYBE)).limit(sample).select(text).collect()
+    drawn = hash_sample(given, [key], 4 * sample, documents.count())  # a bounded draw; all documents are labelled below
+    rows = drawn.filter(F.col(text).rlike(_MAYBE)).select(F.xxhash64(key).alias("h"), text).collect()
+    rows = [(r[1],) for r in sorted(rows)[:sample]]
     field = documents.sparkSession.sparkContext.broadcast(fit_field(sorted({r[0] for r in rows})))
 
     def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from textloom.functions.shared import written
+from textloom.functions.shared import hash_sample, written
 from textloom.llm.boosting import Boosted
 from textloom.llm.canonical import canonical_col
 from textloom.sources.tables import delivered_once, table
@@ -313,7 +313,7 @@ def scan_findings(segments: DataFrame, clean: DataFrame) -> dict[str, DataFrame]
     frequent = lexicon.filter("w rlike '^[a-z]+$'").orderBy(F.desc("count"), "w").limit(SAMPLE // 5).collect()
     sample = sorted(set(sample) | {(r[0], r[1]) for r in frequent if r[1] >= TRUSTED})
 
-    sampled = rows.orderBy(F.xxhash64(*KEY)).limit(SAMPLE // 10).select("work_id", "raw").collect()
+    sampled = hash_sample(rows, KEY, SAMPLE // 10, segments.count()).select("work_id", "raw").collect()
     titles = sorted({re.sub(r"-", " ", r[0]) for r in sampled})
     texts = sorted({x for r in sampled for x in r[1].split("\n") if len(x) > 25 and re.search(r"[a-z]{3}.*[a-z]{3}", x)})
     lines = written(classified_lines(rows, furniture_model(titles, texts)), "lines")
