@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 LOOKS_LATIN = {
     "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "і": "i", "ј": "j", "ѕ": "s", "ԁ": "d", "һ": "h", "ԛ": "q", "ԝ": "w", "ӏ": "l",
     "А": "A", "В": "B", "Е": "E", "Ѕ": "S", "З": "3", "І": "I", "Ј": "J", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "У": "Y", "Х": "X",
-    "α": "a", "ο": "o", "ρ": "p", "ν": "v", "ϲ": "c", "ϳ": "j",
+    "α": "a", "ο": "o", "ρ": "p", "ν": "v",
     "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X",
     "ı": "i", "ɑ": "a", "ɡ": "g", "∶": ":", "׀": "|", "ǀ": "|", "∣": "|",
 }
