@@ -1,6 +1,7 @@
 import random
+from itertools import combinations
 
-from textloom.llm.leakage import LEAST_WORDS, WORDS_AN_EDIT, leaked, words
+from textloom.llm.leakage import ALL_RUNS, LEAST_WORDS, LONGEST_RUN, SEED, WORDS_AN_EDIT, leaked, words
 
 
 def aligned(doc, item):
@@ -55,3 +56,27 @@ def test_order_matters_and_han(spark):
     item = "山水木火土金日月星辰天地人心手足"
     df = spark.createDataFrame([(1, "前" + " ".join(item[:15]) + "後"), (2, item[::-1]), (3, item[:9])], "doc_id long, text string")
     assert [tuple(r) for r in leaked(df, spark.createDataFrame([(5, item)], "item_id long, text string")).collect()] == [(1, 5)]
+
+
+def test_short_runs_between_edits(spark):
+    item = [f"w{k}" for k in range(18)]
+    docs = []
+    for at in range(4):  # runs of 3, 3, 3 and 6 words in any order
+        runs = [3, 3, 3, 3]
+        runs[at] = 6
+        edits = [sum(runs[: k + 1]) + k for k in range(3)]
+        docs.append((at, [f"zz{k}" if k in edits else w for k, w in enumerate(item)]))
+        docs.append((4 + at, [w for k, w in enumerate(item) if k not in edits]))
+        docs.append((8 + at, [f"zz{k}" if k in (*edits, edits[0] + 1) else w for k, w in enumerate(item)]))  # one edit too many
+    assert {d for d, ws in docs if aligned(ws, item)} == set(range(8))
+    df = spark.createDataFrame([(d, "before it " + " ".join(ws) + " after it") for d, ws in docs], "doc_id long, text string")
+    assert {r[0] for r in leaked(df, spark.createDataFrame([(5, " ".join(item))], "item_id long, text string")).collect()} == set(range(8))
+
+
+def test_least_runs_of_a_passage():
+    # Every pattern of edits up to 30 words has runs that the filter before the alignment lets pass.
+    for n in range(LEAST_WORDS, 31):
+        e = n // WORDS_AN_EDIT
+        for cuts in combinations(range(n), e):
+            runs = [b - a - 1 for a, b in zip((-1, *cuts), (*cuts, n))]
+            assert max(runs) >= LONGEST_RUN or sum(r for r in runs if r >= SEED) >= ALL_RUNS

@@ -23,6 +23,8 @@ from textloom.sources.tables import table
 LEAST_WORDS, WORDS_AN_EDIT = 15, 6
 #: With those two numbers, edits as far apart as can be leave a verbatim run of at least SEED words.
 SEED = 4
+#: And a verbatim run of LONGEST_RUN words or runs of SEED words or more that make up ALL_RUNS.
+LONGEST_RUN, ALL_RUNS = 6, 9
 #: Items looked up at a time: their vocabulary must fit the sort key.
 KEY_BITS = 62
 _HAN = "㐀-䶿一-鿿豈-﫿𠀀-𯨟⺀-⿕"
@@ -178,13 +180,15 @@ def _shard(raw: list[list[str]], blocks) -> set[tuple[int, int]]:
         p, i, length = verbatim(np.maximum(doc, 0), item, bits)
         if not len(p):
             continue
-        # Whatever the edits, a passage has a run of 7 words or runs of SEED words or more that make up 9.
+        # Whatever the edits, a passage has a run of 6 words or runs of SEED words or more that make up 9:
+        # with e edits it keeps at least 5 e words in at most e + 1 runs (13 in 3 for e = 2); if all runs but
+        # one are shorter than SEED, the least is 6 (3, 3, 3, 6), and with two or more of SEED or more it is 9 (3, 3, 4, 5).
         pair = owner[p] * (item_of.max() + 1) + item_of[i]
         _, where = np.unique(pair, return_inverse=True)
         longest = np.zeros(where.max() + 1, np.int64)
         np.maximum.at(longest, where, length)
         total = np.bincount(where, weights=length)
-        keep = np.nonzero((longest[where] >= 7) | (total[where] >= 9))[0]
+        keep = np.nonzero((longest[where] >= LONGEST_RUN) | (total[where] >= ALL_RUNS))[0]
         docs, items = doc.tolist(), item.tolist()
         for k in keep[np.argsort(-length[keep], kind="stable")]:
             at = (int(owner[p[k]]), int(item_of[i[k]]))
