@@ -2,6 +2,8 @@ import random
 
 from textloom.llm.alignment import align_sentences, stem
 
+DIGITS = str.maketrans("0123456789", "abcdefghij")
+
 
 def test_stems():
     assert stem("φώλος", False) == stem("φώλουσι", False) and stem("stones", True) == stem("stone", True) and stem("Twelve", True) == stem("12", False) == "#12"
@@ -35,3 +37,38 @@ def test_lexicon_of_an_invented_language(spark):
     got = {(r[0], r[1], r[2], r[3]) for r in align_sentences(o, p).collect()}
     assert len(got & want) / len(want) > 0.95 and len(got & want) / len(got) > 0.95
     assert align_sentences(o.limit(0), p).count() == 0
+
+
+def test_words_of_one_unit_only(spark):
+    originals = [(k, "w", str(k), "zzz", f"Od{k}qa bel{k}qa.".translate(DIGITS)) for k in range(250)]
+    passages = [(f"w:{k}", "w", str(k), f"Hon{k}x mir{k}x.".translate(DIGITS)) for k in range(250)]
+    o = spark.createDataFrame(originals, "id long, work_id string, ref_unit string, language string, body string")
+    p = spark.createDataFrame(passages, "id string, work_id string, ref_unit string, body string")
+    got = {(r[0], r[2]) for r in align_sentences(o, p).collect()}
+    assert got == {(k, f"w:{k}") for k in range(250)}
+
+
+def test_words_with_many_renderings(spark):
+    rng = random.Random(4)
+
+    def word() -> str:
+        return "".join(rng.choice("bdgklmnprt") + rng.choice("aiou") for _ in range(4))
+
+    renderings = {word(): [word() for _ in range(6)] for _ in range(40)}
+    originals, passages, want = [], [], set()
+    for k in range(900):
+        o_text, target = "", []
+        for _ in range(3):
+            ws = rng.sample(sorted(renderings), 3)
+            target.append((len(o_text), " ".join(rng.choice(renderings[w]) for w in ws).capitalize() + ". "))
+            o_text += " ".join(ws).capitalize() + ". "
+        p_text = ""
+        for at, x in rng.sample(target, 3):
+            want.add((k, at, f"w:{k}", len(p_text)))
+            p_text += x
+        originals.append((k, "w", str(k), "zzz", o_text))
+        passages.append((f"w:{k}", "w", str(k), p_text))
+    o = spark.createDataFrame(originals, "id long, work_id string, ref_unit string, language string, body string")
+    p = spark.createDataFrame(passages, "id string, work_id string, ref_unit string, body string")
+    got = {(r[0], r[1], r[2], r[3]) for r in align_sentences(o, p).collect()}
+    assert len(got & want) / len(want) > 0.95 and len(got & want) / len(got) > 0.95, (len(got), len(want), len(got & want))

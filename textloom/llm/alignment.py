@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -46,8 +46,10 @@ LEAST, GAIN = 0.22, 1.12
 DRIFT = 0.25
 #: Tables of at most so many rows are broadcast.
 SMALL = 300_000
-#: Translations kept for a word, on either side.
-TRANSLATIONS = 4
+#: A word pair counts from this cosine on; its t-score weighs as much as so large a one.
+LEAST_WORD, DOUBT = 0.1, 0.7
+#: Units laid out at a time for the products of their words.
+CHUNK = 256
 
 
 def _base(word: str) -> str:
@@ -165,6 +167,70 @@ def _if_small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= SMALL else df
 
 
+#: Part v of the dot product of sentence s of text d (original) and sentence t of text e (translation) of a unit.
+DOTS = "uid bigint, d smallint, s smallint, e smallint, t smallint, v double"
+
+
+class Gram:
+    """Word cosines of all languages, found by the word of the original."""
+
+    def __init__(self, rows: pd.DataFrame):
+        self.langs = {x: k for k, x in enumerate(sorted(set(rows["lang"])))}
+        lang = rows["lang"].map(self.langs).to_numpy(np.int64)
+        ow, pw, g = self.codes(lang, rows["ow"].to_numpy()), self.codes(lang, rows["pw"].to_numpy()), rows["g"].to_numpy(np.float64)
+        self.pw, partner = np.unique(pw, return_inverse=True)
+        order = np.argsort(ow, kind="stable")
+        self.ow, self.first, self.many = np.unique(ow[order], return_index=True, return_counts=True)
+        self.partner, self.g = partner[order], g[order]
+
+    @staticmethod
+    def codes(lang: np.ndarray | int, words: np.ndarray) -> np.ndarray:
+        return (lang << 32) + (words.astype(np.int64) + (1 << 31))
+
+
+def _places(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each wanted key its place in the sorted keys, and whether it is there."""
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return at, keys[at] == wanted
+
+
+def _spread(first: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ranges of `many` places from `first` on laid out one behind another: (number of the range, place)."""
+    of = np.repeat(np.arange(len(many)), many)
+    return of, np.arange(len(of)) + np.repeat(first - np.concatenate([[0], np.cumsum(many)[:-1]]), many)
+
+
+def _dots(pdf: pd.DataFrame, gram: Gram) -> pd.DataFrame:
+    """Dot products of the sentences of some units, over all word pairs that meet in a unit."""
+    sents, words = {"o": [], "p": []}, {"o": [], "p": []}
+    for k, (lang, docs) in enumerate(zip(pdf["lang"], pdf["docs"])):
+        if lang in gram.langs:
+            for d, doc in enumerate(docs):
+                for s, ws in enumerate(doc["words"]):
+                    sents[doc["side"]].append((k, d, s))
+                    words[doc["side"]].append(Gram.codes(gram.langs[lang], ws))
+    if not sents["o"] or not sents["p"]:
+        return pd.DataFrame({c: [] for c in ("uid", "d", "s", "e", "t", "v")})
+    o, p = (np.array(sents[x], np.int64) for x in "op")
+    so, sp = (np.repeat(np.arange(len(words[x])), [len(w) for w in words[x]]) for x in "op")
+    at, known = _places(gram.ow, np.concatenate(words["o"]))
+    at, so = at[known], so[known]
+    pat, known = _places(gram.pw, np.concatenate(words["p"]))
+    pat, sp = pat[known], sp[known]
+    # words of the translation by unit and number; every partner of a word of the original is looked up there
+    code = p[sp, 0] * len(gram.pw) + pat
+    order = np.argsort(code, kind="stable")
+    code, sp = code[order], sp[order]
+    token, place = _spread(gram.first[at], gram.many[at])
+    wanted = o[so[token], 0] * len(gram.pw) + gram.partner[place]
+    lo = np.searchsorted(code, wanted, "left")
+    pair, other = _spread(lo, np.searchsorted(code, wanted, "right") - lo)
+    both, where = np.unique(so[token[pair]] * len(p) + sp[other], return_inverse=True)
+    a, b = o[both // len(p)], p[both % len(p)]
+    v = np.bincount(where, weights=gram.g[place[pair]], minlength=len(both))
+    return pd.DataFrame({"uid": pdf["uid"].to_numpy()[a[:, 0]], "d": a[:, 1], "s": a[:, 2], "e": b[:, 1], "t": b[:, 2], "v": v})
+
+
 def _mutual_best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Units with their sentences, norms and parts of cosines -> pairs of sentences."""
     for pdf in batches:
@@ -210,14 +276,21 @@ def _mutual_best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=["original_id", "o_start", "passage_id", "p_start", "score"])
 
 
+def _share(weight: Column) -> Column:
+    """How a pair stands to the best pair of either of its words: 1 if it is the best of both, the same for equal ones."""
+    for_o, for_p = Window.partitionBy("lang", "ow"), Window.partitionBy("lang", "pw")
+    return weight**2 / (F.max(weight).over(for_o) * F.max(weight).over(for_p))
+
+
 def align_sentences(originals: DataFrame, passages: DataFrame) -> DataFrame:
     """(original_id, o_start, passage_id, p_start, score) of the sentences that render one another.
 
     originals: (id bigint, work_id, ref_unit, language, body); passages: (id string, work_id,
     ref_unit, body), each delivered once, without apparatus.  Rows with a null key or body pair with
-    nothing; a unit on one side only gives no row.  Counts run over all units; only the few
-    strongest translations of a word (TRANSLATIONS, ties by number) enter the cosine.
+    nothing; a unit on one side only gives no row.  Counts run over all units; every word pair of
+    a cosine of LEAST_WORD or more enters the dot products, weighed by how sure it is.
     """
+    spark = originals.sparkSession
     uid = F.xxhash64("work_id", "ref_unit")
     known = "work_id is not null and ref_unit is not null and id is not null and body is not null"
     o = originals.filter(known).select(uid.alias("uid"), F.lit("o").alias("side"), F.coalesce("language", F.lit("")).alias("lang"), F.col("id").cast("string").alias("id"), "body")
@@ -227,27 +300,39 @@ def align_sentences(originals: DataFrame, passages: DataFrame) -> DataFrame:
     units = docs.groupBy("uid").agg(F.max("lang").alias("lang"), F.sort_array(F.collect_list(F.struct("side", "id", "starts", "words"))).alias("docs"))
     units = written(units.filter("exists(docs, x -> x.side = 'o') and exists(docs, x -> x.side = 'p')"), "paired-units")
 
-    least = 2 if units.count() >= 200 else 1  # in so few units a word may stand once
     counted = units.select("lang", "docs").mapInPandas(_count_words, COUNTS).groupBy("kind", "lang", "a", "b").agg(F.sum("n").alias("n"))
-    counted = written(counted.filter(f"kind > 0 or n >= {least} or a = b"), "word-counts")  # a = b: the same number
+    counted = written(counted, "word-counts")
     n_units = counted.filter("kind = 3").select("lang", F.col("n").alias("n_units"))  # a row a language
     df_o = written(counted.filter("kind = 1").select("lang", F.col("a").alias("ow"), F.col("n").alias("df_o")).join(F.broadcast(n_units), "lang"), "words-of-originals")
     df_p = written(counted.filter("kind = 2").select("lang", F.col("a").alias("pw"), F.col("n").alias("df_p")).join(F.broadcast(n_units.withColumnRenamed("n_units", "n_p")), "lang"), "words-of-translations")
     small_o, small_p = _if_small(df_o), _if_small(df_p)
     # Cosine of two words over the concepts, less what chance gives two words of these frequencies.
     scored = counted.filter("kind = 0").select("lang", F.col("a").alias("ow"), F.col("b").alias("pw"), F.col("n").alias("co")).join(small_o, ["lang", "ow"]).join(small_p, ["lang", "pw"])
-    scored = scored.withColumn("cos", (F.col("co") - F.col("df_o") * F.col("df_p") / F.col("n_units")) / F.sqrt(F.col("df_o") * F.col("df_p"))).filter("cos > 0.1")
-    for_o, for_p = Window.partitionBy("lang", "ow").orderBy(F.desc("cos"), "pw"), Window.partitionBy("lang", "pw").orderBy(F.desc("cos"), "ow")
-    best = scored.withColumn("ro", F.row_number().over(for_o)).withColumn("rp", F.row_number().over(for_p)).filter(f"ro <= {TRANSLATIONS} and rp <= {TRANSLATIONS}")
+    chance = F.col("df_o") * F.col("df_p") / F.col("n_units")
+    scored = scored.withColumn("cos", (F.col("co") - chance) / F.sqrt(F.col("df_o") * F.col("df_p"))).filter(f"cos > {LEAST_WORD}")
+    # Every such pair counts: the less, the fewer units speak for it and the stronger the rivals of either word are.
+    sure = (F.col("co") - chance) ** 2 / ((F.col("co") - chance) ** 2 + DOUBT**2 * F.col("co"))
+    scored = scored.withColumn("weight", F.col("cos") * sure)
+    scored = scored.withColumn("share", _share(F.col("weight")))
     idf_o, idf_p = F.log(1 + F.col("n_units") / F.col("df_o")), F.log(1 + F.col("n_units") / F.col("df_p"))
-    gram = _if_small(written(best.select("lang", "ow", "pw", (F.col("cos") * idf_o * idf_p).alias("g")), "word-cosines"))
+    gram = written(scored.select("lang", "ow", "pw", (F.col("weight") * F.col("share") * idf_o * idf_p).alias("g")), "word-cosines")
 
     # Sentences: the products of their words' weights and cosines, summed by a sparse join within the unit.
     exploded = units.select("uid", "lang", F.posexplode("docs").alias("d", "doc")).select("uid", "lang", "d", "doc.side", F.posexplode("doc.words").alias("s", "ws"))
     words = exploded.select("uid", "lang", "side", F.col("d").cast("short").alias("d"), F.col("s").cast("short").alias("s"), F.explode("ws").alias("w"))
-    ow = words.filter("side = 'o'").select("uid", "lang", "d", "s", F.col("w").alias("ow")).join(gram, ["lang", "ow"]).select("uid", "d", "s", "pw", F.col("g").cast("float").alias("g"))
-    pw = words.filter("side = 'p'").select("uid", F.col("d").alias("e"), F.col("s").alias("t"), F.col("w").alias("pw"))
-    dots = ow.join(pw, ["uid", "pw"]).groupBy("uid", "d", "s", "e", "t").agg(F.sum("g").alias("v"))
+    if gram.count() <= SMALL:
+        of_words = spark.sparkContext.broadcast(Gram(gram.toPandas()))
+
+        def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                for k in range(0, len(pdf), CHUNK):
+                    yield _dots(pdf[k : k + CHUNK], of_words.value)
+
+        dots = units.select("uid", "lang", "docs").mapInPandas(look, DOTS)
+    else:
+        ow = words.filter("side = 'o'").select("uid", "lang", "d", "s", F.col("w").alias("ow")).join(gram, ["lang", "ow"]).select("uid", "d", "s", "pw", F.col("g").cast("float").alias("g"))
+        pw = words.filter("side = 'p'").select("uid", F.col("d").alias("e"), F.col("s").alias("t"), F.col("w").alias("pw"))
+        dots = ow.join(pw, ["uid", "pw"]).groupBy("uid", "d", "s", "e", "t").agg(F.sum("g").alias("v"))
     w2o = words.filter("side = 'o'").join(small_o.select("lang", F.col("ow").alias("w"), (idf_o * idf_o).alias("w2")), ["lang", "w"]).select("uid", "d", "s", "w2")
     w2p = words.filter("side = 'p'").join(small_p.select("lang", F.col("pw").alias("w"), (F.log(1 + F.col("n_p") / F.col("df_p")) ** 2).alias("w2")), ["lang", "w"]).select("uid", "d", "s", "w2")
     norms = w2o.unionByName(w2p).groupBy("uid", "d", "s").agg(F.sum("w2").alias("v"))
