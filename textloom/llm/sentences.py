@@ -1,11 +1,13 @@
 """Sentence boundaries in any of the corpus' scripts.
 
-The rules are compiled once into a finite transducer over *events* (end marks, quotes, markers,
-line ends ...; plain words never become events).  A chunk of a document is evaluated for every
-state at once, i.e. as a function state -> state; the functions are composed by a parallel prefix
-scan, which yields the state in front of each chunk, and a second pass over the chunk then writes
-its events out.  Chunks are cut inside tasks (numpy) and, for texts over LONG characters, also by
-Spark, so that one enormous document is worked on by many tasks.
+The rules are compiled once into a finite transducer over *events* (end marks, quotes, numbers,
+line ends ..., each with a bit for letters in front of it).  What an event is depends on at most
+WINDOW characters on either side of it and on the layout of its document; all longer memory is in
+the transducer's state.  A chunk of a document is evaluated for every state at once, i.e. as a
+function state -> state; the functions are composed by a parallel prefix scan, which yields the
+state in front of each chunk, and a second pass over the chunk then writes its events out.  Chunks
+are cut inside tasks (numpy) and, for texts over LONG characters, also by Spark, so that one
+enormous document is worked on by many tasks; where chunks are cut makes no difference.
 """
 
 from __future__ import annotations
@@ -18,9 +20,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-#: Texts over LONG characters are cut into pieces of that size by Spark; STEP events make one chunk inside a task.
-LONG, STEP, CONTEXT = 32_768, 32, 96
+from textloom.functions.shared import written
+
+#: Texts over LONG characters are cut into pieces of that size by Spark; STEP events make one chunk inside a task; SCAN pieces are scanned by one task.
+LONG, STEP, SCAN = 32_768, 64, 256
+#: An event looks at no more than WINDOW characters on either side of it; pieces bring CONTEXT of them along.
+WINDOW, CONTEXT = 64, 96
 
 # Characters by role.
 INVISIBLE = "­​-‏⁠﻿"
@@ -34,31 +41,37 @@ ABBREVIATIONS = [
     "עי.", "וכו'.", "पृ.", "उदा.", "इत्यादि...", "ityādi...",
 ]
 
-_MARKS = "̀-ͯ֐-׿ऀ-ॣ"
 _GAP = rf"[\s{INVISIBLE}]"
 _QUOTE = "".join(a + b for a, b in PAIRS)
-# Only these characters can begin an event; what a dot means is looked up in the word in front of it.
-EVENT = re.compile(
-    rf"(?P<verse>॥(?:[\s{INVISIBLE}]*[\d०-९]{{1,6}}[\s{INVISIBLE}]*॥)?)"
-    rf"|(?P<quote>[{_QUOTE}])|(?P<dot>[.．]+)|(?P<full>[。！？｡!?׃।|]+)|(?P<semi>[;\u037e])|(?P<line>\n)|(?P<wide>　+)|(?P<part>[也矣焉哉耳乎])"
-)
+_FULL = "。！？｡!?׃।|"
+# Only these characters can begin an event, each by itself (of a run of like marks the last); what a dot means is looked up in the word in front of it.
+EVENT = re.compile(rf"(?P<verse>॥)|(?P<quote>[{_QUOTE}])|(?P<dot>[.．])|(?P<full>[{_FULL}](?![{_FULL}]))|(?P<semi>[;\u037e])|(?P<line>\n)|(?P<wide>　(?!　))|(?P<part>[也矣焉哉耳乎])")
 _SHORT = {re.sub(rf"[{INVISIBLE}]", "", f) for a in ABBREVIATIONS for w in a.split(" ") for f in (w, unicodedata.normalize("NFD", w))}
 _BEFORE_NUMBER = {"no.", "vol.", "pp.", "p.", "ch.", "fol."}  # abbreviations only in front of a number
 _INITIAL = re.compile(r"(?:[A-Za-zΑ-Ωα-ωἀ-ὧ][̀-ͯ]?|[A-Z]h)\.")
 _ORDINAL = re.compile(r"\d{1,4}\.")
-_ORDINAL_DIGITS = re.compile(r"\d+$")
 _HIDDEN_RE = re.compile(f"[{INVISIBLE}]+")
 _LEADS = "(([{“„«‘'\"–—"
+INVISIBLE_SET = frozenset("\u00ad\u200b\u200c\u200d\u200e\u200f\u2060\ufeff")
+_GREEK = re.compile("[Ͱ-Ͽἀ-῿]")
+HAS_END = re.compile(r"[。！？｡．!?׃।॥|;\u037e]|[^.\s]\.(?:[\s”’»\"')\]]|\Z)")
+_AFTER = re.compile(rf"[.;\u037e?!](?<=\S\S.)\s{{1,{WINDOW}}}(?:\(\S{{1,20}}\) )?([^\W\d_])")
+_SPACE = re.compile(rf"{_GAP}{{0,{WINDOW}}}")
+_LETTER = re.compile(r"[^\W_]")
+_NUMBERED = re.compile(rf"{_GAP}{{0,8}}[\d०-९]{{1,6}}{_GAP}{{0,8}}॥")
+_CLOSED = re.compile(rf"॥{_GAP}{{0,8}}[\d०-९]{{1,6}}{_GAP}{{0,8}}\Z")
 
 
-def _dot(text: str, a: int, b: int) -> str:
-    """What the dot or dots at [a, b) are: skip, number (of what follows, if nothing stands before it) or full."""
+def _dot(text: str, a: int) -> tuple[str, int]:
+    """What the dot at a is, skip, number (of what follows, if nothing stands before it) or full; and where it begins."""
+    b = a + 1
     after = text[b : b + 1]
-    if b - a > 1:
-        return "skip"
+    if after in ".．" and after or text[a - 1 : a] in ".．" and a:
+        return "skip", a
     if after and not after.isspace() and after not in CLOSERS and after not in ")]" and after not in INVISIBLE_SET:
-        return "skip"  # inside a number, an address, an abbreviation
-    begin = max(text.rfind(" ", max(0, a - 40), a), text.rfind("\n", max(0, a - 40), a), a - 40, -1) + 1
+        return "skip", a  # inside a number, an address, an abbreviation
+    begin = max(0, a - 40)
+    begin = max(text.rfind(" ", begin, a), text.rfind("\n", begin, a), begin - 1) + 1
     for k in range(a - 1, begin - 1, -1):
         if text[k].isspace():
             begin = k + 1
@@ -67,73 +80,79 @@ def _dot(text: str, a: int, b: int) -> str:
     if not word.isascii():
         word = _HIDDEN_RE.sub("", word)
     if word in _SHORT:
-        return "skip"
-    if word in _BEFORE_NUMBER and text[_SPACE.match(text, b).end() :][:1].isdigit():
-        return "skip"
+        return "skip", a
+    end = _SPACE.match(text, b).end()
+    if word in _BEFORE_NUMBER and text[end : end + 1].isdigit():
+        return "skip", a
     if _INITIAL.fullmatch(word):
-        return "skip" if _SPACE.match(text, b).end() < len(text) else "full"
-    return "number" if _ORDINAL.fullmatch(word) and after.isspace() else "full"
-
-
-INVISIBLE_SET = frozenset("\u00ad\u200b\u200c\u200d\u200e\u200f\u2060\ufeff")
-_SECTION = re.compile("[Ͱ-Ͽἀ-῿]")
-HAS_END = re.compile(r"[。！？｡．!?׃।॥|;\u037e]|[^.\s]\.(?:[\s”’»\"')\]]|$)")
-_AFTER = re.compile(r"\S\S[.;\u037e?!]\s+(?:\(\S+\) )?([^\W\d_])")
-_SPACE = re.compile(rf"{_GAP}*")
-_LETTER = re.compile(r"[^\W_]")
-
-# States: 0 nothing but markers yet, 1 words seen, 2 an end mark stands right before a closer,
-# then for each kind of quote: opened in front of / inside the sentence x an end mark stands right before its closer.
-START, IN, PEND, QUOTES = 0, 1, 2, 3
-STATES = QUOTES + 4 * len(PAIRS)
-# Event classes: 0 nothing; end mark followed by a closer / by something else; quote kind x (open, close) x letters before it; letters only; end of a unit of the text's own layout
-NOTHING, END_CLOSER, END, LETTERS = 0, 1, 2, 3
-QUOTE0 = 4  # + kind*8 + closes*4 + letters before*2 + next is a lower-case letter
-CLASSES = QUOTE0 + 8 * len(PAIRS)
+        return ("skip" if end < len(text) else "full"), a
+    if _ORDINAL.fullmatch(word) and after.isspace():
+        begin = a
+        while begin and a - begin < 4 and text[begin - 1].isdigit():
+            begin -= 1
+        return "number", begin
+    return "full", a
+
+
+# States: 0 nothing but markers yet, 1 words seen, 2 words seen but none since a quote, 3 an end mark stands right before a closer;
+# then for each kind of quote: opened in front of / inside the sentence x words seen in it, none since an event, an end mark right before its closer.
+START, IN, FRESH, PEND, QUOTES = 0, 1, 2, 3, 4
+STATES = QUOTES + 6 * len(PAIRS)
+# Event classes: nothing; end mark followed by a closer / by something else; end of a line or phrase; number with a dot, in front of a capital / a lower-case letter; quote kind x (open, close) x next is a lower-case letter.
+NOTHING, END_CLOSER, END, BREAK, NUMBER, NUMBER_LOW = range(6)
+QUOTE0 = 6  # + kind*4 + closes*2 + low
+CLASSES = 2 * (QUOTE0 + 4 * len(PAIRS))  # each without and with letters in front of it
+LETTERS = 2 * NOTHING + 1
 # Outputs.
 SILENT, CUT, MAYBE, OPEN, SHUT, SHUT_CUT, AGAIN = range(7)
 
 
 def compile_rules() -> tuple[np.ndarray, np.ndarray]:
     """The transducer as two tables, next state and output, by [state, event class]."""
-    to = np.tile(np.arange(STATES, dtype=np.int16)[:, None], (1, CLASSES))
-    out = np.zeros((STATES, CLASSES), np.int8)
-    to[START, LETTERS] = IN
-    for s in (START, IN, PEND):
-        to[s, END_CLOSER], to[s, END], out[s, END] = PEND, START, CUT
+    plain_to = np.tile(np.arange(STATES)[:, None], (1, CLASSES // 2))
+    out = np.zeros((STATES, CLASSES // 2), np.int8)
+    read = np.arange(STATES)  # what letters do
+    read[[START, FRESH, PEND]] = IN
+    for s in (START, IN, FRESH, PEND):
+        plain_to[s, END_CLOSER] = PEND
+        plain_to[s, END], out[s, END] = START, CUT
+        if s != START:
+            plain_to[s, BREAK], out[s, BREAK] = START, CUT
+        if s in (IN, PEND):  # else the number stands in front of its sentence
+            plain_to[s, NUMBER], out[s, NUMBER] = START, CUT
+            plain_to[s, NUMBER_LOW] = IN
         for kind in range(len(PAIRS)):
-            for letters in (0, 1):
-                for low in (0, 1):
-                    for closes in (0, 1):
-                        c = QUOTE0 + kind * 8 + closes * 4 + letters * 2 + low
-                        if closes:  # a stray closer: only ends the sentence if an end mark waits
-                            to[s, c], out[s, c] = (START, CUT) if s == PEND and not low else (IN if s == PEND else s, SILENT)
-                        else:
-                            inside = s == IN or letters
-                            to[s, c], out[s, c] = QUOTES + 4 * kind + 2 * inside, OPEN
+            for low in (0, 1):
+                c = QUOTE0 + kind * 4 + low
+                plain_to[s, c], out[s, c] = QUOTES + 6 * kind + 3 * (s in (IN, FRESH)) + 1, OPEN
+                # a stray closer: only ends the sentence if an end mark waits
+                plain_to[s, c + 2], out[s, c + 2] = (START, CUT) if s == PEND and not low else (START if s == START else FRESH, SILENT)
     for kind in range(len(PAIRS)):
         for inside in (0, 1):
-            for ended in (0, 1):
-                s = QUOTES + 4 * kind + 2 * inside + ended
-                plain, marked = s - ended, s - ended + 1
-                to[s, END_CLOSER], out[s, END_CLOSER] = marked, SILENT
-                to[s, END], out[s, END] = plain, MAYBE
-                to[s, LETTERS] = plain
+            first = QUOTES + 6 * kind + 3 * inside
+            plain, fresh, ended = first, first + 1, first + 2
+            for s in (plain, fresh, ended):
+                read[s] = plain
+                plain_to[s, END_CLOSER] = ended
+                for c in (END, BREAK):
+                    plain_to[s, c], out[s, c] = fresh, MAYBE
+                if s != fresh:
+                    plain_to[s, NUMBER], out[s, NUMBER] = fresh, MAYBE
+                    plain_to[s, NUMBER_LOW] = plain
                 for other in range(len(PAIRS)):
-                    for letters in (0, 1):
-                        for low in (0, 1):
-                            for closes in (0, 1):
-                                c = QUOTE0 + other * 8 + closes * 4 + letters * 2 + low
-                                at = plain if letters else s
-                                if other != kind:
-                                    to[s, c] = at
-                                elif not closes:
-                                    to[s, c], out[s, c] = QUOTES + 4 * kind + 2, AGAIN
-                                elif at == marked and inside and not low and kind != TITLE:
-                                    to[s, c], out[s, c] = START, SHUT_CUT
-                                else:
-                                    to[s, c], out[s, c] = IN, SHUT
-    return to, out
+                    for low in (0, 1):
+                        c = QUOTE0 + other * 4 + low
+                        if other != kind:
+                            plain_to[s, c] = plain_to[s, c + 2] = ended if s == ended else fresh
+                        else:
+                            plain_to[s, c], out[s, c] = QUOTES + 6 * kind + 4, AGAIN
+                            cut = s == ended and inside and not low and kind != TITLE
+                            plain_to[s, c + 2], out[s, c + 2] = (START, SHUT_CUT) if cut else (FRESH, SHUT)
+    to = np.empty((STATES, CLASSES), np.int16)
+    said = np.empty((STATES, CLASSES), np.int8)
+    to[:, 0::2], said[:, 0::2] = plain_to, out
+    to[:, 1::2], said[:, 1::2] = plain_to[read], out[read]
+    return to, said
 
 
 NEXT, OUT = compile_rules()
@@ -148,7 +167,8 @@ for _k, (_a, _b) in enumerate(PAIRS):
 
 
 def layout(text: str) -> str:
-    """What separates sentences in this text: m(arks), v(erse numbers), or without marks w(ide spaces), l(ines), p(articles); + 'c' where sentences start in lower case."""
+    """What separates sentences in this text: m(arks), v(erse numbers), or without marks w(ide spaces), l(ines), p(articles); + c where sentences start in lower case; + g where it has Greek letters."""
+    greek = "g" if _GREEK.search(text) else ""
     if "॥" in text:
         how = "v"
     elif HAS_END.search(text):
@@ -160,95 +180,89 @@ def layout(text: str) -> str:
     else:
         how = "p"
     if how == "m":
-        starts = [m for m in _AFTER.finditer(text) if not any(text.endswith(a, max(0, m.start() - 8), m.start() + 3) for a in ABBREVIATIONS)]
+        starts = [m for m in _AFTER.finditer(text) if not any(text.endswith(a, max(0, m.start() - 10), m.start() + 1) for a in ABBREVIATIONS)]
         first = _LETTER.search(text)
         low = sum(m.group(1).islower() for m in starts)
         if low > len(starts) - low or (low and first and (first.group().islower() or "Ͱ" <= first.group() <= "Ͽ")):
             how += "c"
-    return how
+    return how + greek
+
 
+def events(text: str, how: str, begin: int = 0, stop: int | None = None) -> list[tuple[int, int]]:
+    """(event class, end of the event) of the events whose mark stands in [begin, stop); letters behind the last one are an event of their own.
 
-def events(text: str, how: str, begin: int = 0, stop: int | None = None) -> list[tuple[int, int, int]]:
-    """(event class, end of the event, where text goes on) of the events that start in [begin, stop)."""
+    Each depends on `how` and on WINDOW characters around it only, so the events of a text are
+    those of its parts, wherever it is parted.
+    """
     stop = len(text) if stop is None else stop
-    found, last = [], 0  # events in front of `begin` are only looked at as context
-    greek = _SECTION.search(text) is not None
-    lines, wide, parts, verse, lower = "l" in how, "w" in how, "p" in how, "v" in how, "c" in how
-    for m in EVENT.finditer(text):
-        a, b = m.span()
+    found, last, tail = [], begin, stop
+    lines, wide, parts, verse, lower, greek = ("l" in how), ("w" in how), ("p" in how), ("v" in how), ("c" in how), ("g" in how)
+    marked = not (lines or wide or parts)
+    for m in EVENT.finditer(text, begin):
+        a = start = m.start()
+        kind, c = m.lastgroup, text[a]
         if a >= stop:
+            if kind == "dot":  # the digits of a number whose dot belongs to the next chunk are not letters here
+                kind, start = _dot(text, a)
+                tail = min(tail, start) if kind == "number" else tail
             break
-        kind = m.lastgroup
+        b = a + 1
         if kind == "dot":
-            kind = _dot(text, a, b)
-            if kind == "skip":
-                continue
-        elif kind == "full":
-            if text[a] == "|" and b < len(text) and not text[b].isspace() and text[b] not in CLOSERS:
+            kind, start = _dot(text, a)
+            if kind == "skip" or kind == "full" and not marked:
                 continue
-        elif kind == "semi":
-            if not greek:
-                continue
-            kind = "full"
-        if kind == "quote":
-            c = text[a]
+            kind = "dot" if kind == "full" else kind
+        elif kind == "quote":
             k, closes = _KIND[c]
             before = text[a - 1] if a else " "
             if c in "\"'":
                 closes = int(not (before.isspace() or before in "([–—“‘„«" or before in "​﻿⁠"))
-                if c == "'" and closes and b < len(text) and text[b].isalpha():
+                if c == "'" and closes and text[b : b + 1].isalpha():
                     continue
-            elif c in "’‘" and a and b < len(text) and before.isalpha() and text[b].isalpha():
+            elif c in "’‘" and a and before.isalpha() and text[b : b + 1].isalpha():
                 continue
             elif c in "”“" and k == 0 and closes == 0 and a and not (before.isspace() or before in "([–—‘«​﻿⁠:："):
                 closes = int(c == "”")
             after = _SPACE.match(text, b).end()
-            low = after < len(text) and text[after].islower() and not lower and text[max(0, a - 1)] != "."
-            letters = _LETTER.search(text, last, a) is not None
-            cls = QUOTE0 + k * 8 + closes * 4 + letters * 2 + low
-            found.append((cls, b, after, a))
+            low = text[after : after + 1].islower() and not lower and before != "."
+            found.append((2 * (QUOTE0 + k * 4 + closes * 2 + low) + (_LETTER.search(text, last, a) is not None), b))
             last = b
             continue
-        if kind == "number":
-            if _LETTER.search(text, last, text.rfind(_ORDINAL_DIGITS.search(text[max(0, a - 4) : a]).group(), last, a)) is None and (not found or found[-1][0] == END or found[-1][0] >= QUOTE0):
-                last = b  # a number in front of its sentence
-                continue
-            kind = "full"
-        if kind == "verse":
-            if not verse:
-                continue
         elif kind == "full":
-            if verse and text[a] in "।|":
+            if not marked or verse and c in "।|" or c == "|" and b < len(text) and not text[b].isspace() and text[b] not in CLOSERS:
+                continue
+        elif kind == "semi":
+            if not greek or not marked:
                 continue
-            if lines or wide or parts:
+        elif kind == "verse":
+            # the stroke in front of a verse's number ends nothing, the one behind it does
+            if not verse or _NUMBERED.match(text, b) and not _CLOSED.search(text, max(0, a - 24), a):
                 continue
         elif kind == "line" and not lines or kind == "wide" and not wide or kind == "part" and not parts:
             continue
-        if _LETTER.search(text, last, b) is None and not (found and found[-1][0] >= QUOTE0):
-            if kind in ("line", "wide"):
-                continue
         after = _SPACE.match(text, b).end()
-        if kind == "full" and text[a] == "." and after < len(text) and text[after].islower() and not lower:
+        low = c == "." and not lower and text[after : after + 1].islower()
+        if low and kind == "dot":
             continue
-        closer = b < len(text) and text[_invisible(text, b)] in CLOSERS + ")]" if _invisible(text, b) < len(text) else False
-        if closer and text[_invisible(text, b)] in "\"'" and after > b and text[b].isspace():
-            closer = False
-        if closer and text[_invisible(text, b)] in ")]":
+        at = b
+        while at < len(text) and at < b + WINDOW and text[at] in INVISIBLE_SET:
+            at += 1
+        closer = text[at : at + 1]
+        if closer and closer in ")]":
             continue
-        found.append((END_CLOSER if closer else END, b, after, a))
+        if kind == "number":
+            cls = NUMBER_LOW if low or not marked else NUMBER
+        elif closer and closer in CLOSERS:
+            cls = END_CLOSER
+        else:
+            cls = BREAK if kind in ("line", "wide") else END
+        found.append((2 * cls + (_LETTER.search(text, last, start) is not None), b))
         last = b
-    found = [e[:3] for e in found if e[3] >= begin]
-    if _LETTER.search(text, max(last, begin), stop) is not None:
-        found.append((LETTERS, stop, stop))
+    if _LETTER.search(text, last, tail) is not None:
+        found.append((LETTERS, stop))
     return found
 
 
-def _invisible(text: str, at: int) -> int:
-    while at < len(text) and text[at] in "­​‌‍‎‏⁠﻿":
-        at += 1
-    return at
-
-
 def functions_of(classes: np.ndarray) -> np.ndarray:
     """Rows of event classes (padded with NOTHING) -> the function state -> state of each row."""
     f = np.tile(np.arange(STATES, dtype=np.int16), (len(classes), 1))
@@ -283,32 +297,39 @@ def outputs(classes: np.ndarray, doc: np.ndarray, state0: np.ndarray) -> np.ndar
     grid[row, col] = classes
     owner = np.repeat(np.arange(len(state0)), chunks)
     first = np.concatenate([[True], owner[1:] != owner[:-1]])
-    whole = scan(functions_of(grid), first)
     state = state0[owner].astype(np.int64)
     rest = np.nonzero(~first)[0]
-    state[rest] = whole[rest - 1, state0[owner[rest]]]
+    if len(rest):  # a chunk with another one behind it is a function of the state in front of it
+        whole = scan(functions_of(grid[rest - 1]), first[rest - 1])
+        state[rest] = whole[np.arange(len(rest)), state0[owner[rest]]]
     out = np.zeros(grid.shape, np.int8)
-    for k in range(STEP):
+    for k in range(int(min(per.max(), STEP))):
         out[:, k] = OUT[state, grid[:, k]]
         state = NEXT[state, grid[:, k]]
     return out[row, col]
 
 
-def spans(text: str, said: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """Sentences from the outputs (output, end, next): cuts inside a quote hold only if the quote is never closed."""
-    cuts, held = [], []
-    for what, end, _ in said:
+def _fates(said: list[tuple[int, int]]) -> tuple[list[int], list[int], int]:
+    """Outputs (what, end) -> (cuts, cuts still open at the end, what the first output says that decides over open ones in front: 0 none, 1 they hold, 2 they do not)."""
+    cuts, held, first = [], [], 0
+    for what, end in said:
         if what == CUT:
             cuts.append(end)
         elif what == MAYBE:
             held.append(end)
-        elif what in (OPEN, AGAIN):
-            cuts += held
-            held = []
-        else:
+        else:  # cuts inside a quote hold only if the quote is never closed
+            holds = what in (OPEN, AGAIN)
+            first = first or (1 if holds else 2)
+            cuts += held if holds else []
             held = []
             if what == SHUT_CUT:
                 cuts.append(end)
+    return sorted(cuts), held, first
+
+
+def spans(text: str, said: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Sentences from the outputs (what, end) of a whole text."""
+    cuts, held, _ = _fates(said)
     found, at = [], 0
     for end in [*sorted(cuts + held), len(text)]:
         a, b = at, end
@@ -335,7 +356,7 @@ def split_many(texts: list[str]) -> list[list[tuple[int, int]]]:
     out = outputs(classes, doc, np.zeros(len(texts), np.int64))
     result, at = [], 0
     for t, x in zip(texts, found):
-        said = [(int(o), e[1], e[2]) for o, e in zip(out[at : at + len(x)], x) if o]
+        said = [(int(o), e[1]) for o, e in zip(out[at : at + len(x)], x) if o]
         at += len(x)
         result.append(spans(t, said))
     return result
@@ -344,6 +365,9 @@ def split_many(texts: list[str]) -> list[list[tuple[int, int]]]:
 # ---- Spark ----------------------------------------------------------------------------------
 
 SENTENCES = "s_no int, s_start int, s_end int"
+PIECES = "_doc bigint, _chunk int, _at int, _lead int, _size int, _how string, _slice string"
+FUNCTIONS = "_doc bigint, _block int, _chunk int, f array<smallint>"
+PARTS = "_doc bigint, _chunk int, k int, cut int, first int, last int, letters boolean, hard int, n_cut int, n_maybe int"
 
 
 def _whole(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
@@ -355,8 +379,20 @@ def _whole(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.Data
         yield out.assign(s_no=flat[:, 0], s_start=flat[:, 1], s_end=flat[:, 2])
 
 
-def _chunk_functions(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
-    """First pass over long texts: each chunk as a function of the state in front of it."""
+def _cut_up(batches: Iterator[pd.DataFrame], keys: list[str], long: int) -> Iterator[pd.DataFrame]:
+    """Long texts in pieces, each with its document's layout and with context on both sides."""
+    for pdf in batches:
+        for n, text in enumerate(pdf["_text"]):
+            how, head = layout(text), pdf[["_doc", *keys]].iloc[[n]]
+            for some in range(0, len(text), long * SCAN):
+                at = np.arange(some, min(len(text), some + long * SCAN), long)
+                lead, size = np.minimum(at, CONTEXT), np.minimum(len(text) - at, long)
+                slices = [text[a - b : a + c + CONTEXT] for a, b, c in zip(at, lead, size)]
+                yield head.loc[head.index.repeat(len(at))].assign(_chunk=at // long, _at=at, _lead=lead, _size=size, _how=how, _slice=slices)
+
+
+def _piece_functions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """First pass over long texts: each piece as a function of the state in front of it."""
     for pdf in batches:
         rows = []
         for text, how, begin, size in zip(pdf["_slice"], pdf["_how"], pdf["_lead"], pdf["_size"]):
@@ -364,60 +400,88 @@ def _chunk_functions(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterat
             grid = np.zeros((max(1, -(-len(cls) // STEP)), STEP), np.int16)
             grid.reshape(-1)[: len(cls)] = cls
             rows.append(scan(functions_of(grid), np.arange(len(grid)) == 0)[-1].tolist())
-        yield pdf[keys + ["_chunk"]].assign(f=rows)
+        yield pdf[["_doc", "_chunk"]].assign(_block=pdf["_chunk"] // SCAN, f=rows)[["_doc", "_block", "_chunk", "f"]]
+
 
+def _scanned(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The functions of one block of pieces (or of blocks) -> each with all before it."""
+    pdf = pdf.sort_values("_chunk")
+    f = scan(np.array(pdf["f"].tolist(), np.int16), np.arange(len(pdf)) == 0)
+    return pdf.assign(f=f.tolist())
 
-def _chunk_outputs(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
-    """Second pass: with the state in front of it known, what each chunk says, in places of the whole text."""
+
+def _piece_parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Second pass, with the state in front of each piece known: what lies between its cuts, in places of the whole text; k = -1 sums the piece up."""
     for pdf in batches:
         rows = []
-        for text, how, begin, size, at, state in zip(pdf["_slice"], pdf["_how"], pdf["_lead"], pdf["_size"], pdf["_at"], pdf["_state"]):
+        for doc, chunk, text, how, begin, size, at, state in zip(*(pdf[c] for c in ("_doc", "_chunk", "_slice", "_how", "_lead", "_size", "_at", "_state"))):
             found = events(text, how, begin, begin + size)
             out = outputs(np.array([e[0] for e in found], np.int16), np.zeros(len(found), np.int64), np.array([state]))
-            shift = at - begin
-            rows.append([(int(o), e[1] + shift) for o, e in zip(out, found) if o])
-        flat = [(k, *r) for k, x in enumerate(rows) for r in x]
-        out = pdf[keys].iloc[[x[0] for x in flat]].reset_index(drop=True)
-        yield out.assign(said=np.array([x[1] for x in flat], np.int32), place=np.array([x[2] for x in flat], np.int32))
+            cuts, held, first = _fates([(int(o), e[1]) for o, e in zip(out, found) if o])
+            rows.append((doc, chunk, -1, 0, None, None, None, first, len(cuts), len(held)))
+            a = begin
+            for k, (b, kind) in enumerate(sorted([(c, 1) for c in cuts] + [(c, 2) for c in held]) + [(begin + size, 0)]):
+                x, y = a, b
+                while x < y and text[x].isspace():
+                    x += 1
+                while y > x and text[y - 1].isspace():
+                    y -= 1
+                some = x < y
+                rows.append((doc, chunk, k, kind, x + at - begin if some else None, y + at - begin if some else None, some and _LETTER.search(text, x, y) is not None, None, None, None))
+                a = b
+        yield pd.DataFrame(rows, columns=[c.split(" ")[0] for c in PARTS.split(", ")]).astype({c: "Int32" for c in ("first", "last", "hard", "n_cut", "n_maybe")})
+
+
+def _long_sentences(pieces: DataFrame) -> DataFrame:
+    """(_doc, s_no, s_start, s_end) from the pieces of long texts: no task sees more than a block of pieces or of their cuts."""
+    # Prefix scan: inside blocks of SCAN pieces, over the blocks of a document, and both put together.
+    inside = written(pieces.mapInPandas(_piece_functions, FUNCTIONS).groupBy("_doc", "_block").applyInPandas(_scanned, FUNCTIONS), "piece-functions")
+    ends = inside.groupBy("_doc", "_block").agg(F.max_by("f", "_chunk").alias("f")).withColumn("_chunk", F.col("_block"))
+    over = ends.select("_doc", "_block", "_chunk", "f").groupBy("_doc").applyInPandas(_scanned, FUNCTIONS)
+    front = over.select("_doc", (F.col("_block") + 1).alias("_block"), F.element_at("f", 1).alias("_front"))
+    before = inside.select("_doc", F.expr(f"(_chunk + 1) div {SCAN}").cast("int").alias("_block"), (F.col("_chunk") + 1).alias("_chunk"), "f")
+    # the first piece of a block starts in the state that block starts in; the first of all in START
+    states = before.join(front, ["_doc", "_block"], "left").withColumn("_front", F.coalesce("_front", F.lit(START)))
+    state = F.when(F.col("_chunk") % SCAN == 0, F.col("_front")).otherwise(F.element_at("f", (F.col("_front") + 1).cast("int")))
+    states = states.select("_doc", "_chunk", state.cast("int").alias("_state"))
+    known = pieces.join(states, ["_doc", "_chunk"], "left").withColumn("_state", F.coalesce("_state", F.lit(START)))
+    parts = written(known.mapInPandas(_piece_parts, PARTS), "sentence-parts")
+
+    # Cuts left open at the end of a piece are decided by the first later piece that decides anything.
+    order = Window.partitionBy("_doc").orderBy("_chunk")
+    sums = parts.filter("k = -1").withColumn("hard", F.expr("nullif(hard, 0)"))
+    sums = sums.withColumn("holds", F.coalesce(F.first("hard", ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing)), F.lit(1)) == 1)
+    sums = sums.withColumn("n", F.col("n_cut") + F.when(F.col("holds"), F.col("n_maybe")).otherwise(0))
+    sums = sums.select("_doc", "_chunk", "holds", F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    rows = parts.filter("k >= 0").drop("hard", "n_cut", "n_maybe").join(sums, ["_doc", "_chunk"])
+    cut = (F.col("cut") == 1) | ((F.col("cut") == 2) & F.col("holds"))
+    earlier = Window.partitionBy("_doc", "_chunk").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("segment", F.col("before") + F.coalesce(F.sum(cut.cast("int")).over(earlier), F.lit(0)))
+    segments = rows.filter("first is not null").groupBy("_doc", "segment").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.bool_or("letters").alias("letters"))
+    # marks alone belong to the sentence before
+    by_place = Window.partitionBy("_doc").orderBy("segment")
+    starts = (F.col("letters") | F.lag("segment").over(by_place).isNull()).cast("int")
+    numbered = segments.withColumn("starts", starts).withColumn("s_no", (F.sum("starts").over(by_place) - 1).cast("int"))
+    return numbered.groupBy("_doc", "s_no").agg(F.min("first").alias("s_start"), F.max("last").alias("s_end"))
 
 
 def split_sentences(df: DataFrame, text: str, keys: list[str], long: int = LONG) -> DataFrame:
     """keys + (s_no, s_start, s_end): the sentences of df[text], offsets in code points, end exclusive.
 
-    Null, empty and blank texts have no sentences.  Further columns are ignored, repeated rows give
-    repeated sentences only if their keys differ (rows are taken as they are; keys must be unique
-    for texts over `long` characters).  No shuffle but for such long texts.
+    Null, empty and blank texts have no sentences.  Further columns are ignored; each row is taken
+    by itself, with whatever keys (null and repeated ones included).  No shuffle but for texts over
+    `long` characters, which are written down in pieces of that length; the result is the same for
+    every `long`.
     """
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keys).schema) + ", "
     rows = df.filter(F.col(text).rlike(r"\S")).select(*keys, F.col(text).alias("_text"))
     short = rows.filter(F.length("_text") <= long).mapInPandas(lambda it: _whole(it, keys), schema + SENTENCES)
-
-    # Long texts: pieces with context on both sides, so that events at a seam are seen whole.
-    how = F.pandas_udf(lambda s: s.map(layout), "string")
-    big = rows.filter(F.length("_text") > long).withColumn("_how", how("_text"))
-    pieces = big.select(
-        *keys, "_how", F.col("_text"),
-        F.explode(F.sequence(F.lit(0), F.ceil(F.length("_text") / long).cast("int") - 1)).alias("_chunk"),
-    ).withColumn("_at", F.col("_chunk") * long).withColumn("_lead", F.least(F.col("_at"), F.lit(CONTEXT))).select(
-        *keys, "_how", "_chunk", "_at", "_lead",
-        F.least(F.length("_text") - F.col("_at"), F.lit(long)).alias("_size"),
-        F.expr(f"substring(_text, _at - _lead + 1, _lead + {long} + {CONTEXT})").alias("_slice"),
-    )
-    funcs = pieces.mapInPandas(lambda it: _chunk_functions(it, keys), schema + "_chunk int, f array<int>")
-    ordered = funcs.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_chunk", "f"))).alias("fs"))
-    # A document's chunk functions (a few dozen numbers each) applied one after another: the state in front of each chunk.
-    states = ordered.select(*keys, F.posexplode(F.expr("aggregate(fs, array(0), (acc, x) -> concat(acc, array(x.f[element_at(acc, -1)])))")).alias("_chunk", "_state"))
-    said = pieces.join(states, [*keys, "_chunk"]).mapInPandas(lambda it: _chunk_outputs(it, keys), schema + "said int, place int")
-    cuts = said.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("place", "said"))).alias("cuts"))
-
-    def assemble(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            found = [spans(t, [(c["said"], c["place"], 0) for c in (cs if cs is not None else [])]) for t, cs in zip(pdf["_text"], pdf["cuts"])]
-            out = pdf[keys].loc[pdf.index.repeat([len(x) for x in found])].reset_index(drop=True)
-            flat = np.array([(k, a, b) for x in found for k, (a, b) in enumerate(x)], np.int32).reshape(-1, 3)
-            yield out.assign(s_no=flat[:, 0], s_start=flat[:, 1], s_end=flat[:, 2])
-
-    whole = big.select(*keys, "_text").join(cuts, keys, "left").mapInPandas(assemble, schema + SENTENCES)
+    big = rows.filter(F.length("_text") > long).withColumn("_doc", F.monotonically_increasing_id())
+    pieces = written(big.mapInPandas(lambda it: _cut_up(it, keys, long), schema + PIECES), "long-texts")
+    if pieces.isEmpty():
+        return short
+    heads = pieces.filter("_chunk = 0").select("_doc", *keys)
+    whole = heads.join(_long_sentences(pieces.drop(*keys)), "_doc").select(*keys, "s_no", "s_start", "s_end")
     return short.unionByName(whole)
 
 
