@@ -15,6 +15,7 @@ QUERIES = {
     "p6_packed": packing.p6_packed,
     "p6_fill": packing.p6_fill,
     "p7_found": leakage.p7_found,
+    "p7_matches": leakage.p7_matches,
     "p7_clean_documents": leakage.p7_clean_documents,
     "p8_found": private.p8_found,
     "p8_redacted": private.p8_redacted,
