@@ -37,11 +37,16 @@ def test_pack(spark):
     assert pack(df.limit(0), caps).count() == 0
 
 
-def test_a_hot_length(spark):
+def test_a_hot_length(spark, monkeypatch):
+    monkeypatch.setattr("textloom.llm.packing.PER_BUCKET", 300)  # many buckets, many blocks
     df = spark.range(5000).selectExpr("id as doc_id", "7 as n_tokens")
     caps = spark.createDataFrame([(1, 21)], "capacity_id int, capacity_tokens int")
     got = pack(df, caps).groupBy("container_id").sum("n_tokens").toPandas()
     assert len(got) == -(-5000 // 3) and got["sum(n_tokens)"].max() == 21
+    long = spark.range(2000).selectExpr("id as doc_id", "cast(30 + id % 40 as int) as n_tokens")
+    part = pack(long, caps).toPandas()
+    assert part.groupby("container_id").n_tokens.sum().max() <= 21
+    assert part.groupby("doc_id").n_tokens.sum().to_dict() == {k: 30 + k % 40 for k in range(2000)}
 
 
 def test_token_counts(spark):

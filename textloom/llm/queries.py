@@ -14,10 +14,11 @@ QUERIES = {
     "p4_paragraphs": scans.p4_paragraphs,
     "p6_packed": packing.p6_packed,
     "p6_fill": packing.p6_fill,
+    "p6_properties": packing.p6_properties,
     "p7_found": leakage.p7_found,
     "p7_matches": leakage.p7_matches,
     "p7_clean_documents": leakage.p7_clean_documents,
     "p8_found": private.p8_found,
     "p8_redacted": private.p8_redacted,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"p6_properties": packing.PROPERTIES_SQL}
