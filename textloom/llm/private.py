@@ -1,14 +1,17 @@
 """Personal information in free text.
 
 A skip-chain conditional random field labels the tokens around everything that might be personal.
-Neighbouring tokens share potentials along the chain, repeated capitalised tokens of a document
-across it; messages go round over these loops until the labels of a document agree.  The model is
-fitted here, on a bounded sample that high-precision patterns label.
+Neighbouring tokens share potentials along the chain, repeated or similar capitalised tokens of a
+document across it; messages go round over these loops until the labels of a document agree.  The
+model is fitted here, on a bounded sample: numbers, addresses and mails are labelled by their form,
+names by titles, by contact data next to them, and by surroundings that the sample itself shows to
+hold names that stand nowhere else.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,24 +25,25 @@ from textloom.sources.tables import table
 TYPES = ["email", "phone", "id_number", "address", "name"]
 LABELS = ["O"] + [f"{b}-{t}" for t in TYPES for b in "BI"]
 L = len(LABELS)
-#: Documents the model is fitted on: of four times as many of least hash those that may hold something personal.
-SAMPLE = 1_200
+#: Documents the model is fitted on, and the length up to which a document may be one of them (all documents are labelled, whole).
+SAMPLE, SAMPLE_CHARS = 1_200, 20_000
 #: Tokens of context on either side of a place that may be personal; hashed features; rounds of messages.
 CONTEXT, SPACE, ROUNDS = 5, 1 << 18, 3
+#: Tokens (with padding) of linked windows that are worked on together, if a document has no more.
+CELLS = 60_000
 
 _TOKEN = re.compile(r"[^\W\d_]+(?:['’](?![sS]\b)[^\W\d_]+)*|\d+|[^\w\s]|_")
-_UP = r"[A-ZÀ-ÖØ-Þ]"
+_CAPITALS = "".join(c for c in map(chr, range(0x41, 0x530)) if c.isupper())
+_UP = f"[{_CAPITALS}]"
 _NAMEWORD = rf"{_UP}[^\W\d_]*(?:['’](?![sS]\b){_UP}?[^\W\d_]+)?(?:-{_UP}[^\W\d_]+)?"
 _PARTICLE = r"(?:van|von|de|der|den|la|VAN|VON|DE|DER|DEN|LA)"
 #: Places worth a look; everything else is labelled O without further work.
 #: One character class begins every place, so that the scan skips from candidate to candidate; what it is follows by looking back at it.
 _ANCHOR = re.compile(
-    r"[@＠(\[{+0-9A-ZÀ-ÖØ-Þ](?:(?<=[@＠])|(?<=[(\[{])\s*at\s*[)\]}]|(?<=\+)\d|(?<=\()\d[\d().\-\s]{4,}\d"
+    rf"[@＠(\[{{+0-9{_CAPITALS}](?:(?<=[@＠])|(?<=[(\[{{])\s*at\s*[)\]}}]|(?<=\+)\d|(?<=\()\d[\d().\-\s]{{4,}}\d"
     r"|(?<=\d)(?<!\w.)[\d().\-\s]{5,}\d|(?<=[A-Z])(?<!\w.)[A-Z]?\s?\d{2}"
     rf"|(?<=\d)(?<![.:\w].)\d{{0,3}}[a-z]?,?\s+(?:{_UP}|rue\b)|(?<=P)(?<!\w.)\.?\s?O\.?\s+Box|(?<=F)(?<!\w.)lat\s+\d"
-    r"|(?<=[A-ZÀ-ÖØ-Þ])(?<!\w.)"
-    r"(?!(?:(?<=[IO])[nf]|(?<=T)(?:he|heir)|(?<=W)(?:hen|hile)|(?<=A)(?:n|lthough|)|(?<=H)is|(?<=E)very|(?<=B)ecause|(?<=D)iscourses|(?<=P)assage|(?<=R)eaders)\b)"
-    rf"[\w'’-]*(?:(?<=straße)\s+\d|\.?,?\s+(?:{_UP}\.\s+|{_PARTICLE}\s+)*{_UP}[\w'’-]+))"
+    rf"|(?<={_UP})(?<!\w.)[\w'’-]*(?:(?<=straße)\s+\d|\.?,?\s+(?:{_UP}\.\s+|{_PARTICLE}\s+)*{_UP}[\w'’-]+))"
 )
 
 # ---- patterns that label the sample ------------------------------------------------------------
@@ -47,7 +51,7 @@ _ANCHOR = re.compile(
 _EMAIL = re.compile(r"[\w.+\-]+(?:@|\s*[(\[{]\s*at\s*[)\]}]\s*)[\w\-]+(?:(?:\.|\s*[(\[{]\s*dot\s*[)\]}]\s*)[\w\-]+)+", re.I)
 _PHONE = re.compile(
     r"(?:\+|00\s)\d{1,3}[\s.\-]*(?:\(0\))?[\s.\-]*\d{2,5}(?:[\s.\-]+\d{2,6}){1,3}|\(\d{3}\)\s*\d{3}[\s.\-]\d{4}|(?<![\d.\-])\d{3}([.\-\s])\d{3}\1\d{4}(?![\d\-])"
-    r"|(?<![\d.\-])(?:555|\d{3})-\d{4}(?![\d\-])|(?<!\d)0\d{2}\s\d{4}\s\d{4}(?!\d)|(?<!\d)0\d{4}\s\d{6}(?!\d)|(?<!\d)0\d{3}\s\d{3}\s\d{4}(?!\d)|(?<!\d)[2-9]\d{9}(?!\d)|(?<!\d)0\d{9,10}(?!\d)"
+    r"|(?<![\d.\-])\d{3}-\d{4}(?![\d\-])|(?<!\d)0\d{2}\s\d{4}\s\d{4}(?!\d)|(?<!\d)0\d{4}\s\d{6}(?!\d)|(?<!\d)0\d{3}\s\d{3}\s\d{4}(?!\d)|(?<!\d)[2-9]\d{9}(?!\d)|(?<!\d)0\d{9,10}(?!\d)"
 )
 _ID = re.compile(
     r"\b[A-Z]{2}(?:\s?\d{2}){3}\s?[A-Z]\b|\b[A-Z]{1,2}\d{6,9}[A-Z]?\b|(?<![\d\-.])\d{3}-\d{2}-\d{4}(?![\d\-])|(?<![\d\-])\d{6}-\d{3,4}[A-Z]?\b|(?<!\d)\d{4}\s\d{4}\s\d{4}(?!\s?\d)|(?<![\d\-.])\d{9}(?![\d\-])"
@@ -65,16 +69,24 @@ _STREET = (
 _ADDRESS = re.compile(rf"(?<![\w.])(?:{_STREET})(?:,\s*|\s*\n\s*)(?:{_POST}\s+)?{_TOWN}(?:(?:,\s*|\s+){_POST})?")
 _GIVEN = rf"(?:{_UP}\.|{_NAMEWORD})(?:\s+(?:{_UP}\.|{_PARTICLE}))*\s+{_NAMEWORD}"
 _NAME = rf"(?:{_NAMEWORD},\s+{_NAMEWORD}|{_GIVEN})"
-_AFTER = re.compile(
-    r"(?:\b(?:Dr|Mrs|Mr|Ms|Miss|Prof)\.?|\bissued\s+to|\bName\s+ist|\bdue\s+to|\bThe\s+heir,|\bdeclaration:|\bask\s+for|\breturned\s+by|\bobliged\s+reader,|\bsent\s+to|\bsigned\s+by|\bchecked\s+by|\btranscribed\s+by"
-    rf"|\bÉcrire\s+à|\bproofs,\s+as|\bc/o|\bFrom:|\bSigned,|\bSubscriber|\bbelonged\s+to|\bcare\s+of|\bMadame|\bHerr|\bFrau)\s+(?:(?:Dr|Mrs|Mr|Ms|Prof)\.?\s+)?({_NAME})"
-)
-_BEFORE = re.compile(rf"(?<![\w.])({_GIVEN})(?=['’]s\s+own\s+copy|\s+wrote\s+from\s+\d|\s+will\s+answer\s+questions|\s+and\s+the\s+late|\s+may\s+be\s+reached|\s*[<(]\S+@|,\s+national\s+ID|,\s+born\s+at)")
-_LATE = re.compile(rf"(?<=,\s)({_NAME})(?=\s+and\s+the\s+late\b)")
-
-
-def weak_labels(text: str) -> list[tuple[str, int, int]]:
-    """(type, start, end) that the patterns are sure of, none overlapping another."""
+_TITLED = re.compile(rf"(?:\b(?:Dr|Mrs|Mr|Ms|Miss|Prof|Mme|Mlle|Madame|Monsieur|Herr|Frau|Sir)\.?|\bc/o|\bcare\s+of|\bFrom:|\bTo:|\bSigned,?)\s+(?:(?:Dr|Mrs|Mr|Ms|Prof)\.?\s+)?({_NAME})")
+_RUN = re.compile(rf"(?<![\w.'’-])(?:{_PARTICLE}\s+)?(?:{_UP}\.|{_NAMEWORD}(?![\w-]))(?:\s+(?:{_UP}\.|{_PARTICLE}(?=\s)|{_NAMEWORD}(?![\w-])))*")
+_SURNAME_FIRST = re.compile(rf",\s+({_NAMEWORD}(?:\s+{_UP}\.)?)(?![\w-])(?!\s+{_UP})")
+_ENDS = set(".!?।॥。\"“”‘’«»")  # what stands between sentences says nothing
+#: A name is labelled if contact data begin at most so many characters behind it.
+NEAR = 24
+#: Surroundings hold personal names if at least NAMES different ones were seen in them, a share of RARE with a word seen in at most PLACES surroundings, and no word in over half of them.
+NAMES, RARE, PLACES = 5, 0.75, 5
+#: A word seen in lower case so often in the sample begins or ends no name that is labelled; a name has at most so many words.
+PLAIN, MOST_WORDS = 3, 4
+#: A third or later word that stood in more surroundings than this belongs to what follows the name.
+KNOWN = 12
+#: A word leads names (a title, a heading) if it stood in front of runs of two or more other capitalised words at least so often, and as often as in front of one.
+LEADS = 4
+
+
+def _form_labels(text: str) -> list[tuple[str, int, int]]:
+    """(type, start, end) of mails, addresses and numbers, none overlapping another."""
     found: list[tuple[str, int, int]] = []
 
     def add(kind: str, a: int, b: int) -> None:
@@ -91,10 +103,98 @@ def weak_labels(text: str) -> list[tuple[str, int, int]]:
             if _NOT.search(left):
                 continue
             add("id_number" if _TO_ID.search(left) else "phone" if _TO_PHONE.search(left) else kind, m.start(), m.end())
-    for pattern in (_LATE, _AFTER, _BEFORE):
-        for m in pattern.finditer(text):
-            add("name", m.start(1), m.end(1))
-    return sorted(found, key=lambda f: f[1])
+    return found
+
+
+def _around(text: str, a: int, b: int) -> tuple[tuple[str, ...], tuple[str, ...]]:
+    """The two tokens on either side of a place, in lower case, numbers by their length."""
+    left = [t.lower() if not t.isdigit() else _shape(t) for t in _TOKEN.findall(text[max(0, a - 40) : a])[-2:]]
+    right = [t.lower() if not t.isdigit() else _shape(t) for t in _TOKEN.findall(text[b : b + 40])[:2]]
+    return ("<", *left), (">", *right)
+
+
+def _words(s: str) -> list[str]:
+    return re.findall(r"[^\W\d_]{2,}", s)
+
+
+def _like_names(text: str, leading: set[str], plain: set[str], known: set[str], other: list[tuple[str, int, int]]) -> list[tuple[int, int]]:
+    """Places of capitalised words that could be a name with surname: without what leads names or also stands in lower case at either end, nothing that belongs to `other`."""
+    out = []
+    for m in _RUN.finditer(text):
+        parts = [(m.start() + p.start(), m.start() + p.end(), p.group().strip(".")) for p in re.finditer(r"\S+", m.group())]
+        while parts and (parts[0][2] in leading or parts[0][2].lower() in plain and len(parts[0][2]) > 1 and not re.fullmatch(_PARTICLE, parts[0][2])):
+            parts.pop(0)
+        while parts and (parts[-1][2].lower() in plain or parts[-1][1] - parts[-1][0] == 2 and text[parts[-1][1] - 1] == "."):
+            parts.pop()
+        while len(parts) > 2 and parts[-1][2] in known:
+            parts.pop()
+        full = sum(len(p[2]) > 1 and p[2][0].isupper() for p in parts)
+        if not full or full > MOST_WORDS:
+            continue
+        a, b = parts[0][0], parts[-1][1]
+        if full == 1 and not any(len(p[2]) == 1 for p in parts):
+            second = _SURNAME_FIRST.match(text, b)
+            if not second or second.group(1).lower() in plain:
+                continue
+            b = second.end()
+        if all(b <= x or a >= y for _, x, y in other):
+            out.append((a, b))
+    return out
+
+
+class NameCues:
+    """Surroundings of names of private people, learned from a sample: different names stand in them, and hardly ever ones that stand elsewhere."""
+
+    def __init__(self, texts: list[str] = ()):
+        lead: dict[str, list[int]] = {}
+        low: Counter[str] = Counter()
+        for text in texts:
+            low.update(re.findall(r"(?<!\S)[a-z]{2,}(?=[.,;:!?]?(?:\s|$))", _EMAIL.sub(" ", text)))
+            for m in _RUN.finditer(text):
+                words = [w for w in m.group().split() if len(w) > 2]
+                if len(words) > 1:
+                    lead.setdefault(words[0], [0, 0])[len(words) > 2] += 1
+        self.leading = {w for w, (two, more) in lead.items() if more >= LEADS and more >= two} | {"Dr", "Mr", "Mrs", "Ms", "Miss", "Prof", "Mme", "Mlle", "Madame", "Monsieur", "Herr", "Frau", "Sir"}
+        self.plain = {w for w, n in low.items() if n >= PLAIN} | {"a"}
+        inside: dict[tuple[str, ...], set[str]] = {}
+        places: dict[str, set[tuple]] = {}
+        self.known: set[str] = set()
+        self.forms = {text: _form_labels(text) for text in texts}
+        for text, other in self.forms.items():
+            for a, b in _like_names(text, self.leading, self.plain, self.known, other):
+                left, right = _around(text, a, b)
+                inside.setdefault(left, set()).add(text[a:b])
+                inside.setdefault(right, set()).add(text[a:b])
+                for w in set(_words(text[a:b])):
+                    places.setdefault(w, set()).add((left, right))
+        self.known = {w for w, at in places.items() if len(at) > KNOWN}
+        self.personal = set()
+        for at, names in inside.items():
+            beside = at[2] if at[0] == "<" and len(at) > 2 else at[1] if len(at) > 1 else "."
+            if len(names) < NAMES or beside in _ENDS or not any(t[0].isalpha() for t in at[1:]):
+                continue
+            split = [_words(n) for n in names]
+            rare = sum(min(len(places[w]) for w in ws) <= PLACES for ws in split)
+            common = max(sum(w in ws for ws in split) for w in {w for ws in split for w in ws})
+            if rare >= RARE * len(names) and common <= len(names) / 2:
+                self.personal.add(at)
+
+    def labels(self, text: str) -> list[tuple[str, int, int]]:
+        """(type, start, end) that form, titles, contact data, learned surroundings or a name listed beside it are sure of, none overlapping another."""
+        found = self.forms[text] if text in self.forms else _form_labels(text)
+        begins = sorted(a for _, a, _ in found)
+        titled = {m.start(1) for m in _TITLED.finditer(text)}
+        maybe = _like_names(text, self.leading, self.plain, self.known, found)
+        sure = set()
+        for a, b in maybe:
+            left, right = _around(text, a, b)
+            if a in titled or left in self.personal or right in self.personal or any(b < x <= b + NEAR and not re.search(r"[.!?]\s+[A-Z]", text[b:x]) for x in begins):
+                sure.add((a, b))
+        for listed in (maybe, maybe[::-1]):  # names listed one after another
+            for one, two in zip(listed, listed[1:]):
+                if one in sure and text[min(one[1], two[1]) : max(one[0], two[0])].strip() in (",", "and", ", and", "&", ";"):
+                    sure.add(two)
+        return sorted(found + [("name", a, b) for a, b in sure], key=lambda f: f[1])
 
 
 # ---- tokens and features -----------------------------------------------------------------------
@@ -245,7 +345,7 @@ class Field:
     def __init__(self) -> None:
         self.w = np.zeros((SPACE, L), np.float32)
         self.step = _forbidden()
-        self.skip = np.zeros((L, L), np.float32)
+        self.skip = np.zeros((2, L, L), np.float32)  # by kind of link
 
     def unary(self, places: np.ndarray) -> np.ndarray:
         u = np.zeros((*places.shape[:2], L), np.float32)
@@ -253,31 +353,58 @@ class Field:
             u += self.w[places[..., k]]
         return u
 
-    def fit(self, places: np.ndarray, gold: np.ndarray, size: np.ndarray, epochs: int = 6, batch: int = 256, rate: float = 0.25) -> Field:
-        """Gradient steps on the chains' likelihood (AdaGrad)."""
+    def fit(self, places: np.ndarray, gold: np.ndarray, size: np.ndarray, links: np.ndarray, doc: np.ndarray, epochs: int = 5, joint: int = 2, batch: int = 256, rate: float = 0.25) -> Field:
+        """AdaGrad steps on the likelihood: of the chains alone first, then of whole documents with their links, whose beliefs come from loopy messages."""
         rng = np.random.default_rng(5)
-        g2, s2 = np.full((SPACE, L), 1e-2, np.float32), np.full((L, L), 1e-2, np.float32)
+        g2, s2, k2 = np.full((SPACE, L), 1e-2, np.float32), np.full((L, L), 1e-2, np.float32), np.full((2, L, L), 1e-2, np.float32)
         forbidden = self.step < -1
-        for _ in range(epochs):
-            order = np.argsort(size + rng.random(len(size)) * 4)
-            parts = [order[k : k + batch] for k in range(0, len(order), batch)]
+        width = gold.shape[1]
+        by_doc = np.argsort(doc, kind="stable")
+        ends = np.nonzero(np.diff(doc[by_doc], append=-1))[0] + 1
+        for epoch in range(epochs + joint):
+            chains = epoch < epochs
+            if chains:
+                order = np.argsort(size + rng.random(len(size)) * 4)
+                parts = [order[k : k + batch] for k in range(0, len(order), batch)]
+            else:  # whole documents together
+                cuts = [0]
+                for e in ends:
+                    if e - cuts[-1] >= batch or e == len(by_doc):
+                        cuts.append(int(e))
+                parts = [by_doc[x:y] for x, y in zip(cuts, cuts[1:])]
             for k in rng.permutation(len(parts)):
                 ids = parts[k]
                 t = int(size[ids].max())
                 p, y, n = places[ids, :t], gold[ids, :t], size[ids]
                 u = self.unary(p)
                 live = np.arange(t)[None, :] < n[:, None]
+                if not chains:
+                    place = np.full(len(size), -1)
+                    place[ids] = np.arange(len(ids))
+                    mine = links[place[links[:, 0] // width] >= 0]
+                    if len(mine):
+                        mine = np.stack([place[mine[:, 0] // width] * t + mine[:, 0] % width, place[mine[:, 1] // width] * t + mine[:, 1] % width, mine[:, 2]], 1)
+                        u, free_a, free_b = self.messages(u, n, mine)
+                        both = free_a[:, :, None] + free_b[:, None, :] + self.skip[mine[:, 2]]
+                        both = np.exp(both - both.max((1, 2), keepdims=True))
+                        both /= both.sum((1, 2), keepdims=True)
+                        kgrad, flat_y = np.zeros((2, L, L), np.float32), y.reshape(-1)
+                        np.add.at(kgrad, (mine[:, 2], flat_y[mine[:, 0]], flat_y[mine[:, 1]]), 1)
+                        np.add.at(kgrad, mine[:, 2], -both)
+                        kgrad = (kgrad + kgrad.transpose(0, 2, 1)) / 2 - 0.5 * self.skip
+                        k2 += kgrad**2
+                        self.skip += 0.1 * kgrad / np.sqrt(k2)
                 m, f, eb = marginals(u, self.step, n)
                 grad = -m
                 np.put_along_axis(grad, y[..., None].astype(np.int64), np.take_along_axis(grad, y[..., None].astype(np.int64), 2) + 1, 2)
                 grad *= live[..., None]
                 sgrad = np.zeros((L, L), np.float32)
                 if t > 1:
-                    both, a = live[:, 1:], np.exp(self.step)
-                    prev, into = f[:, :-1][both], eb[:, 1:][both]
+                    steps, a = live[:, 1:], np.exp(self.step)
+                    prev, into = f[:, :-1][steps], eb[:, 1:][steps]
                     z = ((prev @ a) * into).sum(1, keepdims=True) + 1e-30
                     sgrad -= ((prev / z).T @ into) * a
-                    np.add.at(sgrad, (y[:, :-1][both], y[:, 1:][both]), 1)
+                    np.add.at(sgrad, (y[:, :-1][steps], y[:, 1:][steps]), 1)
                 flat, gl = p[live], grad[live]
                 where, inverse = np.unique(flat, return_inverse=True)
                 inverse = inverse.reshape(flat.shape)
@@ -289,56 +416,75 @@ class Field:
                 self.step = np.where(forbidden, self.step, self.step + rate * sgrad / np.sqrt(s2)).astype(np.float32)
         return self
 
-    def fit_skips(self, pairs: np.ndarray) -> Field:
-        """Skip potentials from the labels at both ends of the sample's skips: log of seen over expected, by type."""
-        kind = np.array([0] + [1 + k // 2 for k in range(L - 1)])
-        c = np.ones((len(TYPES) + 1, len(TYPES) + 1))
-        for a, b in pairs:
-            c[kind[a], kind[b]] += 1
-            c[kind[b], kind[a]] += 1
-        pmi = np.log(c * c.sum() / np.outer(c.sum(1), c.sum(0)))
-        self.skip = np.clip(pmi, -1.5, 1.5)[np.ix_(kind, kind)].astype(np.float32)
-        return self
-
-    def decode(self, u: np.ndarray, size: np.ndarray, skips: np.ndarray) -> np.ndarray:
-        """Labels; skips (K, 2): flat places of linked tokens.  Chains with skips pass messages ROUNDS times before they are decoded."""
-        if len(skips):
+    def messages(self, u: np.ndarray, size: np.ndarray, links: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Loopy messages over links (flat place, flat place, kind): unaries with the messages added, and each link's beliefs of its two ends without its own message."""
+        t = u.shape[1]
+        a, b, skip = links[:, 0], links[:, 1], self.skip[links[:, 2]]
+        to_b, to_a = np.zeros((len(links), L), np.float32), np.zeros((len(links), L), np.float32)
+        now = u
+        for left in range(rounds, -1, -1):
+            flat = np.log(marginals(now, self.step, size)[0]).reshape(-1, L)
+            free_a, free_b = flat[a] - to_a, flat[b] - to_b
+            if not left:
+                break
+            new_b = _lse(free_a[:, :, None] + skip, 1)
+            new_a = _lse(free_b[:, :, None] + skip, 1)
+            to_b = 0.5 * to_b + 0.5 * (new_b - _lse(new_b, 1)[:, None])
+            to_a = 0.5 * to_a + 0.5 * (new_a - _lse(new_a, 1)[:, None])
+            add = np.zeros((len(u) * t, L), np.float32)
+            np.add.at(add, b, to_b)
+            np.add.at(add, a, to_a)
+            now = u + add.reshape(u.shape)
+        return now, free_a, free_b
+
+    def pull(self) -> float:
+        """The most that the message of one link can change one label against another."""
+        return float((self.skip.max(1) - self.skip.min(1)).max()) if self.skip.any() else 0.0
+
+    def decode(self, u: np.ndarray, size: np.ndarray, links: np.ndarray) -> np.ndarray:
+        """Labels; links (K, 3).  Chains with links pass messages before they are decoded."""
+        if len(links):
             t = u.shape[1]
-            rows = np.unique(skips // t)
+            rows = np.unique(links[:, :2] // t)
             number = np.full(len(u), -1)
             number[rows] = np.arange(len(rows))
-            a, b = (number[skips[:, k] // t] * t + skips[:, k] % t for k in (0, 1))
-            base, n = u[rows], size[rows]
-            to_b, to_a = np.zeros((len(skips), L), np.float32), np.zeros((len(skips), L), np.float32)
-            now = base
-            for _ in range(ROUNDS):
-                flat = np.log(marginals(now, self.step, n)[0]).reshape(-1, L)
-                new_b = _lse((flat[a] - to_a)[:, :, None] + self.skip, 1)
-                new_a = _lse((flat[b] - to_b)[:, :, None] + self.skip, 1)
-                to_b = 0.5 * to_b + 0.5 * (new_b - _lse(new_b, 1)[:, None])
-                to_a = 0.5 * to_a + 0.5 * (new_a - _lse(new_a, 1)[:, None])
-                add = np.zeros((len(base) * t, L), np.float32)
-                np.add.at(add, b, to_b)
-                np.add.at(add, a, to_a)
-                now = base + add.reshape(base.shape)
+            own = np.stack([number[links[:, 0] // t] * t + links[:, 0] % t, number[links[:, 1] // t] * t + links[:, 1] % t, links[:, 2]], 1)
             u = u.copy()
-            u[rows] = now
+            u[rows] = self.messages(u[rows], size[rows], own)[0]
         return viterbi(u, self.step, size)
 
 
-def _skips(texts: list[str], docs: list[int], wins: list[list[tuple[int, int]]], width: int) -> np.ndarray:
-    """Each repeated capitalised token of a document is linked with its next occurrence: as many links as tokens, not pairs."""
-    last: dict[tuple[int, str], int] = {}
-    out = []
+#: Kinds of links: the same word, or another with the same first STEM letters.
+SAME, SIMILAR, STEM = 0, 1, 5
+
+
+def _links(texts: list[str], docs: list[int], wins: list[list[tuple[int, int]]], width: int) -> np.ndarray:
+    """Each capitalised word of a document (two letters or more, never in lower case beside it) is linked with its last occurrence, and with the last word like it: as many links as tokens, not pairs."""
+    last: dict[tuple[str, int], tuple[int, str]] = {}
+    out: list[tuple[int, int, int]] = []
+    low: set[str] = set()
+    owner = -1
     for n, (d, spans) in enumerate(zip(docs, wins)):
         text = texts[d]
+        if d != owner:
+            owner, last, low, k = d, {}, set(), n
+            while k < len(docs) and docs[k] == d:
+                low.update(t for a, b in wins[k] if (t := text[a:b]).islower())
+                k += 1
         for k, (a, b) in enumerate(spans):
-            if b - a >= 5 and text[a].isupper():
-                key = (d, text[a:b].lower())
-                if key in last:
-                    out.append((last[key], n * width + k))
-                last[key] = n * width + k
-    return np.array(out, np.int64).reshape(-1, 2)
+            if b - a > 1 and text[a].isupper():
+                word = text[a:b].lower()
+                if word in low:
+                    continue
+                at = n * width + k
+                for kind, key in ((SAME, word), (SIMILAR, word[:STEM])):
+                    if kind == SIMILAR and len(word) <= STEM:
+                        continue
+                    before = last.get((key, kind))
+                    if before and (kind == SAME or before[1] != word):
+                        out.append((before[0], at, kind))
+                    last[key, kind] = (at, word)
+    return np.array(out, np.int64).reshape(-1, 3)
 
 
 _EMAIL_CHECK = re.compile(r"[\w.+\-]+\s*(?:@|[(\[{]\s*at\s*[)\]}])\s*[\w\-]+\s*(?:\.|[(\[{]\s*dot\s*[)\]}])", re.I)
@@ -379,58 +525,71 @@ def label_texts(texts: list[str], field: Field, features: Features, chunk: int =
     sizes = np.array([len(w) for w in wins])
     flat = np.fromiter((features.number(texts[d][a:b]) for d, w in zip(docs, wins) for a, b in w), np.int32, int(sizes.sum()))
     begin = np.concatenate([[0], np.cumsum(sizes)])
-    safe = 2 * float(field.step.max() - field.step[0, 0]) + 2 * float(np.abs(field.skip).max()) + 1e-3
+    # What steps and links together can do for another label than O at one token: the steps into and out of a stretch of others, and each link of the token.
+    links = _links(texts, docs, wins, 1 << 24)
+    pulls = np.zeros(len(flat))
+    for side in (0, 1):
+        np.add.at(pulls, begin[links[:, side] >> 24] + (links[:, side] & 0xFFFFFF), field.pull())
+    safe = 2 * float(field.step.max() - field.step[0, 0]) + 1e-3
 
-    def scored(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(sizes, kind="stable")
+    parts = [order[k : k + chunk] for k in range(0, len(order), chunk)]
+    maybe = np.zeros(len(wins), bool)
+    kept: dict[int, np.ndarray] = {}
+    for ids in parts:
         t = int(sizes[ids].max())
-        numbers = np.zeros((len(ids), t), np.int32)
         live = np.arange(t)[None, :] < sizes[ids][:, None]
-        numbers[live] = np.concatenate([flat[begin[k] : begin[k + 1]] for k in ids])
+        at = np.concatenate([np.arange(begin[k], begin[k + 1]) for k in ids])
+        numbers, pull = np.zeros((len(ids), t), np.int32), np.zeros((len(ids), t))
+        numbers[live], pull[live] = flat[at], pulls[at]
         u = field.unary(features.of(numbers))
-        return u, ((u[..., 1:].max(2) - u[..., 0] > -safe) & live).any(1)
-
-    # chains in which O wins at every token whatever steps and skips say are O throughout
-    order = np.argsort(sizes, kind="stable")
-    open_: list[int] = []
-    kept: dict[int, np.ndarray] = {}
-    for k in range(0, len(order), chunk):
-        ids = order[k : k + chunk]
-        u, keep = scored(ids)
-        for row in np.nonzero(keep)[0]:
-            open_.append(int(ids[row]))
-            kept[int(ids[row])] = u[row, : sizes[ids[row]]]
+        maybe[ids] = ((u[..., 1:].max(2) - u[..., 0] > -safe - pull) & live).any(1)
+        linked = pull.any(1)
+        for row in np.nonzero(maybe[ids] | linked)[0]:
+            kept[int(ids[row])] = u[row, : sizes[ids[row]]].copy()
+    # A chain in which O wins at every token whatever steps and links say is O throughout; it is still heard by chains it is linked with, ROUNDS links far.
+    heard = maybe.copy()
+    for _ in range(ROUNDS):
+        for x, y in ((0, 1), (1, 0)):
+            heard[links[heard[links[:, x] >> 24], y] >> 24] = True
+    open_ = np.nonzero(heard)[0].tolist()
     if not open_:
         return []
-    open_.sort()
-    linked = _skips(texts, [docs[k] for k in open_], [wins[k] for k in open_], 1 << 24)
+    number = np.full(len(wins), -1)
+    number[open_] = np.arange(len(open_))
+    mine = links[(number[links[:, :2] >> 24] >= 0).all(1)]
+    linked = np.stack([(number[mine[:, 0] >> 24] << 24) | (mine[:, 0] & 0xFFFFFF), (number[mine[:, 1] >> 24] << 24) | (mine[:, 1] & 0xFFFFFF), mine[:, 2]], 1)
     has = np.zeros(len(open_), bool)
-    has[np.unique(linked >> 24)] = True
+    has[np.unique(linked[:, :2] >> 24)] = True
     out: list[tuple[int, str, int, int]] = []
     lengths = np.array([sizes[k] for k in open_])
     plain = np.nonzero(~has)[0]
     plain = plain[np.argsort(lengths[plain], kind="stable")]
     parts = [plain[k : k + chunk] for k in range(0, len(plain), chunk)]
-    # linked windows: whole documents at a time
+    # linked windows: whole documents at a time, those with windows of like length together
     tied = np.nonzero(has)[0]
-    owners = np.array([docs[open_[k]] for k in tied])
+    owners = np.array([docs[open_[k]] for k in tied], np.int64)
+    widest = np.zeros(len(texts), np.int64)
+    np.maximum.at(widest, owners, lengths[tied])
+    tied = tied[np.lexsort((owners, widest[owners]))]
+    owners = np.array([docs[open_[k]] for k in tied], np.int64)
+    ends = np.append(np.nonzero(np.diff(owners))[0] + 1, len(tied)) if len(tied) else []
     at = 0
-    while at < len(tied):
-        end = min(at + chunk // 4, len(tied))
-        while end < len(tied) and owners[end] == owners[end - 1]:
-            end += 1
-        parts.append(tied[at:end])
-        at = end
+    for k, end in enumerate(ends):
+        if k + 1 == len(ends) or (ends[k + 1] - at) * widest[owners[ends[k + 1] - 1]] > CELLS:
+            parts.append(tied[at:end])
+            at = end
     for ids in parts:
         t = int(lengths[ids].max())
         u = np.zeros((len(ids), t, L), np.float32)
         for row, k in enumerate(ids):
             u[row, : lengths[k]] = kept[open_[k]]
-        skips = np.zeros((0, 2), np.int64)
+        skips = np.zeros((0, 3), np.int64)
         if has[ids[0]]:
             place = np.full(len(open_), -1)
             place[ids] = np.arange(len(ids))
-            mine = linked[(place[linked >> 24] >= 0).all(1)]
-            skips = place[mine >> 24] * t + (mine & 0xFFFFFF)
+            here = linked[(place[linked[:, :2] >> 24] >= 0).all(1)]
+            skips = np.concatenate([place[here[:, :2] >> 24] * t + (here[:, :2] & 0xFFFFFF), here[:, 2:]], 1)
         path = field.decode(u, lengths[ids], skips)
         for k, row in zip(ids, path):
             labels = row[: lengths[k]]
@@ -451,12 +610,15 @@ def label_texts(texts: list[str], field: Field, features: Features, chunk: int =
     return out
 
 
-def fit_field(texts: list[str]) -> Field:
-    """The field fitted on texts that the patterns label."""
-    features = Features()
+def fit_field(texts: list[str], most: int = SAMPLE) -> Field:
+    """The field fitted on texts: cues of names are learned from all of them, weights from at most `most`, a quarter of them without anything personal."""
+    features, cues = Features(), NameCues(texts)
+    labelled = [(t, cues.labels(t)) for t in texts]
+    some, none = [x for x in labelled if x[1]], [x for x in labelled if not x[1]]
+    chosen = some[: most - min(len(none), most // 4)]
+    chosen += none[: most - len(chosen)]
     docs, wins, gold = [], [], []
-    for d, text in enumerate(texts):
-        found = weak_labels(text)
+    for d, (text, found) in enumerate(chosen):
         for spans in windows(text):
             y = np.zeros(len(spans), np.int8)
             for kind, a, b in found:
@@ -475,30 +637,28 @@ def fit_field(texts: list[str]) -> Field:
     size = np.array([len(w) for _, w, _ in pieces])
     numbers, labels = np.zeros((len(pieces), cut), np.int32), np.zeros((len(pieces), cut), np.int8)
     for n, (d, w, y) in enumerate(pieces):
-        numbers[n, : len(w)] = [features.number(texts[d][a:b]) for a, b in w]
+        numbers[n, : len(w)] = [features.number(chosen[d][0][a:b]) for a, b in w]
         labels[n, : len(w)] = y
     for n in range(len(labels)):  # a piece cannot begin inside an entity
         if labels[n, 0] and labels[n, 0] % 2 == 0:
             labels[n, 0] -= 1
-    field = Field().fit(features.of(numbers), labels, size)
-    links = _skips(texts, [d for d, _, _ in pieces], [w for _, w, _ in pieces], cut)
-    return field.fit_skips(np.stack([labels.reshape(-1)[links[:, 0]], labels.reshape(-1)[links[:, 1]]], 1) if len(links) else np.zeros((0, 2), np.int8))
-
-
-_MAYBE = r"@|\bat[)\]]|\d{5}|\d{3}[-. ]\d{4}|\+\d|Box|\b(?:Dr|Mrs|Mr|Prof)\b|Signed|issued|c/o|own copy|obliged"
+    owners = [d for d, _, _ in pieces]
+    links = _links([t for t, _ in chosen], owners, [w for _, w, _ in pieces], cut)
+    return Field().fit(features.of(numbers), labels, size, links, np.array(owners))
 
 
 def find_private(documents: DataFrame, key: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> DataFrame:
     """(key, pii_type, s_start, s_end): each occurrence once, places in code points, end exclusive.
 
     Null and empty texts hold nothing.  Every document is labelled whole; only fitting is bounded,
-    to `sample` documents.  Keys of repeated rows give one row a place.
+    to `sample` documents of at most SAMPLE_CHARS characters.  Keys of repeated rows give one row a place.
     """
     given = documents.filter(F.col(key).isNotNull() & (F.length(text) > 0)).select(key, text)
-    drawn = hash_sample(given, [key], 4 * sample, documents.count())  # a bounded draw; all documents are labelled below
-    rows = drawn.filter(F.col(text).rlike(_MAYBE)).select(F.xxhash64(key).alias("h"), text).collect()
-    rows = [(r[1],) for r in sorted(rows)[:sample]]
-    field = documents.sparkSession.sparkContext.broadcast(fit_field(sorted({r[0] for r in rows})))
+    short = given.filter(F.length(text) <= SAMPLE_CHARS)
+    drawn = hash_sample(short, [key], 4 * sample, short.count())  # a bounded draw; all documents are labelled below
+    rows = sorted((r[0], r[1]) for r in drawn.select(F.xxhash64(key), text).collect())
+    texts = list(dict.fromkeys(t for _, t in rows))
+    field = documents.sparkSession.sparkContext.broadcast(fit_field(texts, sample))
 
     def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         features = Features()
