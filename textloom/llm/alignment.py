@@ -2,9 +2,10 @@
 
 A word is represented by the paired documents (an original and the passages of its unit) it stands
 in; the cosine of an original's word and a translation's word over these shared concepts says how
-likely one renders the other.  Sentences are sums of their words; their cosines come from sparse
-joins within a unit.  Spans of one or two neighbouring sentences on either side compete, and those
-that are each other's best are taken.
+likely one renders the other.  Sentences are sums of their words (words of one side are taken as
+orthogonal to each other); their cosines come from sparse joins within a unit.  A sentence and spans
+of up to MERGE neighbouring ones on the other side compete, and those that are each other's best
+are taken.
 """
 
 from __future__ import annotations
@@ -39,8 +40,8 @@ ENDINGS = {
 }
 ARTICLE = "ה"
 #: Spans of up to this many neighbouring sentences may be one side of a pair.
-MERGE = 2
-#: A pair counts from this cosine on; a merged span must beat its best part by GAIN.
+MERGE = 3
+#: A pair counts from this cosine on; a merged span must beat its best part by GAIN for each sentence it has more.
 LEAST, GAIN = 0.22, 1.12
 #: Weight of the difference of relative places in the text, against ties.
 DRIFT = 0.25
@@ -48,8 +49,8 @@ DRIFT = 0.25
 SMALL = 300_000
 #: A word pair counts from this cosine on; its t-score weighs as much as so large a one.
 LEAST_WORD, DOUBT = 0.1, 0.7
-#: Units laid out at a time for the products of their words.
-CHUNK = 256
+#: Units laid out at a time for the products of their words; word pairs counted at a time.
+CHUNK, PAIRS = 256, 2_000_000
 
 
 def _base(word: str) -> str:
@@ -94,7 +95,7 @@ def stem(word: str, translation: bool) -> str:
 
 _HIDDEN = "\u00ad\u200b-\u200f\u2060\ufeff"
 _RAW = re.compile(rf"\d+(?:\.\d+)?|[零一二三四五六七八九十百千]+|[{_HAN}⺀-⿕]|(?:[^\W\d_{_HAN}][̀-ֽ֑ͯ-ׇऀ-ःऺ-ॏ{_HIDDEN}]*)+")
-DOCUMENT = "uid bigint, side string, lang string, id string, starts array<int>, words array<array<int>>"
+DOCUMENT = "uid bigint, side string, lang string, id string, starts array<int>, words array<array<bigint>>"
 
 
 class Words(dict):
@@ -112,7 +113,7 @@ class Words(dict):
         word = raw if raw.isascii() else canonical(raw)
         found = _WORD.findall(word) or [word]
         st = stem(found[0], self.translation) if len(found) == 1 or self.translation else stem("".join(found), False)
-        number = self[raw] = xxhash.xxh32_intdigest(st if st[:1] == "#" else f"{'p' if self.translation else 'o' + self.lang} {st}") - (1 << 31)
+        number = self[raw] = xxhash.xxh64_intdigest(st if st[:1] == "#" else f"{'p' if self.translation else 'o' + self.lang} {st}") - (1 << 63)
         return number
 
 
@@ -132,11 +133,11 @@ def _documents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 #: kind 0: co-occurrence of a (original) and b (translation); 1, 2: units with a word of the original, of the translation; 3: units.
-COUNTS = "kind int, lang string, a int, b int, n bigint"
+COUNTS = "kind int, lang string, a bigint, b bigint, n bigint"
 
 
 def _count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Counts over the units of a batch, summed before anything is shuffled."""
+    """Counts over some units at a time, summed before anything is shuffled; never more than about PAIRS word pairs are laid out."""
     for pdf in batches:
         by_lang: dict[str, list] = {}
         for lang, docs in zip(pdf["lang"], pdf["docs"]):
@@ -146,20 +147,33 @@ def _count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     sides[d["side"]].update(ws.tolist())
             by_lang.setdefault(lang, []).append((np.array(sorted(sides["o"]), np.int64), np.array(sorted(sides["p"]), np.int64)))
         for lang, units in by_lang.items():
-            so, sp = np.array([len(o) for o, _ in units]), np.array([len(p) for _, p in units])
-            vo, o = np.unique(np.concatenate([o for o, _ in units]), return_inverse=True)
-            vp, p = np.unique(np.concatenate([p for _, p in units]), return_inverse=True)
-            # every word of an original's unit with every word of its translation: each o repeated, p laid out once for each o
-            begin = np.concatenate([[0], np.cumsum(sp)[:-1]])
-            per = np.repeat(sp, so)
-            first = np.repeat(np.repeat(begin, so), per)
-            place = np.arange(int(per.sum())) - np.repeat(np.concatenate([[0], np.cumsum(per)[:-1]]), per)
-            codes = np.repeat(o.astype(np.int64), per) * len(vp) + p[first + place]
-            pair, n = np.unique(codes, return_counts=True)
-            yield pd.DataFrame({"kind": 0, "lang": lang, "a": vo[pair // len(vp)], "b": vp[pair % len(vp)], "n": n})
-            yield pd.DataFrame({"kind": 1, "lang": lang, "a": vo, "b": 0, "n": np.bincount(o, minlength=len(vo))})
-            yield pd.DataFrame({"kind": 2, "lang": lang, "a": vp, "b": 0, "n": np.bincount(p, minlength=len(vp))})
+            for kind, side in ((1, 0), (2, 1)):
+                w, n = np.unique(np.concatenate([u[side] for u in units]), return_counts=True)
+                yield pd.DataFrame({"kind": kind, "lang": lang, "a": w, "b": 0, "n": n})
             yield pd.DataFrame({"kind": 3, "lang": [lang], "a": 0, "b": 0, "n": len(units)})
+            # a unit of more pairs than fit is taken in parts of the original's words
+            parts = [(o[k : k + step], p) for o, p in units for step in [max(1, PAIRS // max(1, len(p)))] for k in range(0, len(o), step)]
+            some, pairs = [], 0
+            for k, (o, p) in enumerate(parts):
+                some.append((o, p))
+                pairs += len(o) * len(p)
+                if k + 1 == len(parts) or pairs + len(parts[k + 1][0]) * len(parts[k + 1][1]) > PAIRS:
+                    yield _pair_counts(lang, some)
+                    some, pairs = [], 0
+
+
+def _pair_counts(lang: str, units: list[tuple[np.ndarray, np.ndarray]]) -> pd.DataFrame:
+    """In how many of the units each word of the original meets each word of the translation."""
+    so, sp = np.array([len(o) for o, _ in units]), np.array([len(p) for _, p in units])
+    vo, o = np.unique(np.concatenate([o for o, _ in units]), return_inverse=True)
+    vp, p = np.unique(np.concatenate([p for _, p in units]), return_inverse=True)
+    # each o repeated, p laid out once for each o
+    per = np.repeat(sp, so)
+    first = np.repeat(np.repeat(np.concatenate([[0], np.cumsum(sp)[:-1]]), so), per)
+    place = np.arange(int(per.sum())) - np.repeat(np.concatenate([[0], np.cumsum(per)[:-1]]), per)
+    codes = np.repeat(o.astype(np.int64), per) * len(vp) + p[first + place]
+    pair, n = np.unique(codes, return_counts=True)
+    return pd.DataFrame({"kind": 0, "lang": lang, "a": vo[pair // len(vp)], "b": vp[pair % len(vp)], "n": n})
 
 
 def _if_small(df: DataFrame) -> DataFrame:
@@ -168,7 +182,7 @@ def _if_small(df: DataFrame) -> DataFrame:
 
 
 #: Part v of the dot product of sentence s of text d (original) and sentence t of text e (translation) of a unit.
-DOTS = "uid bigint, d smallint, s smallint, e smallint, t smallint, v double"
+DOTS = "uid bigint, d int, s int, e int, t int, v double"
 
 
 class Gram:
@@ -185,7 +199,9 @@ class Gram:
 
     @staticmethod
     def codes(lang: np.ndarray | int, words: np.ndarray) -> np.ndarray:
-        return (lang << 32) + (words.astype(np.int64) + (1 << 31))
+        """A word in its language: the 64 bits of its hash, shuffled by the number of the language."""
+        with np.errstate(over="ignore"):
+            return words.astype(np.int64) * np.int64(6364136223846793005) + np.asarray(lang, np.int64)
 
 
 def _places(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -257,17 +273,18 @@ def _mutual_best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             def add(o: tuple[int, ...], p: tuple[int, ...], total: float) -> None:
                 cos = total / ((sum(norm[k] for k in o) * sum(norm[k] for k in p)) ** 0.5 or 1.0)
                 drift = abs((place[o[0]] + len(o) / 2) / size["o"] - (place[p[0]] + len(p) / 2) / size["p"])
-                score = cos * (1 - DRIFT * drift) / (GAIN if len(o) + len(p) > 2 else 1)
+                score = cos * (1 - DRIFT * drift) / GAIN ** (len(o) + len(p) - 2)
                 if score >= LEAST:
                     found.append((-score, o, p))
 
+            # a sentence against windows of neighbouring sentences of one text; a window that begins or ends with a sentence of no common word is never the best
             for (a, b), v in dot.items():
                 add((a,), (b,), v)
-                # windows of neighbouring sentences of one text on either side
-                if (w := dot.get((a + 1, b))) and owner[a] == owner[a + 1]:
-                    add((a, a + 1), (b,), v + w)
-                if (w := dot.get((a, b + 1))) and owner[b] == owner[b + 1]:
-                    add((a,), (b, b + 1), v + w)
+                for k in range(1, MERGE):
+                    if owner[a] == owner[min(a + k, len(owner) - 1)] and (a + k, b) in dot:
+                        add(tuple(range(a, a + k + 1)), (b,), sum(dot.get((x, b), 0.0) for x in range(a, a + k + 1)))
+                    if owner[b] == owner[min(b + k, len(owner) - 1)] and (a, b + k) in dot:
+                        add((a,), tuple(range(b, b + k + 1)), sum(dot.get((a, x), 0.0) for x in range(b, b + k + 1)))
             used: set[int] = set()
             for score, o, p in sorted(found):  # the best pair of what is left is each other's best
                 if used.isdisjoint(o) and used.isdisjoint(p):
@@ -319,7 +336,7 @@ def align_sentences(originals: DataFrame, passages: DataFrame) -> DataFrame:
 
     # Sentences: the products of their words' weights and cosines, summed by a sparse join within the unit.
     exploded = units.select("uid", "lang", F.posexplode("docs").alias("d", "doc")).select("uid", "lang", "d", "doc.side", F.posexplode("doc.words").alias("s", "ws"))
-    words = exploded.select("uid", "lang", "side", F.col("d").cast("short").alias("d"), F.col("s").cast("short").alias("s"), F.explode("ws").alias("w"))
+    words = exploded.select("uid", "lang", "side", F.col("d").cast("int").alias("d"), F.col("s").cast("int").alias("s"), F.explode("ws").alias("w"))
     if gram.count() <= SMALL:
         of_words = spark.sparkContext.broadcast(Gram(gram.toPandas()))
 
@@ -336,7 +353,7 @@ def align_sentences(originals: DataFrame, passages: DataFrame) -> DataFrame:
     w2o = words.filter("side = 'o'").join(small_o.select("lang", F.col("ow").alias("w"), (idf_o * idf_o).alias("w2")), ["lang", "w"]).select("uid", "d", "s", "w2")
     w2p = words.filter("side = 'p'").join(small_p.select("lang", F.col("pw").alias("w"), (F.log(1 + F.col("n_p") / F.col("df_p")) ** 2).alias("w2")), ["lang", "w"]).select("uid", "d", "s", "w2")
     norms = w2o.unionByName(w2p).groupBy("uid", "d", "s").agg(F.sum("w2").alias("v"))
-    values = dots.unionByName(norms.select("uid", "d", "s", F.lit(-1).cast("short").alias("e"), F.lit(0).cast("short").alias("t"), "v"))
+    values = dots.unionByName(norms.select("uid", "d", "s", F.lit(-1).cast("int").alias("e"), F.lit(0).cast("int").alias("t"), "v"))
     by_unit = values.groupBy("uid").agg(F.collect_list(F.struct("d", "s", "e", "t", "v")).alias("values"))
     heads = units.select("uid", F.transform("docs", lambda x: F.struct(x["side"].alias("side"), x["id"].alias("id"), x["starts"].alias("starts"))).alias("docs"))
     return heads.join(by_unit, "uid").drop("uid").mapInPandas(_mutual_best, "original_id bigint, o_start int, passage_id string, p_start int, score double")
