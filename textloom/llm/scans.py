@@ -2,7 +2,8 @@
 
 Lines are told apart from page furniture, words cut at line ends are joined, and words with wrongly
 recognised characters are replaced: candidates come from an inverted join over character q-grams,
-a gradient-boosted model ranks them; two more such models decide over furniture and over joins.
+a gradient-boosted model ranks them; more such models decide between a line and its neighbours over
+running titles, page numbers, joins, and whether a paragraph goes on.
 """
 
 from __future__ import annotations
@@ -26,8 +27,10 @@ from textloom.sources.tables import delivered_once, table
 SAMPLE = 1_500
 #: Segments of a work whose order is worked out by one task.
 BLOCK = 1_000
-#: A form of three or more places is misread only if its original is so many times as frequent.
-RARER = 5
+#: A form is misread only if its original, in clean texts and scans together, is so many times as frequent.
+RARER = 2
+#: A form that clean texts do not have corrects others if it is at least so large a share of the scans' words.
+SHARE = 2e-5
 #: A word seen so often in cleanly transcribed text is trusted.
 TRUSTED = 2
 HYPHENS = "-¬­—‐‑–"
@@ -39,7 +42,6 @@ CONFUSED = [
 # Single characters are folded first, so that pairs are found in whatever way their parts were misread.
 _FOLD_ONE = str.maketrans("ſ50oel1|!jb6uyqf7", "ssccciiiiihhnvgtt")
 _FOLD_MANY = [("ri", "n"), ("rn", "m"), ("in", "m"), ("ci", "d"), ("ii", "h"), ("vv", "w")]
-_PAGE = re.compile(r"[\W_]*(?:(?:p|pp|page|pag)\.?\s*)?(?:[\dOolIS|Q]*\d[\dOolIS|Q]*|[ivxlcdm]+|[OolI|]{1,4})[\W_]*", re.I)
 _ROMAN = r"[IVXLCivxlc1|]+"
 _NUMBER = re.compile(r"[\dOolI|S]*\d[\dOolI|S]*")
 _END = re.compile(r"[.?!][\"”’'»)\]]*$")
@@ -87,23 +89,70 @@ def line_features(lines: list[str], k: int, title: str) -> list[float]:
     ]
 
 
+PAGE_FEATURES = ["figures", "roman", "other", "length", "words", "first", "last", "alone", "digit", "runs"]
+#: A line of more words is no page number.
+PAGE_WORDS = 4
+_FIGURES, _NUMERAL = re.compile(r"[\dOolIS|Q]"), re.compile(r"[ivxlcdm]", re.I)
+
+
+def page_features(lines: list[str], k: int) -> list[float]:
+    """How much a line looks like a page number, by itself and between its neighbours."""
+    line = lines[k].strip()
+    bare = re.sub(r"^(?:p|pp|page|pag)\.?\s*(?=\W*[\dOolIS|ivxlcdm]+\W*$)", "", line, flags=re.I)
+    seen = [c for c in bare if c.isalnum() or c == "|"]
+    n = max(len(seen), 1)
+    written = [j for j, x in enumerate(lines) if x.strip()]
+    return [
+        len(_FIGURES.findall("".join(seen))) / n, len(_NUMERAL.findall("".join(seen))) / n, float(len(bare) - len(seen)), float(len(seen)), float(len(bare.split())),
+        float(bool(written) and k == written[0]), float(bool(written) and k == written[-1]), float(len(written) == 1), float(any(c.isdigit() for c in seen)), float(len(re.findall(r"[^\W_]+", bare.replace("|", "1")))),
+    ]
+
+
+def page_model(texts: list[str]) -> Boosted:
+    """Fitted on page numbers as printers set them and recognition spoils them, against lines and single words of text."""
+    rng = np.random.default_rng(17)
+    texts = texts or ["some words of a line", "and some more of them"]
+    x, y = [], []
+    for _ in range(900):
+        n = str(int(10 ** (rng.random() * 2.9)))
+        roman = "".join(["", "x", "xx", "xl", "l", "c"][rng.integers(6)]) + "i ii iii iv v vi vii viii ix".split()[rng.integers(9)]
+        number = n if rng.random() < 0.85 else roman
+        number = "".join({"0": "O", "1": "lI|"[rng.integers(3)], "5": "S"}.get(c, c) if rng.random() < 0.25 else c for c in number)
+        page = [number, f"[{number}]", f"- {number} -", f"— {number} —", f"p. {number}", f"({number})", f"{number}."][rng.integers(7)]
+        a, b = (texts[k] for k in rng.integers(0, len(texts), 2))
+        lines = [[page], [a, page], [page, b], [a, page, b], ["", page, "", b]][rng.integers(5)]
+        x.append(page_features(lines, lines.index(page)))
+        y.append(1)
+        words = a.split()
+        short = " ".join(words[: rng.integers(1, 3)]) if words else "word"
+        part = f"{rng.integers(1, 99)}.{rng.integers(1, 60)}"
+        other = [" ".join(words[:PAGE_WORDS]), short, f"{short} {n}", f"{n} {short} {n}", short.upper(), f"{n}. {short}", words[-1] if words else "end.", part + [").", ".", ")?", ", ", ":"][rng.integers(5)], f"({part})"][rng.integers(9)]
+        lines = [[other], [a, other], [other, b], [a, other, b]][rng.integers(4)]
+        x.append(page_features(lines, lines.index(other)))
+        y.append(0)
+    return Boosted(trees=40).fit(np.array(x), np.array(y, float))
+
+
 def furniture_model(titles: list[str], texts: list[str]) -> Boosted:
     """Fitted on running titles made from the works' names as printers set them and recognition spoils them, against lines of text."""
     rng = np.random.default_rng(7)
     x, y = [], []
     for title in titles:
         flat = _letters(title)
-        for _ in range(12):
+        for _ in range(30):
+            named = ["", "The ", "The ", "Of ", "A "][rng.integers(5)] + title
             roman = ["II", "III", "IV", "V", "VII", "IX", "XII"][rng.integers(7)]
-            head = [title.upper(), title.title(), f"CHAPTER {roman}", f"Chapter {roman}.", f"CHAPTER {roman}. {title.upper()}", "  ".join(title.upper())][rng.integers(6)]
+            head = [named.upper(), named.title(), f"CHAPTER {roman}", f"Chapter {roman}.", f"CHAPTER {roman}. {named.upper()}", "  ".join(named.upper()), " ".join(f"CHAPTER {roman}"), " ".join(f"CHAPTER {roman}. {named.upper()}")][rng.integers(8)]
             head = "".join({"O": "0", "I": "1", "E": "F", "H": "B", "N": "II"}.get(c, c) if rng.random() < 0.04 else c for c in head)
             head = [head, head + ".", f"{head}   {rng.integers(9, 500)}", f"{rng.integers(9, 500)}   {head}", " " * int(rng.integers(3, 16)) + head][rng.integers(5)]
             a, b = (texts[k] for k in rng.integers(0, len(texts), 2)) if texts else ("a b", "c d")
             lines = [[a, head, b], [head], ["31", head], [head, "[31]"]][rng.integers(4)]
             x.append(line_features(lines, lines.index(head), flat))
             y.append(1)
-            lines = [a, b, texts[rng.integers(len(texts))] if texts else "e f"]
-            for k in range(3):
+            last = b.split()[-1]
+            piece = [last, last.title(), last.title() + ".", last.title() + ",", " ".join(b.split()[:2])][rng.integers(5)]
+            lines = [a, b, texts[rng.integers(len(texts))] if texts else "e f", piece]
+            for k in range(4):
                 x.append(line_features(lines, k, flat))
                 y.append(0)
     return Boosted(trees=30).fit(np.array(x), np.array(y, float))
@@ -112,28 +161,32 @@ def furniture_model(titles: list[str], texts: list[str]) -> Boosted:
 LINES = "work_id string, n int, part int, line_no int, ref string, running boolean, kind string, line string"
 
 
-def classified_lines(segments: DataFrame, model: Boosted) -> DataFrame:
+def classified_lines(segments: DataFrame, model: Boosted, pages: Boosted) -> DataFrame:
     """One row a line, kind: text, header, page_no, heading (a chapter's own) or blank."""
 
     def classify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows, feats, where = [], [], []
-            for r in pdf.itertuples(index=False):
-                lines, title = r.raw.split("\n"), _letters(r.work_id)
-                page = [bool(_PAGE.fullmatch(x.strip())) and bool(x.strip()) for x in lines]
+            split = [raw.split("\n") for raw in pdf["raw"]]
+            asked = [bool(x.strip()) and len(x.split()) <= PAGE_WORDS for lines in split for x in lines]
+            ask = iter(asked)
+            scored = iter(pages.score(np.array([page_features(lines, k) for lines in split for k in range(len(lines)) if next(ask)])) > 0.5)
+            ask = iter(asked)
+            for r, lines in zip(pdf.itertuples(index=False), split):
+                title = _letters(r.work_id)
+                page = [bool(next(ask) and next(scored)) for _ in lines]
                 # a chapter's own heading has a line of words under it
                 own = r.apparatus and any(not p and re.search(r"[a-z]{3}", x) and line_features(lines, k, title)[0] < 0.6 for k, (x, p) in enumerate(zip(lines, page)))
                 for k, x in enumerate(lines):
                     kind = "blank" if not x.strip() else "page_no" if page[k] else "heading" if own else "text"
-                    if kind == "text" and len(x.strip()) < 80:
+                    if kind == "text":
                         where.append(len(rows))
                         feats.append(line_features(lines, k, title))
                     rows.append([r.work_id, r.n, r.part, k, r.ref, not r.apparatus, kind, x])
             if feats:
-                f = np.array(feats)
-                p = model.score(f)
-                for at, score, (of_title, of_chapter, *_) in zip(where, p, feats):
-                    if score > 0.5 and max(of_title, of_chapter) >= 0.6:
+                p = model.score(np.array(feats))
+                for at, score in zip(where, p):
+                    if score > 0.5:
                         rows[at][6] = "header"
             yield pd.DataFrame(rows, columns=["work_id", "n", "part", "line_no", "ref", "running", "kind", "line"])
 
@@ -152,7 +205,7 @@ def _plain(token: str) -> str:
     return re.sub(r"^[^\w|]+|[^\w|]+$", "", token.lower())
 
 
-WORD_FEATURES = ["edit", "folded_edit", "length", "count", "often", "first", "last", "strange", "share"]
+WORD_FEATURES = ["edit", "folded_edit", "length", "count", "often", "first", "last", "strange", "share", "figures"]
 
 
 def _distance(a: str, b: str) -> int:
@@ -169,7 +222,11 @@ def word_features(w: str, c: str, count: float, own: float) -> list[float]:
     a, b = skeleton(w), skeleton(c)
     ga, gb = {a[k : k + 2] for k in range(len(a) - 1)}, {b[k : k + 2] for k in range(len(b) - 1)}
     strange = bool(re.search(r"[\d|ſ]|[^\w-]", w))
-    return [_distance(w, c) / max(len(c), 1), _distance(a, b) / max(len(b), 1), float(len(w) - len(c)), np.log1p(count), np.log1p(own) - np.log1p(count), float(w[:1] == c[:1]), float(w[-1:] == c[-1:]), float(strange), len(ga & gb) / max(len(ga | gb), 1)]
+    return [_distance(w, c) / max(len(c), 1), _distance(a, b) / max(len(b), 1), float(len(w) - len(c)), np.log1p(count), np.log1p(own) - np.log1p(count), float(w[:1] == c[:1]), float(w[-1:] == c[-1:]), float(strange), len(ga & gb) / max(len(ga | gb), 1), float(c.isdigit())]
+
+
+#: Letters that figures are read as.
+_FIGURES_OF = str.maketrans("oli|s", "01115")
 
 
 def spoiled(w: str, rng: np.random.Generator) -> str:
@@ -227,12 +284,54 @@ def ranking_model(words: list[tuple[str, int]]) -> Boosted:
             if skeleton(c) != skeleton(w):
                 x.append(word_features(w, c, count[c], float(count[w] if rng.random() < 0.7 else rng.integers(1, 4))))
                 y.append(0)
+    for _ in range(400):  # figures read as letters, against words with a figure
+        n = str(int(10 ** (1 + rng.random() * 3)))
+        bad = "".join({"0": "o", "1": "li|"[rng.integers(3)], "5": "s"}.get(c, c) if rng.random() < 0.6 else c for c in n)
+        if bad != n and re.search(r"\d", bad):
+            x.append(word_features(bad, n, 1.0, 1.0))
+            y.append(1)
+        if names:
+            w = names[rng.integers(len(names))]
+            at = int(rng.integers(0, len(w)))
+            bad = w[:at] + str(rng.integers(10)) + w[at + 1 :]
+            x.append(word_features(bad, bad.translate(_FIGURES_OF), 1.0, 1.0))
+            y.append(0)
     return Boosted(trees=60).fit(np.array(x), np.array(y, float)) if x else Boosted()
 
 
 JOIN_FEATURES = ["joined", "compound", "first", "second", "folded"]
 
 
+GOES_ON_FEATURES = ["ends", "closes", "pauses", "cut", "next_lower", "next_upper", "next_figure"]
+
+
+def goes_on_features(end: str, begin: str) -> list[float]:
+    """A line pair: whether the text of a line goes on in the next one."""
+    bare = end.strip().rstrip("\"”’'»)]")
+    first = next((c for c in begin if c.isalnum()), "")
+    return [float(bare[-1:] in (".", "?", "!")), float(bare != end.strip()), float(bare[-1:] in (",", ";", ":")), float(bare[-1:] in HYPHENS), float(first.islower()), float(first.isupper()), float(first.isdigit())]
+
+
+def goes_on_model(bodies: list[str]) -> Boosted:
+    """Fitted on paragraphs cut between any two words, against the end of one and the begin of the next."""
+    rng = np.random.default_rng(19)
+    x, y = [], []
+    for one, two in zip(bodies, bodies[1:]):
+        words = one.split()
+        if len(words) < 4 or not two.split():
+            continue
+        for at in rng.integers(1, len(words), 3):
+            x.append(goes_on_features(words[at - 1], words[at]))
+            y.append(1)
+        for _ in range(3):
+            x.append(goes_on_features(words[-1], two.split()[0]))
+            y.append(0)
+    if not x:  # without any paragraph known: an end mark ends one
+        x = [goes_on_features(e, b) for e in ("end.", "end?", "mid", "mid,") for b in ("Next", "next")]
+        y = [float(e.startswith("mid")) for e in ("end.", "end?", "mid", "mid,") for _ in range(2)]
+    return Boosted(trees=30).fit(np.array(x), np.array(y, float))
+
+
 def join_model(words: list[tuple[str, int]], compounds: list[tuple[str, int]]) -> Boosted:
     """Line pairs: words cut anywhere against compounds parted at their own hyphen."""
     rng = np.random.default_rng(13)
@@ -274,7 +373,7 @@ def candidates(suspects: DataFrame, lexicon: DataFrame) -> DataFrame:
     some = ranked.filter("r <= n div 2 + 1 and df is not null").select("w", "g")
     met = some.join(c.select("c", "gc", F.explode("gc").alias("g")), "g").select("w", "c").distinct()
     both = met.join(s.select("w", "gs"), "w").join(c.select("c", "gc"), "c")
-    return both.filter("size(array_intersect(gs, gc)) * 2 >= size(gs) and abs(length(w) - length(c)) <= 3").select("w", "c")
+    return both.filter("size(array_intersect(gs, gc)) * 2 >= size(gs)").select("w", "c")
 
 
 def _next_running(heads: DataFrame) -> DataFrame:
@@ -316,7 +415,7 @@ def scan_findings(segments: DataFrame, clean: DataFrame) -> dict[str, DataFrame]
     sampled = hash_sample(rows, KEY, SAMPLE // 10, segments.count()).select("work_id", "raw").collect()
     titles = sorted({re.sub(r"-", " ", r[0]) for r in sampled})
     texts = sorted({x for r in sampled for x in r[1].split("\n") if len(x) > 25 and re.search(r"[a-z]{3}.*[a-z]{3}", x)})
-    lines = written(classified_lines(rows, furniture_model(titles, texts)), "lines")
+    lines = written(classified_lines(rows, furniture_model(titles, texts), page_model(texts)), "lines")
 
     # Text lines of a segment in order, and where text goes on after its last one.
     text = lines.filter("kind = 'text' and running").withColumn("tokens", F.filter(F.split(F.trim("line"), r"\s+"), lambda t: F.length(t) > 0))
@@ -325,7 +424,15 @@ def scan_findings(segments: DataFrame, clean: DataFrame) -> dict[str, DataFrame]
     heads = text.filter("is_first").select(*KEY, F.element_at("tokens", 1).alias("first_token"))
     follow = _next_running(heads)
     last = text.filter("next_line is null").join(follow, KEY, "left")
-    continued = last.filter(~F.trim("line").rlike(r"[.?!][\"”’'»)\]]*$") & F.col("next_n").isNotNull()).select(*KEY, "line_no", F.lit("continued").alias("kind"))
+    bodies = [r[0] for r in hash_sample(clean.filter("body is not null"), ["body"], SAMPLE, clean.count()).orderBy("body").collect()]
+    goes_on = goes_on_model(bodies)
+
+    def judge_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            x = np.array([goes_on_features(a, b) for a, b in zip(pdf["line"], pdf["next_token"])]).reshape(-1, len(GOES_ON_FEATURES))
+            yield pdf.loc[goes_on.score(x) >= 0.5, ["work_id", "n", "part", "line_no"]]
+
+    continued = last.filter("next_n is not null").select(*KEY, "line_no", "line", "next_token").mapInPandas(judge_pairs, "work_id string, n int, part int, line_no int").withColumn("kind", F.lit("continued"))
 
     ends = text.filter("next_line is not null").select(*KEY, "line_no", "tokens", F.col("next_tok").alias("follow"), F.col("n").alias("f_n"), F.col("part").alias("f_part"), F.col("next_line").alias("f_line")).unionByName(
         last.select(*KEY, "line_no", "tokens", F.col("next_token").alias("follow"), F.col("next_n").alias("f_n"), F.col("next_part").alias("f_part"), F.lit(None).cast("int").alias("f_line"))
@@ -375,25 +482,26 @@ def scan_findings(segments: DataFrame, clean: DataFrame) -> dict[str, DataFrame]
     trusted = known.filter(f"count >= {TRUSTED}")
     suspects = written(types.filter("length(w) >= 2 or w = '|'").join(trusted, "w", "left_anti"), "suspects")
     # words that clean text happens not to have may correct others too, if the scans have them often
-    often = suspects.filter("own >= 10 and w rlike '^[a-z]+$'").select("w", F.col("own").alias("count"))
+    total = types.agg(F.sum("own").alias("total"))  # one row
+    often = suspects.filter(r"w rlike '^[a-z]+$'").crossJoin(total).filter(f"own >= {SHARE} * total").select("w", F.lit(0).cast("bigint").alias("count"))
     lexical = trusted.filter(r"w rlike '^[a-z][a-z-]*$'").unionByName(often)
+    # how often a word stands in clean texts and scans together
+    uses = lexical.join(types, "w", "left").select(F.col("w").alias("c"), (F.col("count") + F.coalesce("own", F.lit(0))).alias("count"))
     met = candidates(suspects, lexical).filter("w <> c")
-    pairs = met.join(suspects, "w").join(lexical.select(F.col("w").alias("c"), "count"), "c")
+    # digits and letters mixed: maybe a number of which digits were read as letters
+    mixed = suspects.filter(r"w rlike '^[0-9oli|s]*[0-9][0-9oli|s]*[.]?$' and w rlike '[oli|s]'").select("w", F.translate("w", "oli|s", "01115").alias("c"), "own", F.col("own").alias("count"))
+    pairs = met.join(suspects, "w").join(uses, "c").select("w", "c", "own", "count").unionByName(mixed)
     rank = ranking_model(sample)
 
     def ranked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             x = np.array([word_features(*v) for v in zip(pdf["w"], pdf["c"], pdf["count"], pdf["own"])], float).reshape(-1, len(WORD_FEATURES))
-            # another count of the same trusted kind breaks ties between equal scores
-            # an exact check: what is seen nearly as often as its supposed original is a word of its own
-            rare = (pdf["own"] <= 2) | (pdf["count"] >= RARER * pdf["own"])
+            # an exact check: what is seen nearly as often as its supposed original is a word of its own (figures are no words)
+            rare = (pdf["count"] >= RARER * pdf["own"]) | pdf["c"].str.contains(r"^\d", regex=True)
             yield pd.DataFrame({"w": pdf["w"], "c": pdf["c"], "p": np.where(rare, rank.score(x), 0.0), "count": pdf["count"]})
 
     best = pairs.mapInPandas(ranked, "w string, c string, p double, count bigint").groupBy("w").agg(F.max(F.struct("p", "count", "c")).alias("best"))
     fixes = written(best.filter("best.p >= 0.5").select("w", F.col("best.c").alias("c")), "corrections")
-    # digits and letters mixed: a number of which digits were read as letters
-    mixed = F.col("w").rlike(r"^[0-9oli|s]*[0-9][0-9oli|s.]*$") & F.col("w").rlike(r"[oli|s]")
-    fixes = fixes.unionByName(suspects.filter(mixed).join(fixes, "w", "left_anti").select("w", F.translate("w", "oli|s", "01115").alias("c")))
     wrong = tokens.join(fixes, "w").select(*KEY, "line_no")
     # of a cut word the part that differs from the correction is the misread one
     cut_wrong = compound_join.join(fixes, "w").withColumn("in_first", ~F.expr("startswith(c, a)"))
