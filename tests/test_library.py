@@ -3,10 +3,10 @@ from pyspark.sql import functions as F
 
 from textloom.functions.romanise import greek, han_number, hebrew, sanskrit
 from textloom.functions.text import LANGUAGES, canonical_quote, labelled, roman, squash, trigrams, word_count
-from textloom.operators.library import blocks, bounded_batches, cache_misses, concept_filter, is_verse, key_snippet, neighbours, normalised, running_chapters, unit_expand
-from textloom.operators.reading import cut_words, quote_matches
+from textloom.operators.library import band_join, blocks, bounded_batches, cache_misses, concept_filter, is_verse, key_snippet, neighbours, normalised, running_chapters, unit_expand
+from textloom.operators.reading import cut_words, gram_candidates, quote_in_originals, quote_matches
 from textloom.operators.search import validated
-from textloom.operators.sequences import align_headwords, anchored, by_bigrams, by_stream, carried_readings, common_places, complete, editions, pinyin, running_numbers
+from textloom.operators.sequences import anchored, carried_readings, complete, pinyin
 from textloom.operators.sinks import cached_values, current, merged_drafts, replace_works
 from textloom.operators.usage import log_once, over_limit, retained
 
@@ -42,10 +42,26 @@ def test_cut_words(spark):
 def test_quotes(spark):
     bodies = spark.createDataFrame([(1, "The old ship came home, late."), (2, "The old sheep came home late"), (3, None)], "id int, body string")
     quotes = spark.createDataFrame([(7, "old ship came home late"), (8, "old ships came home"), (9, "?")], "item_id int, quote string")
-    got = {(r["item_id"], r["id"]): r["exact"] for r in quote_matches(quotes, bodies).collect()}
+    found = gram_candidates(quotes, bodies.filter("body is not null"))
+    got = {(r["item_id"], r["id"]): r["exact"] for r in quote_matches(quotes, found, bodies).collect()}
     assert got == {(7, 1): True, (8, 1): False, (8, 2): False}
 
 
+def test_quotes_of_originals(spark):
+    originals = spark.createDataFrame([(1, "w", "1", "学而时习之，不亦说乎"), (2, "w", "2", "λόγος καὶ ἔργον"), (3, "v", "1", "学而时习之"), (4, "w", None, "学而时习之")], "id long, work_id string, ref_unit string, body string")
+    passages = spark.createDataFrame([("w:1b", "w", "1", 2), ("w:1", "w", "1", 1), ("w:2", "w", "2", 3)], "id string, work_id string, ref_unit string, position int")
+    quotes = spark.createDataFrame([(1, "學而「时习之」"), (2, "ΛΌΓΟΣ καὶ"), (3, "时习之"), (4, "xy")], "item_id long, quote string")
+    got = {(r["item_id"], r["original_id"], r["id"], r["exact"]) for r in quote_in_originals(quotes, originals, passages).collect()}
+    assert got == {(1, 1, "w:1", False), (2, 2, "w:2", False), (3, 1, "w:1", True)} or got == {(1, 1, "w:1", False), (2, 2, "w:2", True), (3, 1, "w:1", True)}
+    assert quote_in_originals(quotes, originals, passages, work="v").count() == 0
+
+
+def test_bands(spark):
+    rows = spark.createDataFrame([(0,), (5,), (9,), (10,), (47,), (None,)], "v int")
+    starts = spark.createDataFrame([(5,), (10,), (40,), (40,), (None,)], "s int")
+    assert {(r["v"], r["s"]) for r in band_join(rows, "v", starts, "s", 4).collect()} == {(0, None), (5, 5), (9, 5), (10, 10), (47, 40), (None, None)}
+
+
 def test_units(spark):
     df = spark.createDataFrame([("w", "58-59"), ("w", "2a-c"), ("w", "7")], "w string, u string")
     assert sorted((r["u"], r["source_unit"]) for r in unit_expand(df, "u").collect()) == [("2a-c", "2a-c"), ("58-59", "58"), ("58-59", "59"), ("7", "7")]
@@ -56,7 +72,7 @@ def test_units(spark):
 def test_running_chapters_over_block_seams(spark):
     rows = [("w", n, 0, "CHAPTER II.\nOf x" if n == 1 else "CHAPTER III.\nOf y" if n == 7 else "text", n in (1, 7)) for n in range(12)]
     df = spark.createDataFrame(rows, "work_id string, n int, part int, raw string, apparatus boolean")
-    got = [r["chapter"] for r in running_chapters(df, order=3).orderBy("n").collect()]
+    got = [r["chapter"] for r in running_chapters(df, size=3).orderBy("n").collect()]
     assert got == [None] + [2] * 6 + [3] * 5
 
 
@@ -93,19 +109,14 @@ def test_usage(spark):
     assert [r["rejected"] for r in over_limit(calls, "client", "at", 3, "minute").orderBy("id").collect()] == [False, False, False, True]
 
 
-def test_sequences(spark):
-    b = spark.createDataFrame([("w", 0, "Title"), ("w", 1, "First words here and then more"), ("w", 2, "goes on"), ("w", 3, "Third start")], "work_id string, n int, body string")
-    a = spark.createDataFrame([("w", 0, "70a", "First words"), ("w", 1, "70b", "…then more"), ("w", 2, "70c", "Third start")], "work_id string, k int, unit string, at string")
-    assert [(r["n"], r["ref"], r["apparatus"]) for r in anchored(b, a).orderBy("n").collect()] == [(0, None, True), (1, "70a-b", False), (2, "70b", False), (3, "70c", False)]
+def test_anchors(spark):
+    rows = [("w", n, x) for n, x in enumerate(["preface", "Once upon a time", "there was", "Once upon a time again", "The end", None, "notes"])]
+    blocks_ = spark.createDataFrame(rows + [("v", 0, "none")], "work_id string, n int, body string")
+    anchors = spark.createDataFrame([("w", 1, "1", "Once  upon a"), ("w", 2, "2", "Once upon"), ("w", 3, None, "notes")], "work_id string, k int, unit string, at string")
+    got = {(r["work_id"], r["n"]): r["ref"] for r in anchored(blocks_, anchors).collect()}
+    assert got == {("w", 0): None, ("w", 1): "1", ("w", 2): "1", ("w", 3): "2", ("w", 4): "2", ("w", 5): "2", ("w", 6): None, ("v", 0): None}
     with pytest.raises(Exception, match="anchor not found"):
-        anchored(b, a.unionByName(spark.createDataFrame([("w", 9, "71a", "nowhere")], "work_id string, k int, unit string, at string"))).collect()
-    han = spark.createDataFrame([("w", 0, "學而時習之"), ("w", 1, "To learn"), ("w", 2, "山水木火")], "work_id string, n int, body string")
-    units = spark.createDataFrame([("w", 0, "1", "子曰學而時習之"), ("w", 1, "2", "有朋自遠方來")], "work_id string, pos int, unit string, body string")
-    assert [r["ref"] for r in by_bigrams(han, units).orderBy("n").collect()] == ["1", "1", None]
-    seg = spark.createDataFrame([("w", 0, "1", "So it", False), ("w", 1, "1", "was.", False), ("w", 2, "2", "End", True)], "work_id string, pos int, unit string, text string, heading boolean")
-    bl = spark.createDataFrame([("w", 0, "So it was"), ("w", 1, "END.")], "work_id string, n int, body string")
-    assert [(r["ref"], r["apparatus"]) for r in by_stream(bl, seg).orderBy("n").collect()] == [("1", False), ("2", True)]
-    assert align_headwords(["bc", "zz", "ef", "e"], "abcdefe") == [1, -1, 4, 6]
+        anchored(blocks_, anchors.withColumn("at", F.concat(F.col("at"), F.lit(" nowhere")))).collect()
 
 
 def test_readings(spark):
@@ -139,19 +150,6 @@ def test_sinks(spark, tmp_path):
     assert sorted((r["pos"], r["pinyin"]) for r in merged_drafts(d, p).collect()) == [(0, "old"), (1, "new")]
 
 
-def test_running_numbers(spark):
-    b = spark.createDataFrame([("w", k, t) for k, t in enumerate(["Preface", "BOOK II.", "1. One", "goes on", "7. no, a note", "2. Two", "4. Four", None])], "work_id string, n int, body string")
-    strict = [r["ref"] for r in running_numbers(b).orderBy("n").collect()]
-    assert strict == [None, None, "II.1", "II.1", "II.1", "II.2", "II.2", "II.2"]
-    assert [r["ref"] for r in running_numbers(b, skip=1).orderBy("n").collect()][-2:] == ["II.4", "II.4"]
-
-
-def test_editions(spark):
-    assert common_places("abcbd", "xbcd") == [(1, 1), (2, 2), (4, 3)] and common_places("", "a") == [] and common_places("a", "") == []
-    one, two = (spark.createDataFrame([("b", t)], "book string, text string") for t in ("學而時", "學時"))
-    assert sorted((r["pos"], r["other"]) for r in editions(one, two).collect()) == [(0, 0), (2, 1)]
-
-
 def test_units_must_be_complete(spark):
     u = spark.createDataFrame([("w", "1-2", "1", 0), ("w", "1-2", "2", 1)], "work_id string, ref_unit string, source_unit string, ord int")
     s = spark.createDataFrame([("w", "1", "a"), ("w", "2", "b")], "work_id string, unit string, body string")

@@ -1,16 +1,26 @@
 import sqlite3
 
+import numpy as np
+import pytest
+
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from textloom.operators.search import Phrase, bm25, capped, compile_query, knn, rrf, two_pass
+from textloom.functions.porter import stem
+from textloom.functions.text import query_words, words
+from textloom.operators.index import Phrase, bm25, bm25_many, read_index, write_index
+from textloom.operators.search import capped, compile_query, knn, nearest, rrf, two_pass
 
+WEIGHTS = {"body": 1.0, "keywords": 0.4}
 DOCS = [(1, "the red ship sails", "harbour"), (2, "a red harbour", None), (3, "ship and harbour of the red ship", ""), (4, None, "ship"), (5, "", None)]
 
 
-def docs(spark):
-    return spark.createDataFrame(DOCS, "id int, body string, keywords string")
+@pytest.fixture(scope="module")
+def index(spark, tmp_path_factory):
+    path = str(tmp_path_factory.mktemp("index"))
+    write_index(spark.createDataFrame([*DOCS, (None, "ship", "ship")], "id int, body string, keywords string"), "id", ["body", "keywords"], path)
+    return read_index(spark, "id", ["body", "keywords"], path)
 
 
 def test_query_compiler():
@@ -19,25 +29,65 @@ def test_query_compiler():
     assert compile_query('"to be" or not', skip_stop_words=True) == [Phrase(("to", "be"))]
 
 
-def test_bm25_is_that_of_sqlite(spark):
+def test_bm25_is_that_of_sqlite(index):
     con = sqlite3.connect(":memory:")
     con.execute("create virtual table t using fts5(body, keywords)")
     con.executemany("insert into t(rowid, body, keywords) values (?, ?, ?)", [(i, b or "", k or "") for i, b, k in DOCS])
-    want = {i: -s for i, s in con.execute("select rowid, bm25(t, 1.0, 0.4) from t where t match 'red OR ship'")}
-    got = {r["id"]: r["score"] for r in bm25(docs(spark), "id", {"body": 1.0, "keywords": 0.4}, compile_query("red ship")).filter("hits > 0").collect()}
+    for query, asked in (("red OR ship", "red ship"), ('"red ship"', '"red ship"')):
+        want = {i: -s for i, s in con.execute("select rowid, bm25(t, 1.0, 0.4) from t where t match ?", [query])}
+        got = {r["id"]: r["score"] for r in bm25(index, WEIGHTS, compile_query(asked)).collect()}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_many_queries_score_like_one(spark, index):
+    queries = spark.createDataFrame([(1, "red"), (1, "ship"), (2, "harbour"), (3, "nowhere")], "query_id int, term string")
+    got = {(r["query_id"], r["id"]): r["score"] for r in bm25_many(index, WEIGHTS, queries).collect()}
+    want = {(q, r["id"]): r["score"] for q, text in ((1, "red ship"), (2, "harbour")) for r in bm25(index, WEIGHTS, compile_query(text)).collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
 
 
-def test_phrases_stand_in_order(spark):
-    got = bm25(docs(spark), "id", {"body": 1.0}, [Phrase(("red", "ship"))]).filter("hits > 0").select("id").collect()
-    assert sorted(r[0] for r in got) == [1, 3]
+def test_phrases_stand_in_order(index):
+    assert sorted(r["id"] for r in bm25(index, {"body": 1.0}, [Phrase(("red", "ship"))]).collect()) == [1, 3]
+
+
+def test_stems_are_those_of_sqlite(spark, tmp_path):
+    vocabulary = sorted(set("caresses ponies ties feed agreed plastered motoring conflated hopping falling fizzed failing happy relational valenci digitizer vietnamization decisiveness formaliti triplicate hopeful goodness revival adjustable replacement adoption effective probate rate cease controll roll generalizations oscillators dying said sky y ab".split()))
+    con = sqlite3.connect(":memory:")
+    con.execute("create virtual table t using fts5(x, tokenize='porter unicode61')")
+    con.execute("create virtual table v using fts5vocab(t, 'instance')")
+    con.executemany("insert into t(rowid, x) values (?, ?)", list(enumerate(vocabulary)))
+    assert {d: t for t, d in con.execute("select term, doc from v")} == {k: stem(w) for k, w in enumerate(vocabulary)}
+    write_index(spark.createDataFrame([(1, "ponies hopping")], "id int, body string"), "id", ["body"], str(tmp_path), stemmed=True)
+    assert [r["id"] for r in bm25(read_index(spark, "id", ["body"], str(tmp_path), True), {"body": 1.0}, compile_query("hopped pony")).filter("hits = 2").collect()] == [1]
+
+
+def test_words_of_any_script(spark):
+    texts = ["Café déjà-vu", "ΛΌΓΟΣ λόγος", "שָׁלוֹם עולם", "山水 12 Ａb", "İstanbul", None, ""]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(words(F.col("t"))).collect()]
+    assert got[:2] == [["cafe", "deja", "vu"], ["λογοσ", "λογοσ"]] and got[5:] == [[], []]
+    assert got == [query_words(t or "") for t in texts]
 
 
-def test_two_passes(spark):
-    got = two_pass(docs(spark), "id", {"body": 1.0, "keywords": 0.4}, "ship sails", F.lit(True)).orderBy("rnk").collect()
+def test_two_passes(spark, index):
+    got = two_pass(index, WEIGHTS, "ship sails").orderBy("rnk").collect()
     assert [r["id"] for r in got][0] == 1 and {r["tier"] for r in got} == {0, 1} and {r["id"] for r in got} == {1, 3, 4}
-    assert two_pass(docs(spark), "id", {"body": 1.0}, "?!", F.lit(True)).count() == 0
-    assert two_pass(docs(spark), "id", {"body": 1.0}, "the of", F.lit(True)).count() == 2
+    assert two_pass(index, WEIGHTS, "ship sails", spark.createDataFrame([(3,)], "id int")).count() == 1
+    assert two_pass(index, WEIGHTS, "?!").count() == 0 and two_pass(index, WEIGHTS, "the of").count() == 2
+
+
+def test_nearest_in_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    v = rng.normal(size=(60, 5)).round(1)
+    v[7] = v[3] = 0
+    v[11] = v[10] * 2
+    df = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)] + [(None, [1.0] * 5), (99, None)], "id int, embedding array<float>")
+    monkeypatch.setattr("textloom.operators.search.BLOCK", 7)
+    monkeypatch.setattr("textloom.operators.search.QUERY_BLOCK", 3)
+    got = {(r["query_id"], r["rnk"]): r["id"] for r in nearest(df, df.filter("id < 12").select(F.col("id").cast("long").alias("query_id"), F.col("embedding").alias("q")), "id", 4, itself=False).collect()}
+    unit = np.divide(v, np.linalg.norm(v, axis=1, keepdims=True), out=np.zeros_like(v), where=np.linalg.norm(v, axis=1, keepdims=True) > 0)
+    for q in range(12):
+        order = sorted((k for k in range(60) if k != q), key=lambda k: (-round(float(unit[q] @ unit[k]), 5), k))
+        assert [round(float(unit[q] @ unit[got[q, n]]), 4) for n in range(1, 5)] == [round(float(unit[q] @ unit[k]), 4) for k in order[:4]]
 
 
 def test_fusion_keeps_the_first_list_on_ties(spark):

@@ -2,17 +2,46 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-WORD = r"[a-z0-9]+"
-#: A word as the reader counts it: one Han character, or a run with at least one letter or digit.
-READER_WORD = r"\p{IsHan}|[^\s\p{IsHan}]*[\p{L}\p{N}][^\s\p{IsHan}]*"
+#: A word of the index: letters and digits of any script, without case and accents.
+WORD = r"[\p{L}\p{N}]+"
+#: A word as a reader counts it: each Han character, and what else stands between spaces or Han and is not only marks.
+READER_WORD = r"\p{IsHan}|(?:(?![\s\p{IsHan}])[^\p{L}\p{N}])*+(?!\p{IsHan})[\p{L}\p{N}](?:(?!\p{IsHan})\S)*+"
+
+
+def _table(form: str, keep) -> tuple[str, str]:
+    """Characters that the normal form turns into one other character, and those; of what is left after `keep`."""
+    pairs = [(chr(k), "".join(filter(keep, unicodedata.normalize(form, chr(k))))) for k in (*range(0x80, 0xAC00), *range(0xF900, 0x10000))]
+    pairs = [(a, b) for a, b in pairs if len(b) == 1 and a != b]
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
+
+#: Letters with accents and without; characters and the ones they are compatible with (widths, presentation forms).
+ACCENTS = _table("NFD", lambda c: unicodedata.category(c)[0] != "M")
+COMPATIBLE = _table("NFKC", lambda c: True)
+
+
+def folded(c: Column) -> Column:
+    """Lower case without accents; a final sigma is like any other."""
+    low = F.lower(c)
+    bare = F.translate(F.regexp_replace(F.translate(low, *ACCENTS), r"\p{M}+", ""), "ς", "σ")
+    return F.when(c.rlike(r"[^\x00-\x7F]"), bare).otherwise(low)
 
 
 def words(c: Column) -> Column:
-    """Lower-case runs of ASCII letters and digits; null and empty text give an empty array."""
-    return F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(WORD), F.lit(0))
+    """The index words of a text in order; null and empty text give an empty array."""
+    return F.regexp_extract_all(folded(F.coalesce(c, F.lit(""))), F.lit(WORD), F.lit(0))
+
+
+def query_words(text: str) -> list[str]:
+    """The same for a query string."""
+    bare = "".join(c for c in unicodedata.normalize("NFD", text.lower()) if unicodedata.category(c)[0] != "M")
+    return re.findall(r"[^\W_]+", unicodedata.normalize("NFC", bare).replace("ς", "σ"))
 
 
 def squash(c: Column) -> Column:
@@ -35,8 +64,9 @@ def trigrams(c: Column) -> Column:
 
 
 def canonical_quote(c: Column) -> Column:
-    """What two wordings of a quotation are compared by: no section markers, case, marks, signs or spaces."""
-    return F.regexp_replace(F.lower(F.regexp_replace(c, r"\(\d+(\.\d+)*\)", "")), r"[\p{P}\p{S}\p{Z}\s\p{Cf}]+", "")
+    """What two wordings of a quotation are compared by: compatible characters as one, no section markers, case, marks, signs or spaces; accents stay."""
+    same = F.when(c.rlike(r"[^\x00-\x7F]"), F.translate(c, *COMPATIBLE)).otherwise(c)
+    return F.regexp_replace(F.lower(F.regexp_replace(same, r"\([0-9]+(\.[0-9]+)*\)", "")), r"[\p{P}\p{S}\p{Z}\s]+", "")
 
 
 def slug(c: Column) -> Column:

@@ -25,34 +25,48 @@ def blocks(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(key, F.posexplode(parts).alias("n", "block"))
 
 
+#: Anchors of notes as the sources print them.
+NOTE_ANCHOR = r"\[(?:FN#)?\d+\]"
+
+
 def is_verse(block: Column) -> Column:
     """More than one line with text, all of them indented."""
-    lines = F.filter(F.split(block, "\n"), lambda x: x.rlike(r"\S"))
-    return (F.size(lines) > 1) & F.forall(lines, lambda x: x.rlike(r"^\s"))
+    written = F.regexp_count(block, F.lit(r"(?md)^.*\S"))
+    return (written > 1) & (written == F.regexp_count(block, F.lit(r"(?md)^[^\S\n]+\S")))
 
 
 def normalised(block: Column) -> Column:
     """Prose on one line, a line's end after a hyphen dropped, note anchors and italics gone; verse line by line."""
-    bare = F.regexp_replace(F.regexp_replace(block, r"\[(?:FN#)?\d+\]", ""), r"(^|\W)_([^_]+)_(?=\W|$)", "$1$2")
-    verse = F.array_join(F.filter(F.transform(F.split(bare, "\n"), squash), lambda x: x != ""), "\n")
-    return F.when(is_verse(block), verse).otherwise(squash(F.regexp_replace(bare, r"(\w-)\n\s*(?=\w)", "$1")))
+    plain = F.regexp_replace(F.regexp_replace(block, NOTE_ANCHOR, ""), r"(?<!\w)_([^_]+)_(?!\w)", "$1")
+    lines = F.filter(F.transform(F.split(plain, "\n"), squash), lambda line: F.length(line) > 0)
+    return F.when(is_verse(block), F.array_join(lines, "\n")).otherwise(squash(F.regexp_replace(plain, r"(?<=\w-)\n\s*(?=\w)", "")))
 
 
-def running_chapters(segments: DataFrame, order: int = 1_000) -> DataFrame:
-    """segments + chapter: the last own heading at or before a segment, by number.
+def carried(df: DataFrame, group: str, at: str, order: list[str], value: Column, name: str, largest: bool = False, size: int = 1_000) -> DataFrame:
+    """df + name: the last value that is not null (or the largest) among the rows of a group up to this one.
 
-    Works are cut into ranges of `order` numbers; a range's last chapter is carried into the next
-    from the short list of ranges, so that a work of a third of all segments is many tasks.
+    Groups are cut into ranges of `size` numbers of `at`; what a range ends with is carried into the
+    next ones from the short list of ranges, so that a group of a third of all rows is many tasks.
     """
+    rows = df.withColumn("_v", value).withColumn("_b", F.expr(f"`{at}` div {size}"))
+    inside = Window.partitionBy(group, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    if largest:
+        rows = rows.withColumn("_c", F.max("_v").over(inside))
+        ends = rows.groupBy(group, "_b").agg(F.max("_v").alias("_l")).select(group, "_b", F.max("_l").over(before).alias("_carry"))
+        out = F.greatest("_c", "_carry")
+    else:
+        rows = rows.withColumn("_c", F.last("_v", ignorenulls=True).over(inside))
+        ends = rows.groupBy(group, "_b").agg(F.max_by("_v", F.when(F.col("_v").isNotNull(), F.struct(*order))).alias("_l")).select(group, "_b", F.last("_l", ignorenulls=True).over(before).alias("_carry"))
+        out = F.coalesce("_c", "_carry")
+    return rows.join(ends, [group, "_b"]).withColumn(name, out).drop("_v", "_b", "_c", "_carry")
+
+
+def running_chapters(segments: DataFrame, size: int = 1_000) -> DataFrame:
+    """segments + chapter: the last own heading at or before a segment, by number."""
     head = F.when(F.col("apparatus") & F.col("raw").rlike(r"^\s*(?:CHAPTER|BOOK)\s+(?:[IVXLC]+|\d+)\.?(?:\s|$)") & ~F.col("raw").rlike(r"^[^\n]*\d+\s*$"), F.regexp_extract("raw", r"^\s*(?:CHAPTER|BOOK)\s+([IVXLC]+|\d+)", 1))
     number = F.when(head.rlike("^[0-9]+$"), head.cast("int")).otherwise(roman(head))
-    rows = segments.withColumn("_h", number).withColumn("_b", F.expr(f"n div {order}"))
-    inside = Window.partitionBy("work_id", "_b").orderBy("n", "part").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("_c", F.last("_h", ignorenulls=True).over(inside))
-    lasts = rows.groupBy("work_id", "_b").agg(F.max_by("_h", F.when(F.col("_h").isNotNull(), F.struct("n", "part"))).alias("_l"))
-    before = Window.partitionBy("work_id").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    carried = lasts.select("work_id", "_b", F.last("_l", ignorenulls=True).over(before).alias("_carry"))
-    return rows.join(carried, ["work_id", "_b"]).withColumn("chapter", F.coalesce("_c", "_carry")).drop("_h", "_b", "_c", "_carry")
+    return carried(segments, "work_id", "n", ["n", "part"], number, "chapter", size=size)
 
 
 def segments_once(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,8 +88,11 @@ def band_join(rows: DataFrame, value: str, starts: DataFrame, start: str, width:
 
     Bands become intervals by lead; both sides meet on buckets of `width`, each band in every bucket it covers.
     """
-    w = Window.orderBy(start)
-    bands = starts.withColumn("_end", F.lead(start).over(w))  # a short list of starts
+    keyed_starts = starts.select(start).filter(F.col(start).isNotNull()).distinct().withColumn("_bucket", F.expr(f"`{start}` div {width}"))
+    firsts = keyed_starts.groupBy("_bucket").agg(F.min(start).alias("_first"))
+    after = firsts.select("_bucket", F.lead("_first").over(Window.orderBy("_bucket")).alias("_after"))  # as many rows as the values' range has buckets
+    bands = keyed_starts.withColumn("_end", F.lead(start).over(Window.partitionBy("_bucket").orderBy(start))).join(after, "_bucket")
+    bands = bands.withColumn("_end", F.coalesce("_end", "_after")).drop("_after", "_bucket")
     top = rows.agg(F.max(value).alias("_top"))
     spread = bands.join(F.broadcast(top)).withColumn("_bucket", F.explode(F.sequence(F.expr(f"`{start}` div {width}"), F.greatest(F.expr(f"`{start}` div {width}"), F.expr(f"(coalesce(_end, _top + 1) - 1) div {width}"))))).drop("_top")
     keyed = rows.withColumn("_bucket", F.expr(f"`{value}` div {width}"))
@@ -172,9 +189,9 @@ def unit_members(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def price_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders by the band of their price; bands start at the rounded prices of every thousandth customer."""
+    """Orders by the band of their price; a band starts at each different rounded balance of the customers, twentyfold."""
     orders = table(spark, sf_dir, "orders").select(F.floor("o_totalprice").alias("price"))
-    starts = table(spark, sf_dir, "customer").filter("c_custkey % 100 = 0").select(F.floor(F.abs("c_acctbal") * 20).alias("band")).distinct()
+    starts = table(spark, sf_dir, "customer").select(F.floor(F.abs("c_acctbal") * 20).alias("band")).distinct()
     return band_join(orders, "price", starts, "band", 5_000).groupBy("band").agg(F.count("*").alias("n"))
 
 
@@ -291,7 +308,7 @@ ORACLES = {
     "segment_chapters": f"WITH {_SEG}, h AS (SELECT *, CASE WHEN apparatus AND regexp_matches(raw, '^\\s*(?:CHAPTER|BOOK)\\s+(?:[IVXLC]+|\\d+)\\.?(?:\\s|$)') AND NOT regexp_matches(raw, '^[^\\n]*\\d+\\s*$') THEN regexp_extract(raw, '^\\s*(?:CHAPTER|BOOK)\\s+([IVXLC]+|\\d+)', 1) END AS hd FROM seg), v AS (SELECT work_id, n, part, CASE WHEN regexp_matches(hd, '^[0-9]+$') THEN hd::INT ELSE (SELECT sum(CASE WHEN nx > dv THEN -dv ELSE dv END)::INT FROM (SELECT dv, coalesce(lead(dv) OVER (ORDER BY i), 0) AS nx FROM (SELECT i, CASE substring(hd, i, 1) WHEN 'I' THEN 1 WHEN 'V' THEN 5 WHEN 'X' THEN 10 WHEN 'L' THEN 50 WHEN 'C' THEN 100 END AS dv FROM (SELECT unnest(range(1, length(hd) + 1)) AS i)))) END AS hn FROM h), c AS (SELECT work_id, n, last_value(hn IGNORE NULLS) OVER (PARTITION BY work_id ORDER BY n, part ROWS UNBOUNDED PRECEDING) AS chapter FROM v) SELECT work_id, chapter::BIGINT AS chapter, count(*) AS n_segments, min(n)::BIGINT AS first_n FROM c GROUP BY ALL",
     "raw_normalised": f"WITH {ONCE} SELECT id, CASE WHEN {_VERSE} THEN array_to_string(list_filter(list_transform(string_split({_BARE}, chr(10)), lambda x: {_flat('x')}), lambda x: x <> ''), chr(10)) ELSE {_flat(f'''regexp_replace({_BARE}, '(\\w-)\\n\\s*(\\w)', '\\1\\2', 'g')''')} END AS body, {_VERSE} AS is_verse FROM pas",
     "unit_members": f"WITH {ONCE}, u AS (SELECT DISTINCT work_id, ref_unit FROM pas WHERE ref_unit IS NOT NULL), m AS (SELECT *, CASE WHEN regexp_matches(ref_unit, '^\\d{{1,9}}-\\d{{1,9}}$') THEN list_transform(range(split_part(ref_unit, '-', 1)::BIGINT, split_part(ref_unit, '-', 2)::BIGINT + 1), lambda x: x::VARCHAR) ELSE [ref_unit] END AS ms FROM u) SELECT work_id, ref_unit, unnest(ms) AS source_unit, unnest(range(0, len(ms))) AS ord FROM m",
-    "price_bands": "WITH s AS (SELECT DISTINCT floor(abs(c_acctbal) * 20)::BIGINT AS band FROM customer WHERE c_custkey % 100 = 0), b AS (SELECT band, lead(band) OVER (ORDER BY band) AS e FROM s), o AS (SELECT floor(o_totalprice)::BIGINT AS price FROM orders) SELECT band, count(*) AS n FROM o LEFT JOIN b ON price >= band AND (e IS NULL OR price < e) GROUP BY band",
+    "price_bands": "WITH s AS (SELECT DISTINCT floor(abs(c_acctbal) * 20)::BIGINT AS band FROM customer), b AS (SELECT band, lead(band) OVER (ORDER BY band) AS e FROM s), o AS (SELECT floor(o_totalprice)::BIGINT AS price FROM orders) SELECT band, count(*) AS n FROM o LEFT JOIN b ON price >= band AND (e IS NULL OR price < e) GROUP BY band",
     "unit_ranges": f"WITH {ONCE}, o AS (SELECT work_id, ref_unit, min(id) AS pos FROM originals WHERE ref_unit IS NOT NULL AND work_id IS NOT NULL GROUP BY ALL), e AS (SELECT work_id, min(pos) AS a, max(pos) AS b FROM o WHERE (work_id, ref_unit) IN (SELECT (work_id, ref_unit) FROM pas WHERE ref_unit IS NOT NULL) GROUP BY work_id) SELECT work_id, count(*) AS n_units, min(pos) AS first_pos, max(pos) AS last_pos FROM o JOIN e USING (work_id) WHERE pos BETWEEN a AND b GROUP BY work_id",
     "concept_filter": "SELECT id, title AS name, original_title AS original, author AS gloss, tradition, original_language AS school FROM works WHERE contains(lower(concat_ws(' ', id, title, coalesce(original_title, ''), author, tradition, original_language, '')), 'greek')",
     "concept_neighbours": f"WITH {_EDGES} SELECT * FROM nb",

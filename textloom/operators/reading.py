@@ -9,15 +9,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from textloom.functions.text import canonical_quote, trigrams, word_count, words
-from textloom.operators.search import B, CANDIDATES, K1, ONCE, STOP_WORDS, searchable
+from textloom.functions.shared import broadcast_if_small
+from textloom.functions.text import COMPATIBLE, canonical_quote, trigrams, word_count, words
+from textloom.operators.index import Index, bm25_many
+from textloom.operators.search import _STOP_SQL, _toks, CANDIDATES, ONCE, STOP_WORDS, document_index, searchable
 from textloom.sources.tables import delivered_once, table
 
 READ_BUDGET = 6_000
-#: Where a text may be cut: after an end mark with its closing quotes, before space or the end; Han stops anywhere.
-SENTENCE_END = r"[.!?;:·׃।॥][”’»\"')\]]*(?=\s|$)|[。！？；][」』”’]*"
-
-
+# Marks that end a sentence or a clause at which a text may be cut, and what closes behind them, of scripts with spaces and of Han.
+_MARKS, _CLOSE, _HAN_MARKS, _HAN_CLOSE = ".!?;:·׃।॥", "\"'”’»)\\]", "。！？；", "」』”’"
+#: A cut may stand behind a mark with its closing quotes, in front of space or the end; behind a mark of Han anywhere.
+SENTENCE_END = rf"[{_MARKS}]+[{_CLOSE}]*(?!\S)|[{_HAN_MARKS}]+[{_HAN_CLOSE}]*"
 _HAN = "⺀-⿟々〇㐀-䶿一-鿿豈-﫿"
 _PLACES = re.compile(rf"[{_HAN}]|[^\s{_HAN}]*[^\W_{_HAN}][^\s{_HAN}]*")
 _ENDS = re.compile(SENTENCE_END)
@@ -133,33 +135,46 @@ def read_units(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- quotations ----------------------------------------------------------------------------------
 
 
-def quote_candidates(quotes: DataFrame, bodies: DataFrame, k: int = CANDIDATES) -> DataFrame:
-    """(item_id, id, score): for each quotation the k bodies with the best BM25 over its distinct words (function words and single letters left out).
+def quote_candidates(quotes: DataFrame, index: Index, weights: dict[str, float], k: int = CANDIDATES) -> DataFrame:
+    """(item_id, key, score, rnk): for each quotation the k rows with the best BM25 over its distinct words (function words and single letters left out)."""
+    terms = quotes.select(F.col("item_id").alias("query_id"), F.explode(F.array_distinct(F.filter(words(F.col("quote")), lambda w: (F.length(w) > 1) & ~w.isin(STOP_WORDS)))).alias("term"))
+    w = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 6)), index.key)
+    return bm25_many(index, weights, terms).withColumn("rnk", F.row_number().over(w)).filter(F.col("rnk") <= k).withColumnRenamed("query_id", "item_id")
+
+
+def letter_grams(c: Column) -> Column:
+    """Distinct trigrams within each run of letters, in lower case; shorter runs have none."""
+    runs = F.split(F.lower(c), r"[\p{P}\p{S}\p{Z}\s]+")
+    return F.array_distinct(F.flatten(F.transform(runs, trigrams)))
+
 
-    Postings of the quotations' words only are made; statistics run over all bodies.
+def gram_candidates(quotes: DataFrame, bodies: DataFrame, k: int = CANDIDATES) -> DataFrame:
+    """(item_id, id, score, rnk): for each quotation the k bodies (id, body) that share most of its trigrams, rarer ones counting more.
+
+    Trigrams and bodies meet by an inverted join on the gram; works in every script.
     """
-    terms = quotes.select("item_id", F.explode(F.array_distinct(F.filter(words(F.col("quote")), lambda w: (F.length(w) > 1) & ~w.isin(STOP_WORDS)))).alias("term"))
-    tokens = bodies.select("id", words(F.col("body")).alias("ts")).withColumn("dl", F.size("ts"))
-    stats = tokens.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    tf = tokens.select("id", "dl", F.explode("ts").alias("term")).join(F.broadcast(terms.select("term").distinct()), "term", "left_semi")  # words of a fixed set of quotations
-    tf = tf.groupBy("term", "id", "dl").agg(F.count("*").alias("f"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighed = tf.join(df, "term").join(F.broadcast(stats)).withColumn("w", F.when(idf <= 0, 1e-6).otherwise(idf) * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))))
-    score = terms.join(weighed, "term").groupBy("item_id", "id").agg(F.sum("w").alias("score"))
-    w = Window.partitionBy("item_id").orderBy(F.desc(F.round("score", 9)), "id")
+    asked = quotes.select("item_id", F.explode(letter_grams(F.col("quote"))).alias("g"))
+    wanted = broadcast_if_small(asked.select("g").distinct())
+    has = bodies.select("id", F.explode(letter_grams(F.col("body"))).alias("g")).join(wanted, "g", "left_semi")
+    n = bodies.agg(F.count("*").alias("n"))
+    df = has.groupBy("g").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n)).select("g", F.log(1 + F.col("n") / F.col("df")).alias("w"))  # one row
+    score = asked.join(has.join(df, "g"), "g").groupBy("item_id", "id").agg(F.sum("w").alias("score"))
+    w = Window.partitionBy("item_id").orderBy(F.desc(F.round("score", 6)), "id")
     return score.withColumn("rnk", F.row_number().over(w)).filter(F.col("rnk") <= k)
 
 
-def quote_matches(quotes: DataFrame, bodies: DataFrame, most: int = 5) -> DataFrame:
+def quote_matches(quotes: DataFrame, candidates: DataFrame, bodies: DataFrame, most: int = 5) -> DataFrame:
     """(item_id, id, contained, similarity, exact, place): the exact matches of a quotation, else the most similar bodies.
 
-    similarity: 1 if the canonical body contains the canonical quotation, else the share of its
-    trigrams that the body has.  `contained` tells true containment from all trigrams being there.
-    Quotations under three canonical characters match nothing.
+    candidates: (item_id, id, rnk); bodies: (id, body), looked at for candidates only.  similarity:
+    1 if the canonical body contains the canonical quotation, else the share of its trigrams that
+    the body has.  `contained` tells true containment from all trigrams being there.  Quotations
+    under three canonical characters match nothing.
     """
-    q = quotes.select("item_id", "quote", canonical_quote(F.col("quote")).alias("cq")).filter("length(cq) >= 3").withColumn("grams", trigrams(F.col("cq")))
-    pairs = quote_candidates(q, bodies).join(q.select("item_id", "cq", "grams"), "item_id").join(bodies.select("id", canonical_quote(F.col("body")).alias("cb")), "id")
+    q = quotes.select("item_id", canonical_quote(F.col("quote")).alias("cq")).filter("length(cq) >= 3").withColumn("grams", trigrams(F.col("cq")))
+    found = candidates.select("item_id", "id", "rnk")
+    texts = bodies.select("id", "body").join(found.select("id").distinct(), "id", "left_semi").select("id", canonical_quote(F.col("body")).alias("cb"))
+    pairs = found.join(q, "item_id").join(texts, "id")
     pairs = pairs.withColumn("contained", F.contains("cb", "cq"))
     share = F.size(F.filter("grams", lambda g: F.contains(F.col("cb"), g))) / F.size("grams")
     pairs = pairs.withColumn("similarity", F.when(F.col("contained"), 1.0).otherwise(share)).filter("similarity > 0")
@@ -170,12 +185,14 @@ def quote_matches(quotes: DataFrame, bodies: DataFrame, most: int = 5) -> DataFr
 
 
 def _quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "eval_items").filter("lang = 'en'").select("item_id", F.col("text").alias("quote"))
+    return table(spark, sf_dir, "eval_items").filter("text is not null").select("item_id", F.col("text").alias("quote"))
 
 
 def quote_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").filter("text is not null and lang = 'en'").select(F.col("doc_id").alias("id"), F.col("text").alias("body"))
-    got = quote_matches(_quotes(spark, sf_dir), docs)
+    """All quotations, whatever their language, against all documents."""
+    docs = table(spark, sf_dir, "documents").filter("text is not null").select(F.col("doc_id").alias("id"), F.col("text").alias("body"))
+    found = quote_candidates(_quotes(spark, sf_dir), document_index(spark, sf_dir), {"text": 1.0}).withColumnRenamed("doc_id", "id")
+    got = quote_matches(_quotes(spark, sf_dir), found, docs)
     return got.select("item_id", "id", "contained", F.round("similarity", 6).alias("similarity"), "exact", F.col("place").cast("bigint").alias("place"))
 
 
@@ -184,6 +201,32 @@ def quote_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quote_check(spark, sf_dir).filter("place = 1").select("item_id", "id", "similarity", "exact")
 
 
+def quote_in_originals(quotes: DataFrame, originals: DataFrame, passages: DataFrame, most: int = 5, work: str | None = None) -> DataFrame:
+    """(item_id, original_id, id, ref, similarity, exact, place): quotations found in originals, under the first shown passage of the unit.
+
+    originals: (id, work_id, ref_unit, body); passages: (id, work_id, ref_unit, position), shown ones
+    only.  An original whose unit has no passage is not shown; of several originals of one passage
+    the first counts.  `work` looks in one work only.
+    """
+    o = originals.filter("body is not null and ref_unit is not null")
+    o = o if work is None else o.filter(F.col("work_id") == work)
+    first = passages.filter("ref_unit is not null").groupBy("work_id", "ref_unit").agg(F.min_by("id", F.struct("position", "id")).alias("pid"))
+    got = quote_matches(quotes, gram_candidates(quotes, o.select("id", "body")), o.select("id", "body"), CANDIDATES)
+    got = got.join(o.select("id", "work_id", "ref_unit").join(first, ["work_id", "ref_unit"]), "id")
+    once = Window.partitionBy("item_id", "pid").orderBy("place")
+    got = got.withColumn("nth", F.row_number().over(once)).filter("nth = 1")
+    w = Window.partitionBy("item_id").orderBy("place")
+    got = got.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= most)
+    return got.select("item_id", F.col("id").alias("original_id"), F.col("pid").alias("id"), F.col("ref_unit").alias("ref"), "similarity", "exact", "place")
+
+
+def quote_originals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All quotations against the originals of all works."""
+    passages = searchable(spark, sf_dir, "work_id", "ref_unit", "position").filter("shown").select("id", "work_id", "ref_unit", "position")
+    got = quote_in_originals(_quotes(spark, sf_dir), originals_once(spark, sf_dir), passages)
+    return got.select("item_id", "original_id", "id", "ref", F.round("similarity", 6).alias("similarity"), "exact", F.col("place").cast("bigint").alias("place"))
+
+
 def canonical_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = _quotes(spark, sf_dir).withColumn("cq", canonical_quote(F.col("quote")))
     return q.select("item_id", "cq", F.size(trigrams(F.col("cq"))).cast("bigint").alias("n_trigrams"))
@@ -200,31 +243,48 @@ def work_resolver(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "first_passage_per_unit": first_passage_per_unit, "aid_assembly": aid_assembly, "unit_lookup": unit_lookup, "word_count": word_counts, "cut_words": cut_to_share,
-    "unit_grouping": unit_grouping, "read_units": read_units, "quote_check": quote_check, "quote_nearest": quote_nearest, "canonical_quotes": canonical_quotes, "work_resolver": work_resolver,
+    "unit_grouping": unit_grouping, "read_units": read_units, "quote_check": quote_check, "quote_nearest": quote_nearest, "quote_originals": quote_originals, "canonical_quotes": canonical_quotes, "work_resolver": work_resolver,
 }
 
 _SEA = ONCE + ", sea AS (SELECT p.*, NOT coalesce(p.is_apparatus, false) AND coalesce(t.quotable, false) AS shown FROM pas p LEFT JOIN texts t ON p.text_id = t.id)"
 _ORIG = "orig AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY created_at) AS rn FROM originals) WHERE rn = 1)"
 _AIDS = "aids AS (SELECT work_id, ref_unit, count(*) AS n_passages, string_agg(body, chr(10) || chr(10) ORDER BY position, id) AS aid, arg_min(id, (position, id)) AS first_id FROM sea WHERE shown AND ref_unit IS NOT NULL GROUP BY ALL)"
 _RW = r"[\x{2E80}-\x{2FDF}\x{3005}\x{3007}\x{3021}-\x{3029}\x{3038}-\x{303B}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}]"
-_STOP = "(" + ", ".join(f"'{w}'" for w in STOP_WORDS) + ")"
-_CANON = r"regexp_replace(lower(regexp_replace({}, '\(\d+(\.\d+)*\)', '', 'g')), '[\p{{P}}\p{{S}}\p{{Z}}\s\p{{Cf}}]+', '', 'g')"
+_STOP = "(" + _STOP_SQL + ")"
+_SAME = "CASE WHEN regexp_matches({0}, '[^\\x00-\\x7F]') THEN translate({0}, '" + COMPATIBLE[0].replace("{", "{{").replace("}", "}}") + "', '" + COMPATIBLE[1].replace("'", "''").replace("{", "{{").replace("}", "}}") + "') ELSE {0} END"
+_CANON = r"regexp_replace(lower(regexp_replace(" + _SAME + r", '\([0-9]+(\.[0-9]+)*\)', '', 'g')), '[\p{{P}}\p{{S}}\p{{Z}}\s]+', '', 'g')"
 _GRAMS = "CASE WHEN length({0}) >= 3 THEN list_distinct(list_transform(range(1, length({0}) - 1), lambda i: substring({0}, i, 3))) ELSE [] END"
+_RANKED = """
+  s AS (SELECT item_id, id, rnk, contains(cb, cq) AS contained, CASE WHEN contains(cb, cq) THEN 1.0::DOUBLE ELSE len(list_filter(grams, lambda g: contains(cb, g)))::DOUBLE / len(grams) END AS similarity FROM p),
+  x AS (SELECT *, max(similarity) OVER (PARTITION BY item_id) = 1 AS exact FROM s WHERE similarity > 0),
+  r AS (SELECT item_id, id, contained, round(similarity, 6) AS similarity, exact, row_number() OVER (PARTITION BY item_id ORDER BY similarity DESC, rnk) AS place FROM x WHERE NOT exact OR similarity = 1)
+"""
+_Q = f"q0 AS (SELECT item_id, text, {_CANON.format('text')} AS cq FROM eval_items WHERE text IS NOT NULL), q AS (SELECT *, {_GRAMS.format('cq')} AS grams FROM q0 WHERE length(cq) >= 3)"
 _QUOTE_SQL = rf"""
-  WITH q AS (SELECT item_id, {_CANON.format('text')} AS cq, text FROM eval_items WHERE lang = 'en'),
-  docs AS (SELECT doc_id AS id, text AS body FROM documents WHERE text IS NOT NULL AND lang = 'en'),
-  terms AS (SELECT DISTINCT item_id, t AS term FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS t FROM q WHERE length(cq) >= 3) WHERE length(t) > 1 AND t NOT IN {_STOP}),
-  tok AS (SELECT id, regexp_extract_all(lower(body), '[a-z0-9]+') AS ts FROM docs),
+  WITH {_Q}, docs AS MATERIALIZED (SELECT doc_id AS id, text AS body, {_CANON.format('text')} AS cb FROM documents WHERE text IS NOT NULL),
+  terms AS (SELECT DISTINCT item_id, t AS term FROM (SELECT item_id, unnest({_toks('text')}) AS t FROM q0) WHERE length(t) > 1 AND t NOT IN {_STOP}),
+  tok AS (SELECT id, {_toks('body')} AS ts FROM docs),
   st AS (SELECT count(*) AS n, avg(len(ts)) AS avgdl FROM tok),
   tf AS (SELECT id, dl, term, count(*) AS f FROM (SELECT id, len(ts) AS dl, unnest(ts) AS term FROM tok) WHERE term IN (SELECT term FROM terms) GROUP BY ALL),
   df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
   w AS (SELECT tf.term, id, (CASE WHEN n - df + 0.5 <= df + 0.5 THEN 1e-6 ELSE ln((n - df + 0.5)::DOUBLE / (df + 0.5)::DOUBLE) END) * f * 2.2::DOUBLE / (f + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl)) AS w FROM tf JOIN df USING (term), st),
   sc AS (SELECT item_id, id, sum(w) AS score FROM terms JOIN w USING (term) GROUP BY ALL),
-  c AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, id) AS rnk FROM sc),
-  p AS (SELECT c.item_id, c.id, c.rnk, cq, {_CANON.format('body')} AS cb FROM c JOIN q USING (item_id) JOIN docs ON docs.id = c.id WHERE rnk <= 50),
-  s AS (SELECT item_id, id, rnk, contains(cb, cq) AS contained, CASE WHEN contains(cb, cq) THEN 1.0::DOUBLE ELSE len(list_filter({_GRAMS.format('cq')}, lambda g: contains(cb, g)))::DOUBLE / len({_GRAMS.format('cq')}) END AS similarity FROM p),
-  x AS (SELECT *, max(similarity) OVER (PARTITION BY item_id) = 1 AS exact FROM s WHERE similarity > 0),
-  r AS (SELECT item_id, id, contained, round(similarity, 6) AS similarity, exact, row_number() OVER (PARTITION BY item_id ORDER BY similarity DESC, rnk) AS place FROM x WHERE NOT exact OR similarity = 1)
+  c AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 6) DESC, id) AS rnk FROM sc),
+  p AS (SELECT c.item_id, c.id, c.rnk, cq, grams, cb FROM c JOIN q USING (item_id) JOIN docs ON docs.id = c.id WHERE rnk <= 50),
+  {_RANKED}
+"""
+_RUNS = r"list_distinct(flatten(list_transform(regexp_split_to_array(lower({0}), '[\p{{P}}\p{{S}}\p{{Z}}\s]+'), lambda w: CASE WHEN length(w) >= 3 THEN list_transform(range(1, length(w) - 1), lambda i: substring(w, i, 3)) ELSE [] END)))"
+_ORIGINAL_SQL = rf"""
+  WITH {ONCE}, {_Q}, orig AS MATERIALIZED (SELECT * EXCLUDE (rn), {_CANON.format('body')} AS cb FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY created_at) AS rn FROM originals) WHERE rn = 1 AND body IS NOT NULL AND ref_unit IS NOT NULL),
+  fp AS (SELECT p.work_id, p.ref_unit, arg_min(p.id, (p.position, p.id)) AS pid FROM pas p JOIN texts t ON p.text_id = t.id WHERE t.quotable AND NOT coalesce(p.is_apparatus, false) AND p.ref_unit IS NOT NULL GROUP BY ALL),
+  ask AS (SELECT item_id, unnest({_RUNS.format('text')}) AS g FROM q0), has AS (SELECT id, unnest({_RUNS.format('body')}) AS g FROM orig),
+  df AS (SELECT g, ln(1 + (SELECT count(*) FROM orig)::DOUBLE / count(*)) AS w FROM has GROUP BY g),
+  sc AS (SELECT item_id, id, sum(w) AS score FROM ask JOIN has USING (g) JOIN df USING (g) GROUP BY ALL),
+  c AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 6) DESC, id) AS rnk FROM sc),
+  p AS (SELECT c.item_id, c.id, c.rnk, cq, grams, cb FROM c JOIN q USING (item_id) JOIN orig ON orig.id = c.id WHERE rnk <= 50),
+  {_RANKED},
+  y AS (SELECT r.*, pid, o.ref_unit AS ref, row_number() OVER (PARTITION BY item_id, pid ORDER BY place) AS nth FROM (SELECT * FROM r WHERE place <= 50) r JOIN orig o ON o.id = r.id JOIN fp ON fp.work_id = o.work_id AND fp.ref_unit = o.ref_unit)
+  SELECT item_id, id AS original_id, pid AS id, ref, similarity, exact, row_number() OVER (PARTITION BY item_id ORDER BY place) AS place FROM y WHERE nth = 1 QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY place) <= 5
 """
 _WCOUNT = "len(regexp_extract_all(coalesce(text, ''), '" + _RW + r"|[^\s" + _RW[1:-1] + r"]*[\p{L}\p{N}][^\s" + _RW[1:-1] + "]*'))"
 ORACLES = {
@@ -235,6 +295,7 @@ ORACLES = {
     "unit_grouping": f"WITH {_SEA}, lg AS (SELECT DISTINCT id AS request_id, passage_ids FROM usage_log WHERE passage_ids IS NOT NULL AND tool = 'read_passages'), ex AS (SELECT request_id, unnest(range(0, len(ids))) AS pos, unnest(ids) AS pid FROM (SELECT request_id, from_json(passage_ids, '[\"VARCHAR\"]') AS ids FROM lg)), rq AS (SELECT request_id, pid, min(pos) AS pos FROM ex WHERE pid IS NOT NULL GROUP BY ALL), h AS (SELECT rq.*, s.work_id, s.ref_unit FROM rq LEFT JOIN (SELECT * FROM sea WHERE shown AND ref_unit IS NOT NULL) s ON s.id = rq.pid), m AS (SELECT request_id, count(*) FILTER (WHERE ref_unit IS NULL) AS n_missing, count(DISTINCT (work_id, ref_unit)) FILTER (WHERE ref_unit IS NOT NULL) AS n_units FROM h GROUP BY ALL) SELECT request_id, work_id, ref_unit, min(pos) AS first_pos, count(*) AS n_hits, n_missing, (6000 // greatest(n_units, 1))::BIGINT AS share FROM h JOIN m USING (request_id) WHERE ref_unit IS NOT NULL GROUP BY request_id, work_id, ref_unit, n_missing, n_units",
     "quote_check": _QUOTE_SQL + "SELECT * FROM r WHERE place <= 5",
     "quote_nearest": _QUOTE_SQL + "SELECT item_id, id, similarity, exact FROM r WHERE place = 1",
-    "canonical_quotes": f"WITH q AS (SELECT item_id, {_CANON.format('text')} AS cq FROM eval_items WHERE lang = 'en') SELECT item_id, cq, len({_GRAMS.format('cq')}) AS n_trigrams FROM q",
+    "quote_originals": _ORIGINAL_SQL,
+    "canonical_quotes": f"WITH q AS (SELECT item_id, {_CANON.format('text')} AS cq FROM eval_items WHERE text IS NOT NULL) SELECT item_id, cq, len({_GRAMS.format('cq')}) AS n_trigrams FROM q",
     "work_resolver": "WITH a AS (SELECT DISTINCT split_part(author, ' ', 1) AS asked FROM works), h AS (SELECT asked, id FROM a JOIN works w ON asked = id OR contains(lower(concat_ws(chr(10), title, original_title, author)), lower(asked))) SELECT asked, count(*) AS n, CASE WHEN count(*) = 1 THEN min(id) END AS resolved FROM h GROUP BY asked",
 }

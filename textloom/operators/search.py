@@ -3,29 +3,26 @@
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from textloom.functions.text import WORD, opening, words
+from textloom.functions.text import opening, query_words, words
+from textloom.operators.index import Index, Phrase, bm25, bm25_many, kept_index
 from textloom.sources.tables import delivered_once, table
 
-K1, B = 1.2, 0.75
 CANDIDATES, FUSED, PER_WORK, RRF_K = 50, 20, 3, 60
 # Function words that only the second keyword pass leaves out.
 STOP_WORDS = (
-    "a about after all also am an and any are as at be because been being between both but by can could did do does for from had has have he her his how i if in into is it its "
-    "me more most my no not of on or our she should so than that the their them then there these they this those to was we were what when which who why will with would you your"
-).split()
-
-
-@dataclass(frozen=True)
-class Phrase:
-    """One unit of a keyword query: words that must stand next to each other."""
-
-    words: tuple[str, ...]
+    "a about am an and are as at be been but by can could did do does for from had has have he "
+    "her his how i if in into is it its me my no not of on or our she should so than that the "
+    "their them then there these they this those to us was we were what when where which who "
+    "why will with would you your"
+).split()
 
 
 def compile_query(text: str, skip_stop_words: bool = False) -> list[Phrase]:
@@ -35,8 +32,7 @@ def compile_query(text: str, skip_stop_words: bool = False) -> list[Phrase]:
     """
     out = []
     for quoted, bare in re.findall(r'"([^"]*)"|([^\s"]+)', text):
-        part = quoted or bare
-        found = tuple(re.findall(r"[a-z0-9]+", part.lower()))
+        found = tuple(query_words(quoted or bare))
         if found and not (skip_stop_words and bare and "".join(found) in STOP_WORDS):
             out.append(Phrase(found))
     return list(dict.fromkeys(out))
@@ -54,60 +50,32 @@ def validated(kind: str, value: str) -> str:
     return value
 
 
-def _tf(lowered: Column, phrase: Phrase) -> Column:
-    """How often a phrase stands in a lower-case text; occurrences may overlap."""
-    body = "[^a-z0-9]+".join(re.escape(w) for w in phrase.words)
-    return F.regexp_count(lowered, F.lit(f"(?<![a-z0-9])(?={body}(?![a-z0-9]))"))
-
-
-def bm25(rows: DataFrame, key: str, columns: dict[str, float], phrases: list[Phrase], body_only: bool = False) -> DataFrame:
-    """rows + (tfs array, hits, score): Okapi BM25 over every row, whatever is filtered afterwards.
-
-    columns: text column -> weight.  Statistics come from one aggregation to a single row, scores
-    from a second scan; postings are never shuffled.  Null text counts as empty.  body_only counts
-    matches in the first column only, while all columns make up the length.
-    """
-    low = {c: f"_l_{c}" for c in columns}
-    t = rows
-    for c, name in low.items():
-        t = t.withColumn(name, F.lower(F.coalesce(c, F.lit(""))))
-    counted = list(columns)[:1] if body_only else list(columns)
-    raw = [F.array(*[_tf(F.col(low[c]), p) for c in counted]) for p in phrases]
-    length = sum((F.regexp_count(F.col(n), F.lit(WORD)) for n in low.values()), F.lit(0))
-    t = t.withColumn("_dl", length).withColumn("_raw", F.array(*raw) if raw else F.array().cast("array<array<int>>")).drop(*low.values())
-    present = [sum((F.col("_raw")[k][j] for j in range(len(counted))), F.lit(0)) > 0 for k in range(len(phrases))]
-    stats = t.agg(F.count("*").alias("_n"), F.avg("_dl").alias("_avgdl"), *[F.count(F.when(p, 1)).alias(f"_df{k}") for k, p in enumerate(present)])
-    t = t.join(F.broadcast(stats))  # one row
-    score, hits = F.lit(0.0), F.lit(0)
-    for k in range(len(phrases)):
-        f = sum((F.col("_raw")[k][j] * columns[c] for j, c in enumerate(counted)), F.lit(0.0))
-        idf = F.log((F.col("_n") - F.col(f"_df{k}") + 0.5) / (F.col(f"_df{k}") + 0.5))
-        idf = F.when(idf <= 0, 1e-6).otherwise(idf)
-        score = score + F.when(f > 0, idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("_dl") / F.col("_avgdl")))).otherwise(0.0)
-        hits = hits + F.when(present[k], 1).otherwise(0)
-    return t.withColumn("hits", hits).withColumn("score", score).drop("_raw", "_dl", "_n", "_avgdl", *[f"_df{k}" for k in range(len(phrases))])
-
-
 def keyword_topk(scored: DataFrame, key: str, n_phrases: int, every: bool, k: int = CANDIDATES) -> DataFrame:
     """Best k rows that match every phrase (or any); equal scores by key."""
-    wanted = scored.filter(F.col("hits") == n_phrases) if every else scored.filter("hits > 0")
+    wanted = scored.filter(F.col("hits") == n_phrases) if every else scored
     return wanted.orderBy(F.desc(F.round("score", 9)), key).limit(k)
 
 
-def two_pass(rows: DataFrame, key: str, columns: dict[str, float], query: str, keep: Column, k: int = CANDIDATES) -> DataFrame:
+def two_pass(index: Index, weights: dict[str, float], query: str, shown: DataFrame | None = None, k: int = CANDIDATES) -> DataFrame:
     """(key, tier, score, rnk): rows with every phrase first, filled up with rows with any phrase but stop words.
 
-    A query without any phrase finds nothing; one made only of stop words is not thinned.
+    shown: (key) of the rows that may be found (default: all); the others count in the statistics
+    only.  A query without any phrase finds nothing; one made only of stop words is not thinned.
     """
+    key = index.key
     every = compile_query(query)
     some = compile_query(query, skip_stop_words=True) or every
-    first = keyword_topk(bm25(rows, key, columns, every).filter(keep), key, len(every), True, k).select(key, "score", F.lit(0).alias("tier")) if every else None
-    if first is None:
-        return rows.select(key, F.lit(0).alias("tier"), F.lit(0.0).alias("score"), F.lit(0).alias("rnk")).limit(0)
-    both = first
+    if not every:
+        return index.postings.select(key, F.lit(0).alias("tier"), F.lit(0.0).alias("score"), F.lit(0).alias("rnk")).limit(0)
+
+    def best_of(phrases: list[Phrase], all_of_them: bool, most: int, tier: int) -> DataFrame:
+        found = bm25(index, weights, phrases)
+        found = found if shown is None else found.join(shown, key, "left_semi")
+        return keyword_topk(found, key, len(phrases), all_of_them, most).select(key, "score", F.lit(tier).alias("tier"))
+
+    both = first = best_of(every, True, k, 0)
     if some != every or len(some) > 1:  # a single phrase is the same query either way
-        second = keyword_topk(bm25(rows, key, columns, some).filter(keep), key, len(some), False, 2 * k).select(key, "score", F.lit(1).alias("tier"))
-        both = first.unionByName(second.join(F.broadcast(first.select(key)), key, "left_anti"))  # at most k rows
+        both = first.unionByName(best_of(some, False, 2 * k, 1).join(F.broadcast(first.select(key)), key, "left_anti"))  # at most k rows
     best = both.orderBy("tier", F.desc(F.round("score", 9)), key).limit(k)
     return best.withColumn("rnk", F.row_number().over(Window.orderBy("tier", F.desc(F.round("score", 9)), key)))  # of k rows
 
@@ -123,11 +91,58 @@ def l2_normalised(v: Column) -> Column:
     return F.when(norm > 0, F.transform(d, lambda x: x / norm)).otherwise(d)
 
 
+#: Vectors and query vectors that meet in one task's matrix product.
+BLOCK, QUERY_BLOCK = 4_096, 512
+
+
+def _blocks(df: DataFrame, key: str, vector: str, size: int, name: str) -> DataFrame:
+    """Rows packed into blocks: (name_keys, name_vectors flat), `size` rows at most; rows with a null key or vector are left out."""
+    kind = df.schema[key].dataType.simpleString()
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for k in range(0, len(pdf), size):
+                part = pdf[k : k + size]
+                yield pd.DataFrame({f"{name}_keys": [part[key].tolist()], f"{name}_vectors": [np.concatenate(part[vector].to_list()).astype(float)]})
+
+    known = df.filter(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(key, F.col(vector).cast("array<double>").alias(vector))
+    return known.mapInPandas(pack, f"{name}_keys array<{kind}>, {name}_vectors array<double>")
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, key: str, k: int = CANDIDATES, itself: bool = True) -> DataFrame:
+    """(query_id, key, sim, rnk): for each query (query_id, q) the k vectors nearest by cosine, exact; equal ones by key.
+
+    The stated queries meet all vectors in blocks: a matrix product, of which a block keeps the k
+    best for each query.  The zero vector has cosine 0 to all.  `itself`: a query may find the
+    vector of its own id.
+    """
+    kind = vectors.schema[key].dataType.simpleString()
+    met = _blocks(vectors, key, "embedding", BLOCK, "v").crossJoin(_blocks(queries, "query_id", "q", QUERY_BLOCK, "q"))  # blocks, not rows
+
+    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for r in pdf.itertuples(index=False):
+                ids, asked = np.array(r.v_keys), np.array(r.q_keys)
+                sides = []
+                for flat, n in ((r.v_vectors, len(ids)), (r.q_vectors, len(asked))):
+                    m = np.asarray(flat, float).reshape(n, -1)
+                    norm = np.linalg.norm(m, axis=1, keepdims=True)
+                    sides.append(np.divide(m, norm, out=np.zeros_like(m), where=norm > 0))
+                sim = sides[1] @ sides[0].T
+                if not itself:
+                    sim[asked[:, None] == ids[None, :]] = -np.inf
+                order = np.lexsort((np.broadcast_to(ids, sim.shape), -np.round(sim, 9)), axis=1)[:, :k]
+                best = np.take_along_axis(sim, order, 1)
+                flat = pd.DataFrame({"query_id": np.repeat(asked, order.shape[1]), key: ids[order].ravel(), "sim": best.ravel()})
+                yield flat[np.isfinite(flat["sim"])]
+
+    w = Window.partitionBy("query_id").orderBy(F.desc(F.round("sim", 9)), key)
+    return met.mapInPandas(look, f"query_id bigint, `{key}` {kind}, sim double").withColumn("rnk", F.row_number().over(w)).filter(F.col("rnk") <= k)
+
+
 def knn(vectors: DataFrame, query: DataFrame, key: str, k: int = CANDIDATES) -> DataFrame:
-    """(key, sim, rnk) of the k vectors nearest by cosine to the one query vector (column q), exact."""
-    scored = vectors.join(F.broadcast(query)).select(key, dot(l2_normalised(F.col("embedding")), l2_normalised(F.col("q"))).alias("sim"))  # one row
-    best = scored.orderBy(F.desc(F.round("sim", 9)), key).limit(k)
-    return best.withColumn("rnk", F.row_number().over(Window.orderBy(F.desc(F.round("sim", 9)), key)))  # of k rows
+    """(key, sim, rnk) of the k vectors nearest to one query vector (column q)."""
+    return nearest(vectors, query.select(F.lit(0).cast("bigint").alias("query_id"), "q"), key, k).drop("query_id")
 
 
 def rrf(lists: list[DataFrame], key: str, k: int = RRF_K) -> DataFrame:
@@ -164,42 +179,69 @@ QUERY = "the silver journey of a patient harbour"
 ALL_QUERY = "the silver harbour"
 
 
-def passages_once(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return delivered_once(table(spark, sf_dir, "passages"), "id", "created_at")
+WEIGHTS = {"body": 1.0, "keywords": 0.4}
+
+
+def passages_once(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    p = table(spark, sf_dir, "passages")
+    return delivered_once(p.select(*dict.fromkeys(["id", "created_at", *columns])) if columns else p, "id", "created_at")
 
 
-def searchable(spark: SparkSession, sf_dir: str) -> DataFrame:
+def searchable(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     """Passages with a flag for those that may be shown: no apparatus, of a quotable text."""
     texts = table(spark, sf_dir, "texts").select(F.col("id").alias("text_id"), "quotable")
-    return passages_once(spark, sf_dir).join(texts, "text_id", "left").withColumn("shown", ~F.coalesce("is_apparatus", F.lit(False)) & F.coalesce("quotable", F.lit(False)))
+    p = passages_once(spark, sf_dir, *(["text_id", "is_apparatus", *columns] if columns else []))
+    return p.join(texts, "text_id", "left").withColumn("shown", ~F.coalesce("is_apparatus", F.lit(False)) & F.coalesce("quotable", F.lit(False)))
+
+
+def passage_index(spark: SparkSession, sf_dir: str, stemmed: bool = False) -> Index:
+    rows = lambda: passages_once(spark, sf_dir, "body", "keywords")
+    return kept_index(spark, f"{sf_dir}/passages.parquet", rows, "id", ["body", "keywords"], "passages", stemmed)
+
+
+def document_index(spark: SparkSession, sf_dir: str) -> Index:
+    rows = lambda: table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", "text")
+    return kept_index(spark, f"{sf_dir}/documents.parquet", rows, "doc_id", ["text"], "documents")
+
 
+def _shown(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    return searchable(spark, sf_dir, "work_id").filter("shown").select("id", *columns)
 
-def _bm25_query(spark: SparkSession, sf_dir: str, query: str, every: bool, body_only: bool = False) -> DataFrame:
+
+def _bm25_query(spark: SparkSession, sf_dir: str, query: str, every: bool, weights: dict[str, float] = WEIGHTS, stemmed: bool = False) -> DataFrame:
     phrases = compile_query(query, skip_stop_words=not every)
-    scored = bm25(searchable(spark, sf_dir), "id", {"body": 1.0, "keywords": 0.4}, phrases, body_only).filter("shown")
+    scored = bm25(passage_index(spark, sf_dir, stemmed), weights, phrases).join(_shown(spark, sf_dir, "work_id"), "id")
     return keyword_topk(scored, "id", len(phrases), every).select("id", "work_id", F.round("score", 6).alias("score"))
 
 
+def bm25_query_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best other documents for the words of every document whose id is divisible by 100."""
+    terms = table(spark, sf_dir, "documents").filter("doc_id % 100 = 0 and text is not null").select(F.col("doc_id").alias("query_id"), F.explode(F.array_distinct(words(F.col("text")))).alias("term"))
+    terms = terms.filter((F.length("term") > 1) & ~F.col("term").isin(STOP_WORDS))
+    scored = bm25_many(document_index(spark, sf_dir), {"text": 1.0}, terms).filter("query_id <> doc_id")
+    w = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 6)), "doc_id")
+    return scored.withColumn("rnk", F.row_number().over(w)).filter("rnk <= 10").select("query_id", F.col("rnk").cast("bigint").alias("rnk"), "doc_id", F.round("score", 4).alias("score"))
+
+
 def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(term, col, n_rows, n_places): document and collection frequency."""
-    p = passages_once(spark, sf_dir).select("id", F.explode(F.create_map(F.lit("body"), words(F.col("body")), F.lit("keywords"), words(F.col("keywords")))).alias("col", "ts"))
-    tf = p.select("id", "col", F.explode("ts").alias("term")).groupBy("term", "col", "id").agg(F.count("*").alias("tf"))
-    return tf.groupBy("term", "col").agg(F.count("*").alias("n_rows"), F.sum("tf").alias("n_places"))
+    index = passage_index(spark, sf_dir)
+    name = F.when(F.col("col") == 0, "body").otherwise("keywords")
+    return index.postings.groupBy("term", name.alias("col")).agg(F.count("*").alias("n_rows"), F.sum(F.size("places")).alias("n_places"))
 
 
 def corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = passages_once(spark, sf_dir).select((F.size(words(F.col("body"))) + F.size(words(F.col("keywords")))).alias("dl"))
-    return p.agg(F.count("*").alias("n"), F.round(F.avg("dl"), 6).alias("avgdl"), F.max("dl").cast("bigint").alias("longest"))
+    return passage_index(spark, sf_dir).stats.select("n", F.round("avgdl", 6).alias("avgdl"), F.col("longest").cast("bigint").alias("longest"))
 
 
 def two_pass_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = two_pass(searchable(spark, sf_dir), "id", {"body": 1.0, "keywords": 0.4}, ALL_QUERY, F.col("shown"))
+    out = two_pass(passage_index(spark, sf_dir), WEIGHTS, ALL_QUERY, _shown(spark, sf_dir))
     return out.select("id", F.col("tier").cast("bigint").alias("tier"), F.round("score", 6).alias("score"), F.col("rnk").cast("bigint").alias("rnk"))
 
 
 def phrase_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     phrases = [Phrase(("the", "silver")), Phrase(("does", "not"))]
-    scored = bm25(searchable(spark, sf_dir), "id", {"body": 1.0, "keywords": 0.4}, phrases).filter("shown and hits > 0")
+    scored = bm25(passage_index(spark, sf_dir), WEIGHTS, phrases).join(_shown(spark, sf_dir), "id", "left_semi")
     return scored.select("id", F.col("hits").cast("bigint").alias("hits"), F.round("score", 6).alias("score"))
 
 
@@ -208,9 +250,14 @@ def _query_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.agg(F.min_by("embedding", "vec_id").alias("q"))
 
 
+def _query_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stated query set: every vector whose id is divisible by 100."""
+    return table(spark, sf_dir, "embeddings").filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+
+
 def knn_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = knn(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), _query_vector(spark, sf_dir), "vec_id")
-    return out.select("vec_id", F.round("sim", 6).alias("sim"), F.col("rnk").cast("bigint").alias("rnk"))
+    out = nearest(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), _query_vectors(spark, sf_dir), "vec_id")
+    return out.select("query_id", "vec_id", F.round("sim", 6).alias("sim"), F.col("rnk").cast("bigint").alias("rnk"))
 
 
 def l2_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -219,9 +266,9 @@ def l2_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _hybrid(spark: SparkSession, sf_dir: str, with_vectors: bool = True) -> DataFrame:
+    """With vectors, or without as when no query vector can be had."""
     docs = table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", "text", "source")
-    keyword = two_pass(docs, "doc_id", {"text": 1.0}, QUERY, F.lit(True))
-    lists = [keyword]
+    lists = [two_pass(document_index(spark, sf_dir), {"text": 1.0}, QUERY)]
     if with_vectors:
         vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding").join(docs.select("doc_id"), "doc_id", "left_semi")
         lists.append(knn(vectors, _query_vector(spark, sf_dir), "doc_id"))
@@ -244,7 +291,7 @@ def degraded_keyword_only(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cap_per_work(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three best passages of every work for one query."""
     phrases = compile_query(QUERY, skip_stop_words=True)
-    scored = bm25(searchable(spark, sf_dir), "id", {"body": 1.0, "keywords": 0.4}, phrases).filter("shown and hits > 0")
+    scored = bm25(passage_index(spark, sf_dir), WEIGHTS, phrases).join(_shown(spark, sf_dir, "work_id"), "id")
     w = Window.partitionBy("work_id").orderBy(F.desc(F.round("score", 9)), "id")
     return scored.withColumn("rnk", F.row_number().over(w)).filter("rnk <= 3").select("work_id", "id", F.col("rnk").cast("bigint").alias("rnk"), F.round("score", 6).alias("score"))
 
@@ -261,11 +308,10 @@ def opening_snippet(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def recall_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recall@10 of every hundredth vector: relevant are the vectors of its label, hits its ten nearest among all others."""
-    e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e"), "label")
-    q = e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("q_id"), F.col("e").alias("q"), F.col("label").alias("q_label"))
-    pairs = e.join(q, e["vec_id"] != q["q_id"])  # the stated query set against all rows
-    w = Window.partitionBy("q_id").orderBy(F.desc(F.round("sim", 9)), "vec_id")
-    top = pairs.select("q_id", "q_label", "vec_id", "label", dot(F.col("e"), F.col("q")).alias("sim")).withColumn("rnk", F.row_number().over(w)).filter("rnk <= 10")
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    top = nearest(e, _query_vectors(spark, sf_dir), "vec_id", 10, itself=False).withColumnRenamed("query_id", "q_id")
+    label = e.select(F.col("vec_id").alias("q_id"), F.col("label").alias("q_label"))
+    top = top.join(e.select("vec_id", "label"), "vec_id").join(label, "q_id")
     sizes = e.groupBy("label").agg((F.count("*") - 1).alias("n_relevant"))
     hit = top.groupBy("q_id", "q_label").agg(F.count(F.when(F.col("label") == F.col("q_label"), 1)).alias("n_hit"))
     out = hit.join(sizes, hit["q_label"] == sizes["label"])
@@ -280,7 +326,8 @@ def mean_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "postings_stats": postings, "corpus_stats": corpus_stats,
     "bm25_all_terms": lambda s, d: _bm25_query(s, d, ALL_QUERY, True), "bm25_any_terms": lambda s, d: _bm25_query(s, d, QUERY, False),
-    "column_filtered_match": lambda s, d: _bm25_query(s, d, QUERY, False, True), "two_pass_fill": two_pass_fill, "phrase_match": phrase_match,
+    "column_filtered_match": lambda s, d: _bm25_query(s, d, QUERY, False, {"body": 1.0}),
+    "bm25_stemmed": lambda s, d: _bm25_query(s, d, "journeys of patient harbours", False, stemmed=True), "bm25_query_set": bm25_query_set, "two_pass_fill": two_pass_fill, "phrase_match": phrase_match,
     "knn_cosine": knn_cosine, "l2_normalise": l2_normalise, "rrf_hybrid": rrf_hybrid, "degraded_keyword_only": degraded_keyword_only, "cap_per_work": cap_per_work,
     "match_snippet": match_snippet, "opening_snippet": opening_snippet, "recall_at_k": recall_at_k, "mean_recall": mean_recall,
 }
@@ -292,7 +339,16 @@ _SHOWN = ONCE + ", sea AS (SELECT p.*, NOT coalesce(p.is_apparatus, false) AND c
 
 
 def _toks(c: str) -> str:
-    return f"regexp_extract_all(lower(coalesce({c}, '')), '[a-z0-9]+')"
+    return rf"regexp_extract_all(replace(strip_accents(lower(coalesce({c}, ''))), 'ς', 'σ'), '[\p{{L}}\p{{N}}]+')"
+
+
+def _ph(*words_of: str) -> list[Phrase]:
+    return [Phrase(tuple(w.split())) for w in words_of]
+
+
+# The queries' phrases as the oracles take them: written out, not compiled.
+_EVERY, _SOME = _ph("the", "silver", "journey", "of", "a", "patient", "harbour"), _ph("silver", "journey", "patient", "harbour")
+_ALL_EVERY, _ALL_SOME = _ph("the", "silver", "harbour"), _ph("silver", "harbour")
 
 
 def _bm25_sql(name: str, source: str, key: str, columns: dict[str, float], phrases: list[Phrase], body_only: bool = False) -> str:
@@ -326,14 +382,12 @@ def _bm25_sql(name: str, source: str, key: str, columns: dict[str, float], phras
 _W = {"body": 1.0, "keywords": 0.4}
 
 
-def _top_sql(query: str, every: bool, body_only: bool = False) -> str:
-    ph = compile_query(query, skip_stop_words=not every)
+def _top_sql(ph: list[Phrase], every: bool, body_only: bool = False) -> str:
     cond = f"hits = {len(ph)}" if every else "hits > 0"
     return f"WITH {_SHOWN}, {_bm25_sql('b', 'sea', 'id', _W, ph, body_only)} SELECT id, work_id, round(score, 6) AS score FROM b WHERE shown AND {cond} ORDER BY round(score, 9) DESC, id LIMIT 50"
 
 
-def _two_pass_sql(source: str, key: str, columns: dict[str, float], query: str, keep: str) -> str:
-    every, some = compile_query(query), compile_query(query, True)
+def _two_pass_sql(source: str, key: str, columns: dict[str, float], every: list[Phrase], some: list[Phrase], keep: str) -> str:
     return (
         f"{_bm25_sql('e', source, key, columns, every)}, {_bm25_sql('a', source, key, columns, some)}, "
         f"e50 AS (SELECT {key}, 0 AS tier, score FROM e WHERE {keep} AND hits = {len(every)} ORDER BY round(score, 9) DESC, {key} LIMIT 50), "
@@ -351,7 +405,7 @@ def _hybrid_sql(vectors: bool) -> str:
     vec = f", vs AS (SELECT doc_id, row_number() OVER (ORDER BY round(sim, 9) DESC, doc_id) AS rnk FROM (SELECT vec_id AS doc_id, {_DOT} AS sim FROM embeddings, {_Q} WHERE vec_id IN (SELECT doc_id FROM docs)) ORDER BY round(sim, 9) DESC, doc_id LIMIT 50)"
     lists = "SELECT doc_id, 0 AS l, rnk FROM kw" + (" UNION ALL SELECT doc_id, 1, rnk FROM vs" if vectors else "")
     return (
-        f"WITH {_DOCS}, {_two_pass_sql('docs', 'doc_id', {'text': 1.0}, QUERY, 'true')}{vec if vectors else ''}, "
+        f"WITH {_DOCS}, {_two_pass_sql('docs', 'doc_id', {'text': 1.0}, _EVERY, _SOME, 'true')}{vec if vectors else ''}, "
         f"fu AS (SELECT doc_id, sum(1.0::DOUBLE / (60 + rnk)) AS fused, min(l * 1000 + rnk) AS fst FROM ({lists}) GROUP BY doc_id), "
         f"cp AS (SELECT f.*, d.source, d.text, row_number() OVER (PARTITION BY d.source ORDER BY round(fused, 12) DESC, fst) AS ig FROM fu f JOIN docs d USING (doc_id)) "
     )
@@ -364,20 +418,22 @@ _RECALL = """
   s AS (SELECT label, count(*) - 1 AS n_relevant FROM embeddings GROUP BY label),
   r AS (SELECT q_id, n_hit, n_relevant, round(CASE WHEN n_relevant = 0 THEN 1.0::DOUBLE ELSE n_hit / n_relevant::DOUBLE END, 6) AS recall FROM h JOIN s ON q_label = label)
 """
-_PHRASES = [Phrase(("the", "silver")), Phrase(("does", "not"))]
+_PHRASES = _ph("the silver", "does not")
+_STOP_SQL = "'a','about','am','an','and','are','as','at','be','been','but','by','can','could','did','do','does','for','from','had','has','have','he','her','his','how','i','if','in','into','is','it','its','me','my','no','not','of','on','or','our','she','should','so','than','that','the','their','them','then','there','these','they','this','those','to','us','was','we','were','what','when','where','which','who','why','will','with','would','you','your'"
 ORACLES = {
     "postings_stats": f"WITH {ONCE}, x AS (SELECT id, 'body' AS col, unnest({_toks('body')}) AS term FROM pas UNION ALL SELECT id, 'keywords', unnest({_toks('keywords')}) FROM pas) SELECT term, col, count(DISTINCT id) AS n_rows, count(*)::HUGEINT::BIGINT AS n_places FROM x GROUP BY ALL",
     "corpus_stats": f"WITH {ONCE}, x AS (SELECT len({_toks('body')}) + len({_toks('keywords')}) AS dl FROM pas) SELECT count(*) AS n, round(avg(dl), 6) AS avgdl, max(dl)::BIGINT AS longest FROM x",
-    "bm25_all_terms": _top_sql(ALL_QUERY, True),
-    "bm25_any_terms": _top_sql(QUERY, False),
-    "column_filtered_match": _top_sql(QUERY, False, True),
-    "two_pass_fill": f"WITH {_SHOWN}, {_two_pass_sql('sea', 'id', _W, ALL_QUERY, 'shown')} SELECT id, tier::BIGINT AS tier, round(score, 6) AS score, rnk FROM kw",
+    "bm25_all_terms": _top_sql(_ALL_EVERY, True),
+    "bm25_any_terms": _top_sql(_SOME, False),
+    "column_filtered_match": _top_sql(_SOME, False, True),
+    "two_pass_fill": f"WITH {_SHOWN}, {_two_pass_sql('sea', 'id', _W, _ALL_EVERY, _ALL_SOME, 'shown')} SELECT id, tier::BIGINT AS tier, round(score, 6) AS score, rnk FROM kw",
     "phrase_match": f"WITH {_SHOWN}, {_bm25_sql('b', 'sea', 'id', _W, _PHRASES)} SELECT id, hits::BIGINT AS hits, round(score, 6) AS score FROM b WHERE shown AND hits > 0",
-    "knn_cosine": f"SELECT vec_id, round(sim, 6) AS sim, row_number() OVER (ORDER BY round(sim, 9) DESC, vec_id) AS rnk FROM (SELECT vec_id, {_DOT} AS sim FROM embeddings, {_Q}) ORDER BY round(sim, 9) DESC, vec_id LIMIT 50",
+    "knn_cosine": f"SELECT query_id, vec_id, round(sim, 6) AS sim, rnk FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(sim, 9) DESC, vec_id) AS rnk FROM (SELECT query_id, vec_id, {_DOT} AS sim FROM embeddings, (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id % 100 = 0))) WHERE rnk <= 50",
+    "bm25_query_set": f"WITH {_DOCS}, tk AS (SELECT doc_id, {_toks('text')} AS ts FROM docs), st AS (SELECT count(*) AS n, avg(len(ts)) AS avgdl FROM tk), tf AS (SELECT doc_id, dl, term, count(*) AS f FROM (SELECT doc_id, len(ts) AS dl, unnest(ts) AS term FROM tk) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term), w AS (SELECT term, doc_id, (CASE WHEN n - df + 0.5 <= df + 0.5 THEN 1e-6 ELSE ln((n - df + 0.5)::DOUBLE / (df + 0.5)::DOUBLE) END) * f * 2.2::DOUBLE / (f + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl)) AS w FROM tf JOIN df USING (term), st), q AS (SELECT DISTINCT doc_id AS query_id, unnest(ts) AS term FROM tk WHERE doc_id % 100 = 0), s AS (SELECT query_id, doc_id, sum(w) AS score FROM q JOIN w USING (term) WHERE query_id <> doc_id AND length(term) > 1 AND term NOT IN ({_STOP_SQL}) GROUP BY ALL) SELECT query_id, rnk, doc_id, round(score, 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) AS rnk FROM s) WHERE rnk <= 10",
     "l2_normalise": "WITH x AS (SELECT vec_id, list_transform(embedding, lambda y: (y * 3)::DOUBLE) AS v FROM embeddings), y AS (SELECT vec_id, v, sqrt(list_dot_product(v, v)) AS n FROM x) SELECT vec_id, round(list_dot_product(v, v) / (n * n), 6) AS norm2, round(v[1] / n, 6) AS v0 FROM y",
     "rrf_hybrid": _hybrid_sql(True) + "SELECT doc_id, source, round(fused, 9) AS fused, CASE WHEN length(text) < 300 THEN text ELSE concat(substring(text, 1, 300), '…') END AS opening FROM cp WHERE ig <= 3 ORDER BY round(fused, 12) DESC, fst LIMIT 20",
     "degraded_keyword_only": _hybrid_sql(False) + "SELECT doc_id, source, round(fused, 9) AS fused, true AS degraded FROM cp WHERE ig <= 3 ORDER BY round(fused, 12) DESC, fst LIMIT 20",
-    "cap_per_work": f"WITH {_SHOWN}, {_bm25_sql('b', 'sea', 'id', _W, compile_query(QUERY, True))} SELECT work_id, id, rnk, score FROM (SELECT work_id, id, row_number() OVER (PARTITION BY work_id ORDER BY round(score, 9) DESC, id) AS rnk, round(score, 6) AS score FROM b WHERE shown AND hits > 0) WHERE rnk <= 3",
+    "cap_per_work": f"WITH {_SHOWN}, {_bm25_sql('b', 'sea', 'id', _W, _SOME)} SELECT work_id, id, rnk, score FROM (SELECT work_id, id, row_number() OVER (PARTITION BY work_id ORDER BY round(score, 9) DESC, id) AS rnk, round(score, 6) AS score FROM b WHERE shown AND hits > 0) WHERE rnk <= 3",
     "opening_snippet": "SELECT doc_id, CASE WHEN length(text) < 300 THEN text ELSE concat(substring(text, 1, 300), '…') END AS opening FROM documents WHERE text IS NOT NULL",
     "recall_at_k": _RECALL + "SELECT * FROM r",
     "mean_recall": _RECALL + "SELECT count(*) AS n_queries, round(avg(recall), 6) AS mean_recall, count(*) FILTER (WHERE recall < 0.7) AS n_below FROM r",

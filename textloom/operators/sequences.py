@@ -2,180 +2,45 @@
 
 from __future__ import annotations
 
-import re
-from bisect import bisect_left
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from textloom.functions.romanise import romanised
+from textloom.functions.text import squash
+from textloom.operators.library import carried
 from textloom.operators.reading import originals_once
-
-ASSIGNED = "work_id string, n int, ref string, apparatus boolean"
-
-
-def _squashed(s: str) -> str:
-    return " ".join((s or "").split())
-
-
-def _range(a: str, b: str) -> str:
-    """70a-c on one page, 70d-71b across pages, 10.6-7 for the last number of a path."""
-    x, y = re.fullmatch(r"(\d+)([a-e])", a), re.fullmatch(r"(\d+)([a-e])", b)
-    if x and y:
-        if (int(x[1]), x[2]) >= (int(y[1]), y[2]):
-            raise ValueError(f"reversed range {a} {b}")
-        return f"{a}-{y[2]}" if x[1] == y[1] else f"{a}-{b}"
-    p, q = a.rpartition("."), b.rpartition(".")
-    if p[0] != q[0] or not p[2].isdigit() or not q[2].isdigit() or int(p[2]) >= int(q[2]):
-        raise ValueError(f"no range from {a} to {b}")
-    return f"{a}-{q[2]}"
-
-
-def _walk_anchors(blocks: list[tuple[int, str]], anchors: list[tuple[str | None, str]]) -> list[tuple[int, str | None, bool]]:
-    """Anchors in order over blocks in order: opening words at a block's start, … words anywhere after the last hit; a null unit drops its block."""
-    out, unit, at = [], None, 0
-    for n, body in blocks:
-        body, first, seen, frm, dropped = _squashed(body), unit, [], 0, False
-        while at < len(anchors):
-            u, words = anchors[at]
-            inside = words.startswith("…")
-            words = _squashed(words.lstrip("…"))
-            where = body.find(words, frm) if inside else (0 if not seen and body.startswith(words) else -1)
-            if where < 0:
-                break
-            at, frm = at + 1, where + len(words)
-            if u is None:
-                dropped, unit = True, None
-            elif not inside:
-                first = unit = u
-            else:
-                seen.append(u)
-                unit = u
-        if dropped and not seen or first is None and not seen:
-            out.append((n, None, True))
-        else:
-            start = first if first is not None else seen[0]
-            out.append((n, _range(start, seen[-1]) if seen and seen[-1] != start else start, False))
-    if at < len(anchors):
-        raise ValueError(f"anchor not found: {anchors[at]}")
-    return out
+from textloom.operators.search import ONCE, passages_once
 
 
 def anchored(blocks: DataFrame, anchors: DataFrame) -> DataFrame:
-    """blocks (work_id, n, body), anchors (work_id, k, unit, at) -> (work_id, n, ref, apparatus); an anchor that is not found is an error.
+    """blocks (work_id, n, body), anchors (work_id, k, unit, at) -> (work_id, n, ref, apparatus): blocks under the unit of the last anchor before them.
 
-    Works without anchors are apparatus throughout; null bodies are empty.
+    An anchor stands in the first block that begins with its words and comes after the first such
+    blocks of all anchors before it (by k); one that stands nowhere is an error.  A null unit drops
+    its block and what follows.  Blocks before any anchor are apparatus, null bodies are empty.
+    Anchors meet blocks by work and first word; order is kept by windows over ranges of a work.
     """
-
-    def work(key: tuple, b: pd.DataFrame, a: pd.DataFrame) -> pd.DataFrame:
-        rows = _walk_anchors(list(b.sort_values("n")[["n", "body"]].itertuples(index=False)), [(u if isinstance(u, str) else None, w) for u, w in a.sort_values("k")[["unit", "at"]].itertuples(index=False)])
-        return pd.DataFrame([(key[0], *r) for r in rows], columns=["work_id", "n", "ref", "apparatus"])
-
-    return blocks.groupBy("work_id").cogroup(anchors.groupBy("work_id")).applyInPandas(work, ASSIGNED)
-
-
-def _pairs(text: str) -> list[str]:
-    han = re.findall("[㐀-䶿一-鿿]", text or "")
-    return [a + b for a, b in zip(han, han[1:])]
-
-
-def by_bigrams(blocks: DataFrame, units: DataFrame, least: float = 0.5, near: float = 0.05) -> DataFrame:
-    """blocks (work_id, n, body), units (work_id, pos, unit, body): the unit that holds most of a block's Han pairs.
-
-    Under `least` none; among scores within `near` of the best the one next to the previous hit.
-    A block without Han text (a translation) inherits the last unit.
-    """
-
-    def work(key: tuple, b: pd.DataFrame, u: pd.DataFrame) -> pd.DataFrame:
-        u = u.sort_values("pos")
-        known = [(name, set(_pairs(body))) for name, body in zip(u["unit"], u["body"])]
-        out, last, unit = [], 0, None
-        for n, body in b.sort_values("n")[["n", "body"]].itertuples(index=False):
-            pairs = _pairs(body)
-            if pairs:
-                shares = [sum(p in has for p in pairs) / len(pairs) for _, has in known]
-                best = max(shares, default=0)
-                unit = None
-                if best >= least:
-                    last = min((k for k, s in enumerate(shares) if s >= best - near), key=lambda k: (abs(k - last - 0.5), k))
-                    unit = known[last][0]
-            out.append((key[0], n, unit, unit is None))
-        return pd.DataFrame(out, columns=["work_id", "n", "ref", "apparatus"])
-
-    return blocks.groupBy("work_id").cogroup(units.groupBy("work_id")).applyInPandas(work, ASSIGNED)
-
-
-def by_stream(blocks: DataFrame, segments: DataFrame) -> DataFrame:
-    """blocks (work_id, n, body) aligned with whole segments (work_id, pos, unit, text, heading), searched forward from the last hit; every miss is named."""
-
-    def fold(s: str) -> str:
-        return "".join(c for c in (s or "").lower() if c.isalnum())
-
-    def work(key: tuple, b: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
-        s = s.sort_values("pos").reset_index(drop=True)
-        folded = s["text"].map(fold)
-        ends = folded.str.len().cumsum().tolist() if len(s) else []
-        starts = [0, *ends[:-1]]
-        stream, frm, out, missed = "".join(folded), 0, [], []
-        for n, body in b.sort_values("n")[["n", "body"]].itertuples(index=False):
-            x = fold(body)
-            at = stream.find(x, frm) if x else -1
-            while at >= 0 and (at not in starts or at + len(x) not in ends):
-                at = stream.find(x, at + 1)
-            if at < 0:
-                missed.append(n)
-                continue
-            i, j = bisect_left(starts, at), bisect_left(ends, at + len(x))
-            part, frm = s.iloc[i : j + 1], at + len(x)
-            units = list(dict.fromkeys(part["unit"]))
-            out.append((key[0], n, units[0] if len(units) == 1 else f"{units[0]}-{units[-1]}", bool(part["heading"].all())))
-        if missed:
-            raise ValueError(f"{key[0]}: blocks not in the segments: {missed}")
-        return pd.DataFrame(out, columns=["work_id", "n", "ref", "apparatus"])
-
-    return blocks.groupBy("work_id").cogroup(segments.groupBy("work_id")).applyInPandas(work, ASSIGNED)
-
-
-def align_headwords(heads: list[str], text: str) -> list[int]:
-    """Places of headwords in order: the heaviest increasing choice among the longer ones, then single characters at their first place before the next anchor; -1 where there is none."""
-    places = [(h, m.start(), len(w)) for h, w in enumerate(heads) if len(w) > 1 for m in re.finditer(f"(?={re.escape(w)})", text)]
-    best: list[tuple[int, int]] = []  # weight, previous
-    for k, (h, p, size) in enumerate(places):
-        before = [(best[j][0], -j) for j in range(k) if places[j][0] < h and places[j][1] + places[j][2] <= p]
-        weight, j = max(before, default=(0, 1))
-        best.append((weight + size, -j if j <= 0 else -1))
-    out = [-1] * len(heads)
-    k = max(range(len(best)), key=lambda k: (best[k][0], -k), default=-1) if best else -1
-    while k >= 0:
-        out[places[k][0]] = places[k][1]
-        k = best[k][1]
-    left = 0
-    for h, w in enumerate(heads):
-        if out[h] >= 0:
-            left = out[h] + len(w)
-        elif len(w) == 1:
-            right = next((p for p in out[h + 1 :] if p >= 0), len(text))
-            at = text.find(w, left, right)
-            if at >= 0:
-                out[h], left = at, at + 1
-    return out
-
-
-def headword_alignment(notes: DataFrame, books: DataFrame) -> DataFrame:
-    """notes (book, k, head), books (book, text) -> (book, k, head, pos)."""
-
-    def book(key: tuple, n: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        n = n.sort_values("k")
-        return n[["book", "k", "head"]].assign(pos=align_headwords(n["head"].tolist(), b["text"].iloc[0] if len(b) else ""))
-
-    return notes.groupBy("book").cogroup(books.groupBy("book")).applyInPandas(book, "book string, k int, head string, pos int")
+    b = blocks.select("work_id", "n", squash(F.coalesce("body", F.lit(""))).alias("body")).withColumn("first", F.split("body", " ")[0])
+    a = anchors.select("work_id", "k", "unit", squash(F.col("at")).alias("at")).withColumn("first", F.split("at", " ")[0])
+    cut = F.contains("at", F.lit(" "))  # of several words the first is whole
+    hits = a.filter(cut).join(b, ["work_id", "first"]).filter(F.startswith("body", "at")).select("work_id", "k", "n")
+    short = a.filter(~cut).drop("first").join(b.drop("first"), "work_id").filter(F.startswith("body", "at")).select("work_id", "k", "n")
+    hits = hits.unionByName(short)
+    known = a.select("work_id", "k", "unit").join(hits.groupBy("work_id", "k").agg(F.min("n").alias("m")), ["work_id", "k"], "left")
+    known = carried(known, "work_id", "k", ["k"], F.col("m"), "upto", largest=True)
+    # the largest of those in front: one's own place counts only from the next one on
+    known = known.withColumn("upto", F.coalesce(F.lag("upto").over(Window.partitionBy("work_id").orderBy("k")), F.lit(-1)))
+    at = known.join(hits, ["work_id", "k"], "left").filter("n is null or n > upto").groupBy("work_id", "k", "unit").agg(F.min("n").alias("n"))
+    at = known.select("work_id", "k", "unit").join(at.select("work_id", "k", "n"), ["work_id", "k"], "left")
+    at = at.withColumn("n", F.when(F.col("n").isNull(), F.raise_error(F.concat_ws(" ", F.lit("anchor not found:"), "work_id", "k")).cast("int")).otherwise(F.col("n")))
+    begins = at.groupBy("work_id", "n").agg(F.max_by(F.struct("unit"), "k").alias("begin"))
+    rows = carried(b.select("work_id", "n").join(begins, ["work_id", "n"], "left"), "work_id", "n", ["n"], F.col("begin"), "unit_of")
+    return rows.select("work_id", "n", F.col("unit_of.unit").alias("ref"), F.col("unit_of.unit").isNull().alias("apparatus"))
 
 
 def carried_readings(slots: DataFrame, events: DataFrame) -> DataFrame:
     """slots (book, unit, pos, char) and events (book, pos, char, reading, scope) -> slots + reading: an own event, else the last carried one of that character in scope (book or unit)."""
-    from pyspark.sql.window import Window
-
     s = slots.join(events.drop("char").select("book", "pos", "reading", "scope"), ["book", "pos"], "left")
     order = ["pos"]
     by_book = Window.partitionBy("book", "char").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
@@ -202,63 +67,6 @@ def pinyin(units: DataFrame, base: DataFrame, readings: DataFrame) -> DataFrame:
     )
 
 
-def running_numbers(blocks: DataFrame, skip: int = 0) -> DataFrame:
-    """blocks (work_id, n, body) -> (work_id, n, ref, apparatus): a leading number counts if it goes on from the last by at most 1 + skip; other blocks inherit it.
-
-    A heading `BOOK`/`CHAPTER` with a numeral begins a new count under it; blocks before any number
-    and headings are apparatus.
-    """
-    head, lead = re.compile(r"\s*(?:BOOK|CHAPTER)\s+([IVXLC]+|\d+)\b", re.I), re.compile(r"\s*(\d{1,4})[.\s]")
-
-    def work(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
-        out, upper, number = [], None, 0
-        for n, body in b.sort_values("n")[["n", "body"]].itertuples(index=False):
-            text = body or ""
-            if m := head.match(text):
-                upper, number = m[1], 0
-                out.append((key[0], n, None, True))
-                continue
-            if (m := lead.match(text)) and number < int(m[1]) <= number + 1 + skip:
-                number = int(m[1])
-            ref = f"{upper}.{number}" if upper else str(number)
-            out.append((key[0], n, ref if number else None, not number))
-        return pd.DataFrame(out, columns=["work_id", "n", "ref", "apparatus"])
-
-    return blocks.groupBy("work_id").applyInPandas(work, ASSIGNED)
-
-
-def common_places(a: str, b: str) -> list[tuple[int, int]]:
-    """Places of a longest common subsequence of two editions of a text, by equal characters; of equally long ones the one that leaves b's characters first."""
-    import numpy as np
-
-    n, m = len(a), len(b)
-    other = np.array([ord(c) for c in b], np.int64)
-    best = np.zeros((n + 1, m + 1), np.int32)
-    for i in range(n - 1, -1, -1):
-        hit = np.concatenate([best[i + 1, 1:] + (other == ord(a[i])), [0]]) if m else np.zeros(1, np.int32)
-        best[i] = np.maximum.accumulate(np.maximum(best[i + 1], hit)[::-1])[::-1]
-    out, i, j = [], 0, 0
-    while i < n and j < m:
-        if a[i] == b[j] and best[i, j] == best[i + 1, j + 1] + 1:
-            out.append((i, j))
-            i, j = i + 1, j + 1
-        elif best[i, j + 1] == best[i, j]:
-            j += 1
-        else:
-            i += 1
-    return out
-
-
-def editions(first: DataFrame, second: DataFrame) -> DataFrame:
-    """first, second (book, text) -> (book, pos, other): which character of one edition is which of the other."""
-
-    def book(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        pairs = common_places(a["text"].iloc[0] or "", b["text"].iloc[0] or "") if len(a) and len(b) else []
-        return pd.DataFrame([(key[0], x, y) for x, y in pairs], columns=["book", "pos", "other"])
-
-    return first.groupBy("book").cogroup(second.groupBy("book")).applyInPandas(book, "book string, pos int, other int")
-
-
 def complete(units: DataFrame, sources: DataFrame) -> DataFrame:
     """units (work_id, ref_unit, source_unit, ord) with the bodies of their source units joined in order; any that is missing is one error that names them all."""
     joined = units.join(sources.select("work_id", F.col("unit").alias("source_unit"), "body"), ["work_id", "source_unit"], "left")
@@ -277,14 +85,26 @@ def romanised_originals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def anchored_units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Units of passages found again from the opening words of each unit's first passage, a check of the anchored walk."""
-    from textloom.operators.search import passages_once
-
+    """Units of passages found again from the opening words of each unit's first passage."""
     p = passages_once(spark, sf_dir).filter("not is_apparatus and ref_unit is not null and body is not null and length(body) > 0")
     p = p.groupBy("work_id", "position").agg(F.min(F.struct("id", "body", "ref_unit")).alias("p")).select("work_id", F.col("position").alias("n"), "p.body", "p.ref_unit")
-    firsts = p.groupBy("work_id", "ref_unit").agg(F.min(F.struct("n", "body")).alias("f")).select("work_id", F.col("f.n").alias("k"), F.col("ref_unit").alias("unit"), F.substring("f.body", 1, 60).alias("at"))
-    return anchored(p.select("work_id", "n", "body"), firsts)
+    firsts = p.groupBy("work_id", "ref_unit").agg(F.min(F.struct("n", "body")).alias("f")).select("work_id", F.col("f.n").alias("k"), F.col("ref_unit").alias("unit"), F.substring(squash(F.col("f.body")), 1, 60).alias("at"))
+    got = anchored(p.select("work_id", "n", "body"), firsts)
+    return got.select("work_id", F.col("n").cast("bigint").alias("n"), "ref", "apparatus")
 
 
 QUERIES = {"romanised_originals": romanised_originals, "anchored_units": anchored_units}
-ORACLES: dict[str, str] = {}
+
+_WS = r"[\s\x{0B}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+ORACLES = {
+    "anchored_units": f"""
+  WITH {ONCE}, b AS (SELECT work_id, position AS n, trim(regexp_replace(arg_min(body, id), '{_WS}', ' ', 'g')) AS body, arg_min(ref_unit, id) AS ref_unit FROM pas WHERE NOT is_apparatus AND ref_unit IS NOT NULL AND length(body) > 0 GROUP BY ALL),
+  a AS (SELECT work_id, ref_unit AS unit, min(n) AS k, substring(arg_min(body, n), 1, 60) AS opening FROM b GROUP BY ALL),
+  h AS (SELECT a.work_id, k, unit, n FROM a JOIN b ON a.work_id = b.work_id AND starts_with(body, opening)),
+  m0 AS (SELECT work_id, k, min(n) AS n FROM h GROUP BY work_id, k),
+  m AS (SELECT work_id, k, coalesce(max(n) OVER (PARTITION BY work_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS upto FROM m0),
+  c AS (SELECT h.work_id, h.k, h.unit, min(n) AS n FROM h JOIN m USING (work_id, k) WHERE n > upto GROUP BY ALL),
+  s AS (SELECT work_id, n, arg_max(unit, k) AS unit FROM c GROUP BY ALL),
+  r AS (SELECT b.work_id, b.n, last_value(s.unit IGNORE NULLS) OVER (PARTITION BY b.work_id ORDER BY b.n ROWS UNBOUNDED PRECEDING) AS ref FROM b LEFT JOIN s ON s.work_id = b.work_id AND s.n = b.n)
+  SELECT work_id, n::BIGINT AS n, ref, ref IS NULL AS apparatus FROM r""",
+}

@@ -15,17 +15,28 @@ def _file_system(spark: SparkSession, path: str):
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
+def _pointers(spark: SparkSession, root: str) -> list[str]:
+    """Pointers written to their end, oldest first."""
+    fs, p = _file_system(spark, f"{root}/{POINTER}-*/_SUCCESS")
+    return sorted(x.getPath().getParent().toString() for x in fs.globStatus(p) or [])
+
+
 def current(spark: SparkSession, root: str) -> str | None:
-    """The snapshot folder that readers use now."""
-    fs, p = _file_system(spark, f"{root}/{POINTER}")
-    return spark.read.text(f"{root}/{POINTER}").first()[0] if fs.exists(p) else None
+    """The snapshot folder that readers use now: the newest pointer that is whole."""
+    found = _pointers(spark, root)
+    return spark.read.text(found[-1]).first()[0] if found else None
+
+
+def _next(spark: SparkSession, root: str) -> int:
+    found = _pointers(spark, root)
+    return int(found[-1].rpartition("-")[2]) + 1 if found else 0
 
 
 def replace_works(spark: SparkSession, root: str, new: dict[str, DataFrame], works: DataFrame) -> str:
     """A new snapshot of several tables in which the given works' rows are replaced, seen by readers all at once.
 
-    Tables hold a work_id.  Everything is written under a new folder first; the pointer is swapped
-    last, so a failure before leaves the old snapshot.  Running twice gives the same tables.
+    Tables hold a work_id.  Everything is written under a new folder first; a new pointer is
+    added last and counts once it is whole, so at every moment there is a snapshot to read.  Running twice gives the same tables.
     """
     old, folder = current(spark, root), f"{root}/snapshot-{uuid.uuid4().hex}"
     for name, rows in new.items():
@@ -33,12 +44,7 @@ def replace_works(spark: SparkSession, root: str, new: dict[str, DataFrame], wor
             kept = spark.read.parquet(f"{old}/{name}").join(works.select("work_id").distinct(), "work_id", "left_anti")
             rows = kept.select(rows.columns).unionByName(rows)
         rows.write.parquet(f"{folder}/{name}")
-    beside = f"{root}/{POINTER}-{uuid.uuid4().hex}"
-    spark.createDataFrame([(folder,)], "value string").coalesce(1).write.text(beside)
-    fs, p = _file_system(spark, f"{root}/{POINTER}")
-    _, q = _file_system(spark, beside)
-    fs.delete(p, True)
-    fs.rename(q, p)
+    spark.createDataFrame([(folder,)], "value string").coalesce(1).write.text(f"{root}/{POINTER}-{_next(spark, root):012d}")
     return folder
 
 
