@@ -261,30 +261,31 @@ def _mutual_best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     owner.append(k)
                     place.append(size[d["side"]])
                     size[d["side"]] += 1
-            norm, dot = {}, {}
+            norm, dot = [0.0] * len(starts), {}
             for v in values:
                 at = number[v["d"], v["s"]]
                 if v["e"] < 0:
                     norm[at] = v["v"]
                 else:
                     dot[at, number[v["e"], v["t"]]] = v["v"]
+            where = [(k + 0.5) / size[docs[o]["side"]] for k, o in zip(place, owner)]  # middle of the sentence in its side
             found = []
-
-            def add(o: tuple[int, ...], p: tuple[int, ...], total: float) -> None:
-                cos = total / ((sum(norm[k] for k in o) * sum(norm[k] for k in p)) ** 0.5 or 1.0)
-                drift = abs((place[o[0]] + len(o) / 2) / size["o"] - (place[p[0]] + len(p) / 2) / size["p"])
-                score = cos * (1 - DRIFT * drift) / GAIN ** (len(o) + len(p) - 2)
-                if score >= LEAST:
-                    found.append((-score, o, p))
-
-            # a sentence against windows of neighbouring sentences of one text; a window that begins or ends with a sentence of no common word is never the best
+            # A sentence against windows of neighbouring sentences of one text; a window that begins or ends with a sentence of no common word is never the best.
             for (a, b), v in dot.items():
-                add((a,), (b,), v)
+                score = v / ((norm[a] * norm[b]) ** 0.5 or 1.0) * (1 - DRIFT * abs(where[a] - where[b]))
+                if score >= LEAST:
+                    found.append((-score, (a,), (b,)))
                 for k in range(1, MERGE):
-                    if owner[a] == owner[min(a + k, len(owner) - 1)] and (a + k, b) in dot:
-                        add(tuple(range(a, a + k + 1)), (b,), sum(dot.get((x, b), 0.0) for x in range(a, a + k + 1)))
-                    if owner[b] == owner[min(b + k, len(owner) - 1)] and (a, b + k) in dot:
-                        add((a,), tuple(range(b, b + k + 1)), sum(dot.get((a, x), 0.0) for x in range(b, b + k + 1)))
+                    if (a + k, b) in dot and owner[a] == owner[a + k]:
+                        total, norms = sum(dot.get((x, b), 0.0) for x in range(a, a + k + 1)), sum(norm[a : a + k + 1])
+                        score = total / ((norms * norm[b]) ** 0.5 or 1.0) * (1 - DRIFT * abs((where[a] + where[a + k]) / 2 - where[b])) / GAIN**k
+                        if score >= LEAST:
+                            found.append((-score, tuple(range(a, a + k + 1)), (b,)))
+                    if (a, b + k) in dot and owner[b] == owner[b + k]:
+                        total, norms = sum(dot.get((a, x), 0.0) for x in range(b, b + k + 1)), sum(norm[b : b + k + 1])
+                        score = total / ((norm[a] * norms) ** 0.5 or 1.0) * (1 - DRIFT * abs(where[a] - (where[b] + where[b + k]) / 2)) / GAIN**k
+                        if score >= LEAST:
+                            found.append((-score, (a,), tuple(range(b, b + k + 1))))
             used: set[int] = set()
             for score, o, p in sorted(found):  # the best pair of what is left is each other's best
                 if used.isdisjoint(o) and used.isdisjoint(p):
