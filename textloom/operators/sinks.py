@@ -32,15 +32,16 @@ def _next(spark: SparkSession, root: str) -> int:
     return int(found[-1].rpartition("-")[2]) + 1 if found else 0
 
 
-def replace_works(spark: SparkSession, root: str, new: dict[str, DataFrame], works: DataFrame) -> str:
+def replace_works(spark: SparkSession, root: str, new: dict[str, DataFrame], works: DataFrame, whole: bool = False) -> str:
     """A new snapshot of several tables in which the given works' rows are replaced, seen by readers all at once.
 
     Tables hold a work_id.  Everything is written under a new folder first; a new pointer is
-    added last and counts once it is whole, so at every moment there is a snapshot to read.  Running twice gives the same tables.
+    added last and counts once it is whole, so at every moment there is a snapshot to read.  Running twice gives the same
+    tables.  `whole`: nothing of the old tables stays (they need no work_id).
     """
     old, folder = current(spark, root), f"{root}/snapshot-{uuid.uuid4().hex}"
     for name, rows in new.items():
-        if old:
+        if old and not whole:
             kept = spark.read.parquet(f"{old}/{name}").join(works.select("work_id").distinct(), "work_id", "left_anti")
             rows = kept.select(rows.columns).unionByName(rows)
         rows.write.parquet(f"{folder}/{name}")
