@@ -63,9 +63,9 @@ def retention_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rate_limit_minute(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Calls by minute beyond a limit of 1, which these data reach."""
+    """Each client's calls, those beyond a limit of 1 a minute, and the most it made in a minute."""
     got = over_limit(_log(spark, sf_dir).select("id", "client", "at"), "client", "at", 1, "minute")
-    return got.filter("rejected").select("id", "client", F.col("nth").cast("bigint").alias("nth"))
+    return got.groupBy("client").agg(F.count("*").alias("n"), F.count_if("rejected").alias("n_rejected"), F.max("nth").cast("bigint").alias("most"))
 
 
 def rate_limit_day(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,7 +122,7 @@ ORACLES = {
     "usage_by_day": f'''WITH {_LOG} SELECT strftime("at", '%Y-%m-%d') AS day, tool, count(*) AS n, round(avg(duration_ms), 4) AS mean_ms FROM lg GROUP BY ALL''',
     "retention_hash": f"{_KEPT} SELECT * FROM k",
     "retention_counts": f"{_KEPT} SELECT count(*) AS n, count(query) AS n_plain, count(query_hash) AS n_hashed FROM k",
-    "rate_limit_minute": f'''WITH {_LOG}, x AS (SELECT id, client, row_number() OVER (PARTITION BY client, date_trunc('minute', "at") ORDER BY "at", id) AS nth FROM lg) SELECT * FROM x WHERE nth > 1''',
+    "rate_limit_minute": f'''WITH {_LOG}, x AS (SELECT id, client, row_number() OVER (PARTITION BY client, date_trunc('minute', "at") ORDER BY "at", id) AS nth FROM lg) SELECT client, count(*) AS n, count(*) FILTER (WHERE nth > 1) AS n_rejected, max(nth) AS most FROM x GROUP BY client''',
     "rate_limit_day": f'''WITH {_LOG}, x AS (SELECT id, client, row_number() OVER (PARTITION BY client, date_trunc('day', "at") ORDER BY "at", id) AS nth FROM lg WHERE tool = 'search_passages') SELECT * FROM x WHERE nth > 3''',
     "rate_limit_events": "WITH x AS (SELECT event_type, row_number() OVER (PARTITION BY user_id, date_trunc('minute', ts) ORDER BY ts, event_id) AS nth FROM events) SELECT event_type, count(*) AS n, count(*) FILTER (WHERE nth > 2) AS n_rejected FROM x GROUP BY event_type",
     "most_read": f"WITH {_LOG}, x AS (SELECT unnest(from_json(passage_ids, '[\"VARCHAR\"]')) AS pid FROM lg WHERE passage_ids IS NOT NULL) SELECT pid, split_part(pid, ':', 1) AS work_id, count(*) AS n FROM x WHERE pid IS NOT NULL GROUP BY pid",
