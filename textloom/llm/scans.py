@@ -25,6 +25,8 @@ from textloom.sources.tables import delivered_once, table
 
 #: Words (and compounds) that the models are fitted on: those of least hash.
 SAMPLE = 1_500
+#: Texts that models are fitted on have at most so many characters.
+SAMPLE_CHARS = 20_000
 #: Segments of a work whose order is worked out by one task.
 BLOCK = 1_000
 #: A form is misread only if its original, in clean texts and scans together, is so many times as frequent.
@@ -412,7 +414,7 @@ def scan_findings(segments: DataFrame, clean: DataFrame) -> dict[str, DataFrame]
     frequent = lexicon.filter("w rlike '^[a-z]+$'").orderBy(F.desc("count"), "w").limit(SAMPLE // 5).collect()
     sample = sorted(set(sample) | {(r[0], r[1]) for r in frequent if r[1] >= TRUSTED})
 
-    sampled = hash_sample(rows, KEY, SAMPLE // 10, segments.count()).select("work_id", "raw").collect()
+    sampled = hash_sample(rows.filter(F.length("raw") <= SAMPLE_CHARS), KEY, SAMPLE // 10, segments.count()).select("work_id", "raw").collect()
     titles = sorted({re.sub(r"-", " ", r[0]) for r in sampled})
     texts = sorted({x for r in sampled for x in r[1].split("\n") if len(x) > 25 and re.search(r"[a-z]{3}.*[a-z]{3}", x)})
     lines = written(classified_lines(rows, furniture_model(titles, texts), page_model(texts)), "lines")
@@ -424,7 +426,7 @@ def scan_findings(segments: DataFrame, clean: DataFrame) -> dict[str, DataFrame]
     heads = text.filter("is_first").select(*KEY, F.element_at("tokens", 1).alias("first_token"))
     follow = _next_running(heads)
     last = text.filter("next_line is null").join(follow, KEY, "left")
-    bodies = [r[0] for r in hash_sample(clean.filter("body is not null"), ["body"], SAMPLE, clean.count()).orderBy("body").collect()]
+    bodies = [r[0] for r in hash_sample(clean.filter(F.length("body") <= SAMPLE_CHARS), ["body"], SAMPLE, clean.count()).orderBy("body").collect()]
     goes_on = goes_on_model(bodies)
 
     def judge_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
