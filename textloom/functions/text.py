@@ -60,7 +60,9 @@ def opening(c: Column, size: int = 300) -> Column:
 
 def trigrams(c: Column) -> Column:
     """Distinct code-point trigrams; texts under three characters have none."""
-    return F.when(F.length(c) >= 3, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - 2), lambda i: F.substr(c, i, F.lit(3))))).otherwise(F.array().cast("array<string>"))
+    chars, n = F.split(c, ""), F.length(c) - 2
+    two = F.zip_with(F.slice(chars, 1, n), F.slice(chars, 2, n), lambda x, y: F.concat(x, y))
+    return F.when(n >= 1, F.array_distinct(F.zip_with(two, F.slice(chars, 3, n), lambda x, y: F.concat(x, y)))).otherwise(F.array().cast("array<string>"))
 
 
 def canonical_quote(c: Column) -> Column:

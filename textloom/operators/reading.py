@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from textloom.functions.shared import broadcast_if_small
+from textloom.functions.shared import broadcast_if_small, written
 from textloom.functions.text import COMPATIBLE, canonical_quote, trigrams, word_count, words
 from textloom.operators.index import Index, bm25_many
 from textloom.operators.search import _STOP_SQL, _toks, CANDIDATES, ONCE, STOP_WORDS, document_index, searchable
@@ -172,11 +172,12 @@ def quote_matches(quotes: DataFrame, candidates: DataFrame, bodies: DataFrame, m
     under three canonical characters match nothing.
     """
     q = quotes.select("item_id", canonical_quote(F.col("quote")).alias("cq")).filter("length(cq) >= 3").withColumn("grams", trigrams(F.col("cq")))
-    found = candidates.select("item_id", "id", "rnk")
+    found = written(candidates.select("item_id", "id", "rnk"), "quote-candidates")
     texts = bodies.select("id", "body").join(found.select("id").distinct(), "id", "left_semi").select("id", canonical_quote(F.col("body")).alias("cb"))
+    texts = texts.withColumn("has", trigrams(F.col("cb")))
     pairs = found.join(q, "item_id").join(texts, "id")
     pairs = pairs.withColumn("contained", F.contains("cb", "cq"))
-    share = F.size(F.filter("grams", lambda g: F.contains(F.col("cb"), g))) / F.size("grams")
+    share = F.size(F.array_intersect("grams", "has")) / F.size("grams")
     pairs = pairs.withColumn("similarity", F.when(F.col("contained"), 1.0).otherwise(share)).filter("similarity > 0")
     all_ = Window.partitionBy("item_id")
     pairs = pairs.withColumn("exact", F.max("similarity").over(all_) == 1).filter("not exact or similarity = 1")
