@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions.porter import stem
 from textloom.functions.text import query_words, words
-from textloom.operators.index import Phrase, bm25, bm25_many, read_index, write_index
+from textloom.operators.index import Phrase, bm25, bm25_best, bm25_many, read_index, write_index
 from textloom.operators.search import capped, compile_query, knn, nearest, rrf, two_pass
 
 WEIGHTS = {"body": 1.0, "keywords": 0.4}
@@ -46,6 +46,28 @@ def test_many_queries_score_like_one(spark, index):
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
 
 
+def test_best_of_blocks_without_a_shuffle_of_pairs(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(3)
+    docs = [(k, " ".join(f"w{int(x)}" for x in rng.zipf(1.4, int(rng.integers(0, 30))) if x < 60)) for k in range(150)]
+    docs[40] = docs[20] = (20, docs[60][1])  # equal scores are put in order by key
+    docs[40] = (40, docs[60][1])
+    rows = spark.createDataFrame([*docs, (None, "w1 w2"), (999, None)], "id int, body string").repartition(3)
+    monkeypatch.setattr("textloom.operators.index.BLOCK", 7)
+    monkeypatch.setattr("textloom.operators.index.BLOCK_WORDS", 60)
+    monkeypatch.setattr("textloom.operators.index.QUERY_BLOCK", 4)
+    queries = spark.createDataFrame([(k, t) for k, text in docs[::10] for t in sorted(set(text.split()))] + [(7000, "nowhere")], "query_id long, term string")
+    best = bm25_best(rows, "id", "body", queries, 4)
+    plan = best._jdf.queryExecution().executedPlan().toString()  # what is shuffled comes out of the tasks that score, k rows a query and block
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.index("Exchange hashpartitioning") < plan.index("MapInArrow")
+    got = {(r["query_id"], r["rnk"]): (r["id"], round(r["score"], 6)) for r in best.collect()}
+    write_index(rows.filter("body is not null"), "id", ["body"], str(tmp_path))
+    every: dict[int, list] = {}
+    for r in bm25_many(read_index(spark, "id", ["body"], str(tmp_path)), {"body": 1.0}, queries).collect():
+        if r["id"] != r["query_id"]:
+            every.setdefault(r["query_id"], []).append((-round(r["score"], 6), r["id"]))
+    assert got == {(q, n): (i, -s) for q, found in every.items() for n, (s, i) in enumerate(sorted(found)[:4], 1)}
+
+
 def test_phrases_stand_in_order(index):
     assert sorted(r["id"] for r in bm25(index, {"body": 1.0}, [Phrase(("red", "ship"))]).collect()) == [1, 3]
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from textloom.functions.text import opening, query_words, words
-from textloom.operators.index import Index, Phrase, bm25, bm25_many, kept_index
+from textloom.operators.index import Index, Phrase, bm25, bm25_best, kept_index
 from textloom.sources.tables import delivered_once, table
 
 CANDIDATES, FUSED, PER_WORK, RRF_K = 50, 20, 3, 60
@@ -218,9 +218,8 @@ def bm25_query_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best other documents for the words of every document whose id is divisible by 100."""
     terms = table(spark, sf_dir, "documents").filter("doc_id % 100 = 0 and text is not null").select(F.col("doc_id").alias("query_id"), F.explode(F.array_distinct(words(F.col("text")))).alias("term"))
     terms = terms.filter((F.length("term") > 1) & ~F.col("term").isin(STOP_WORDS))
-    scored = bm25_many(document_index(spark, sf_dir), {"text": 1.0}, terms).filter("query_id <> doc_id")
-    w = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 6)), "doc_id")
-    return scored.withColumn("rnk", F.row_number().over(w)).filter("rnk <= 10").select("query_id", F.col("rnk").cast("bigint").alias("rnk"), "doc_id", F.round("score", 4).alias("score"))
+    best = bm25_best(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text", terms, 10)
+    return best.select("query_id", F.col("rnk").cast("bigint").alias("rnk"), "doc_id", F.round("score", 4).alias("score"))
 
 
 def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
