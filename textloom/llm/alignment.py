@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -51,6 +52,8 @@ SMALL = 300_000
 LEAST_WORD, DOUBT = 0.1, 0.7
 #: Units laid out at a time for the products of their words; word pairs counted at a time.
 CHUNK, PAIRS = 256, 2_000_000
+#: Places of a table in which the pairs of a batch are counted.
+CELLS = 16_000_000
 
 
 def _base(word: str) -> str:
@@ -136,44 +139,74 @@ def _documents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 COUNTS = "kind int, lang string, a bigint, b bigint, n bigint"
 
 
-def _count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+class Laid:
+    """A batch of units as flat arrays: documents, their sentences and the words of those, one behind another."""
+
+    def __init__(self, docs: pa.ListArray):
+        side, ident, starts, words = docs.flatten().flatten()  # originals stand in front
+        count = lambda x: x.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        self.unit_of_doc = np.repeat(np.arange(len(docs)), count(docs))
+        self.of_original = side.to_numpy(zero_copy_only=False) == "o"
+        self.ids = ident
+        self.doc = np.repeat(np.arange(len(words)), count(words))
+        self.unit = self.unit_of_doc[self.doc]
+        self.original = self.of_original[self.doc]
+        self.starts = starts.flatten().to_numpy(zero_copy_only=False)
+        sentences = words.flatten()
+        self.words = sentences.flatten().to_numpy(zero_copy_only=False)
+        self.sentence = np.repeat(np.arange(len(sentences)), count(sentences))
+
+
+def _once(unit: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different words of each unit: the words, and unit and number of the word, by unit."""
+    known, number = np.unique(words, return_inverse=True)
+    pairs = np.unique(unit * max(1, len(known)) + number)
+    return known, pairs // max(1, len(known)), pairs % max(1, len(known))
+
+
+def _counts(kind: int, lang: str, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    size = len(a)
+    columns = [pa.repeat(pa.scalar(kind, pa.int32()), size), pa.repeat(pa.scalar(lang, pa.string()), size), pa.array(a), pa.array(b), pa.array(n.astype(np.int64))]
+    return pa.RecordBatch.from_arrays(columns, names=["kind", "lang", "a", "b", "n"])
+
+
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts over some units at a time, summed before anything is shuffled; never more than about PAIRS word pairs are laid out."""
-    for pdf in batches:
-        by_lang: dict[str, list] = {}
-        for lang, docs in zip(pdf["lang"], pdf["docs"]):
-            sides = {"o": set(), "p": set()}
-            for d in docs:
-                for ws in d["words"]:
-                    sides[d["side"]].update(ws.tolist())
-            by_lang.setdefault(lang, []).append((np.array(sorted(sides["o"]), np.int64), np.array(sorted(sides["p"]), np.int64)))
-        for lang, units in by_lang.items():
-            for kind, side in ((1, 0), (2, 1)):
-                w, n = np.unique(np.concatenate([u[side] for u in units]), return_counts=True)
-                yield pd.DataFrame({"kind": kind, "lang": lang, "a": w, "b": 0, "n": n})
-            yield pd.DataFrame({"kind": 3, "lang": [lang], "a": 0, "b": 0, "n": len(units)})
-            # a unit of more pairs than fit is taken in parts of the original's words
-            parts = [(o[k : k + step], p) for o, p in units for step in [max(1, PAIRS // max(1, len(p)))] for k in range(0, len(o), step)]
-            some, pairs = [], 0
-            for k, (o, p) in enumerate(parts):
-                some.append((o, p))
-                pairs += len(o) * len(p)
-                if k + 1 == len(parts) or pairs + len(parts[k + 1][0]) * len(parts[k + 1][1]) > PAIRS:
-                    yield _pair_counts(lang, some)
-                    some, pairs = [], 0
-
-
-def _pair_counts(lang: str, units: list[tuple[np.ndarray, np.ndarray]]) -> pd.DataFrame:
-    """In how many of the units each word of the original meets each word of the translation."""
-    so, sp = np.array([len(o) for o, _ in units]), np.array([len(p) for _, p in units])
-    vo, o = np.unique(np.concatenate([o for o, _ in units]), return_inverse=True)
-    vp, p = np.unique(np.concatenate([p for _, p in units]), return_inverse=True)
-    # each o repeated, p laid out once for each o
-    per = np.repeat(sp, so)
-    first = np.repeat(np.repeat(np.concatenate([[0], np.cumsum(sp)[:-1]]), so), per)
-    place = np.arange(int(per.sum())) - np.repeat(np.concatenate([[0], np.cumsum(per)[:-1]]), per)
-    codes = np.repeat(o.astype(np.int64), per) * len(vp) + p[first + place]
-    pair, n = np.unique(codes, return_counts=True)
-    return pd.DataFrame({"kind": 0, "lang": lang, "a": vo[pair // len(vp)], "b": vp[pair % len(vp)], "n": n})
+    for batch in batches:
+        laid, langs = Laid(batch.column("docs")), batch.column("lang").to_numpy(zero_copy_only=False)
+        unit, original = laid.unit[laid.sentence], laid.original[laid.sentence]
+        for lang in sorted(set(langs)):
+            own = np.flatnonzero(langs == lang)
+            here = langs[unit] == lang
+            (vo, uo, o), (vp, up, p) = (_once(unit[some], laid.words[some]) for some in (here & original, here & ~original))
+            for kind, v, w in ((1, vo, o), (2, vp, p)):
+                yield _counts(kind, lang, v, np.zeros(len(v), np.int64), np.bincount(w, minlength=len(v)))
+            yield _counts(3, lang, *(np.array([x]) for x in (0, 0, len(own))))
+            # words of the translation by unit; those of the original are taken some at a time
+            first = np.searchsorted(up, uo, "left")
+            many = np.searchsorted(up, uo, "right") - first
+            yield from (_counts(0, lang, vo[c // len(vp)], vp[c % len(vp)], n) for c, n in _pair_counts(o, first, many, p, len(vo), len(vp)))
+
+
+def _pair_counts(o: np.ndarray, first: np.ndarray, many: np.ndarray, p: np.ndarray, n_o: int, n_p: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(code, count): in how many units word o meets word p, as o * n_p + p; o meets the words p[first : first + many].
+
+    Where a table of all codes has at most CELLS places, counts are summed over the whole batch in it.
+    """
+    table = np.zeros(n_o * n_p, np.int32) if n_o * n_p <= CELLS else None
+    ends, at = np.cumsum(many), 0
+    while at < len(o):
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS, "right")))
+        of, place = _spread(first[at:stop], many[at:stop])
+        codes = o[at:stop][of] * n_p + p[place]
+        if table is None:
+            yield np.unique(codes, return_counts=True)
+        else:
+            np.add.at(table, codes, 1)
+        at = stop
+    if table is not None:
+        codes = np.flatnonzero(table)
+        yield codes, table[codes]
 
 
 def _if_small(df: DataFrame) -> DataFrame:
@@ -181,15 +214,20 @@ def _if_small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= SMALL else df
 
 
-#: Part v of the dot product of sentence s of text d (original) and sentence t of text e (translation) of a unit.
-DOTS = "uid bigint, d int, s int, e int, t int, v double"
+#: A sentence of an original and one of a translation that renders it.
+PAIR = "original_id bigint, o_start int, passage_id string, p_start int, score double"
 
 
 class Gram:
-    """Word cosines of all languages, found by the word of the original."""
-
-    def __init__(self, rows: pd.DataFrame):
-        self.langs = {x: k for k, x in enumerate(sorted(set(rows["lang"])))}
+    """Word cosines of all languages, found by the word of the original, and the squared weights of all words (lang, w, w2) of either side."""
+
+    def __init__(self, rows: pd.DataFrame, of_originals: pd.DataFrame, of_translations: pd.DataFrame):
+        self.langs = {x: k for k, x in enumerate(sorted(set(of_originals["lang"]) | set(of_translations["lang"])))}
+        self.w2 = []
+        for words in (of_originals, of_translations):
+            codes = self.codes(words["lang"].map(self.langs).to_numpy(np.int64), words["w"].to_numpy())
+            order = np.argsort(codes)
+            self.w2.append((codes[order], words["w2"].to_numpy(np.float64)[order]))
         lang = rows["lang"].map(self.langs).to_numpy(np.int64)
         ow, pw, g = self.codes(lang, rows["ow"].to_numpy()), self.codes(lang, rows["pw"].to_numpy()), rows["g"].to_numpy(np.float64)
         self.pw, partner = np.unique(pw, return_inverse=True)
@@ -216,35 +254,90 @@ def _spread(first: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return of, np.arange(len(of)) + np.repeat(first - np.concatenate([[0], np.cumsum(many)[:-1]]), many)
 
 
-def _dots(pdf: pd.DataFrame, gram: Gram) -> pd.DataFrame:
-    """Dot products of the sentences of some units, over all word pairs that meet in a unit."""
-    sents, words = {"o": [], "p": []}, {"o": [], "p": []}
-    for k, (lang, docs) in enumerate(zip(pdf["lang"], pdf["docs"])):
-        if lang in gram.langs:
-            for d, doc in enumerate(docs):
-                for s, ws in enumerate(doc["words"]):
-                    sents[doc["side"]].append((k, d, s))
-                    words[doc["side"]].append(Gram.codes(gram.langs[lang], ws))
-    if not sents["o"] or not sents["p"]:
-        return pd.DataFrame({c: [] for c in ("uid", "d", "s", "e", "t", "v")})
-    o, p = (np.array(sents[x], np.int64) for x in "op")
-    so, sp = (np.repeat(np.arange(len(words[x])), [len(w) for w in words[x]]) for x in "op")
-    at, known = _places(gram.ow, np.concatenate(words["o"]))
-    at, so = at[known], so[known]
-    pat, known = _places(gram.pw, np.concatenate(words["p"]))
-    pat, sp = pat[known], sp[known]
+def _sums(laid: Laid, langs: np.ndarray, gram: Gram, low: int, high: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the units from low to high: norms of their sentences, and the dot products (sentence of the original, of the translation, v) over all word pairs that meet in a unit."""
+    s0, s1 = np.searchsorted(laid.unit, [low, high])
+    w0, w1 = np.searchsorted(laid.sentence, [s0, s1])
+    sentence = laid.sentence[w0:w1]
+    unit = laid.unit[sentence]
+    codes, original = Gram.codes(langs[unit], laid.words[w0:w1]), laid.original[sentence]
+    norms = np.zeros(s1 - s0)
+    for (known, w2), side in zip(gram.w2, (original, ~original)):
+        at, there = _places(known, codes[side])
+        norms += np.bincount(sentence[side] - s0, np.where(there, w2[at], 0.0), s1 - s0)
+    if not len(gram.ow):
+        return norms, *(np.zeros(0, np.int64),) * 2, np.zeros(0)
+    at, there = _places(gram.ow, codes[original])
+    at, so, uo = at[there], sentence[original][there], unit[original][there]
+    pat, there = _places(gram.pw, codes[~original])
+    sp = sentence[~original][there]
     # words of the translation by unit and number; every partner of a word of the original is looked up there
-    code = p[sp, 0] * len(gram.pw) + pat
+    code = unit[~original][there] * len(gram.pw) + pat[there]
     order = np.argsort(code, kind="stable")
     code, sp = code[order], sp[order]
     token, place = _spread(gram.first[at], gram.many[at])
-    wanted = o[so[token], 0] * len(gram.pw) + gram.partner[place]
+    wanted = uo[token] * len(gram.pw) + gram.partner[place]
     lo = np.searchsorted(code, wanted, "left")
     pair, other = _spread(lo, np.searchsorted(code, wanted, "right") - lo)
-    both, where = np.unique(so[token[pair]] * len(p) + sp[other], return_inverse=True)
-    a, b = o[both // len(p)], p[both % len(p)]
-    v = np.bincount(where, weights=gram.g[place[pair]], minlength=len(both))
-    return pd.DataFrame({"uid": pdf["uid"].to_numpy()[a[:, 0]], "d": a[:, 1], "s": a[:, 2], "e": b[:, 1], "t": b[:, 2], "v": v})
+    both, where = np.unique((so[token[pair]] - s0) * (s1 - s0) + sp[other] - s0, return_inverse=True)
+    return norms, both // max(1, s1 - s0), both % max(1, s1 - s0), np.bincount(where, weights=gram.g[place[pair]], minlength=len(both))
+
+
+def _looked_up(batches: Iterator[pa.RecordBatch], gram: Gram) -> Iterator[pa.RecordBatch]:
+    """Units -> pairs of sentences, with all word cosines at hand."""
+    for batch in batches:
+        laid = Laid(batch.column("docs"))
+        langs = np.array([gram.langs[x] for x in batch.column("lang").to_pylist()], np.int64)
+        out = []
+        for low in range(0, len(batch), CHUNK):
+            high = min(low + CHUNK, len(batch))
+            norms, a, b, v = _sums(laid, langs, gram, low, high)
+            first = np.searchsorted(laid.unit, np.arange(low, high + 1))
+            parts = np.searchsorted(a, first - first[0])
+            for k in range(high - low):
+                x, y = first[k], first[k + 1]
+                if parts[k] == parts[k + 1]:
+                    continue
+                some, zero = slice(parts[k], parts[k + 1]), x - first[0]
+                dot = dict(zip(zip((a[some] - zero).tolist(), (b[some] - zero).tolist()), v[some].tolist()))
+                owner = laid.doc[x:y].tolist()
+                n_o = int(laid.original[x:y].sum())
+                for o, p, score in _best_pairs(owner, n_o, norms[zero : zero + y - x].tolist(), dot):
+                    out.append((owner[o], x + o, owner[p], x + p, score))
+        docs, places = (np.array([r[k::2][:2] for r in out], np.int64).reshape(-1, 2) for k in (0, 1))
+        ids = [laid.ids.take(pa.array(docs[:, k])) for k in (0, 1)]
+        starts = [pa.array(laid.starts[places[:, k]].astype(np.int32)) for k in (0, 1)]
+        yield pa.RecordBatch.from_arrays([ids[0].cast(pa.int64()), starts[0], ids[1], starts[1], pa.array([r[4] for r in out], pa.float64())], names=["original_id", "o_start", "passage_id", "p_start", "score"])
+
+
+def _best_pairs(owner: list[int], n_o: int, norm: list[float], dot: dict[tuple[int, int], float]) -> list[tuple[int, int, float]]:
+    """Pairs of the sentences of a unit, those of originals (n_o) in front; owner: the document of each."""
+    n_p = len(owner) - n_o
+    where = [(k + 0.5) / n_o for k in range(n_o)] + [(k + 0.5) / n_p for k in range(n_p)]  # middle of the sentence in its side
+    found = []
+    # A sentence against windows of neighbouring sentences of one text; a window that begins or ends with a sentence of no common word is never the best.
+    for (a, b), v in dot.items():
+        score = v / ((norm[a] * norm[b]) ** 0.5 or 1.0) * (1 - DRIFT * abs(where[a] - where[b]))
+        if score >= LEAST:
+            found.append((-score, (a,), (b,)))
+        for k in range(1, MERGE):
+            if (a + k, b) in dot and owner[a] == owner[a + k]:
+                total, norms = sum(dot.get((x, b), 0.0) for x in range(a, a + k + 1)), sum(norm[a : a + k + 1])
+                score = total / ((norms * norm[b]) ** 0.5 or 1.0) * (1 - DRIFT * abs((where[a] + where[a + k]) / 2 - where[b])) / GAIN**k
+                if score >= LEAST:
+                    found.append((-score, tuple(range(a, a + k + 1)), (b,)))
+            if (a, b + k) in dot and owner[b] == owner[b + k]:
+                total, norms = sum(dot.get((a, x), 0.0) for x in range(b, b + k + 1)), sum(norm[b : b + k + 1])
+                score = total / ((norm[a] * norms) ** 0.5 or 1.0) * (1 - DRIFT * abs(where[a] - (where[b] + where[b + k]) / 2)) / GAIN**k
+                if score >= LEAST:
+                    found.append((-score, (a,), tuple(range(b, b + k + 1))))
+    used: set[int] = set()
+    out = []
+    for score, o, p in sorted(found):  # the best pair of what is left is each other's best
+        if used.isdisjoint(o) and used.isdisjoint(p):
+            used.update(o, p)
+            out += [(k, j, -score) for k in o for j in p]
+    return out
 
 
 def _mutual_best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -252,15 +345,12 @@ def _mutual_best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         out = []
         for docs, values in zip(pdf["docs"], pdf["values"]):
-            starts, owner, number, size = [], [], {}, {"o": 0, "p": 0}
-            place: list[int] = []
+            starts, owner, number = [], [], {}
             for k, d in enumerate(docs):
                 for n, a in enumerate(d["starts"]):
                     number[k, n] = len(starts)
                     starts.append(int(a))
                     owner.append(k)
-                    place.append(size[d["side"]])
-                    size[d["side"]] += 1
             norm, dot = [0.0] * len(starts), {}
             for v in values:
                 at = number[v["d"], v["s"]]
@@ -268,29 +358,8 @@ def _mutual_best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     norm[at] = v["v"]
                 else:
                     dot[at, number[v["e"], v["t"]]] = v["v"]
-            where = [(k + 0.5) / size[docs[o]["side"]] for k, o in zip(place, owner)]  # middle of the sentence in its side
-            found = []
-            # A sentence against windows of neighbouring sentences of one text; a window that begins or ends with a sentence of no common word is never the best.
-            for (a, b), v in dot.items():
-                score = v / ((norm[a] * norm[b]) ** 0.5 or 1.0) * (1 - DRIFT * abs(where[a] - where[b]))
-                if score >= LEAST:
-                    found.append((-score, (a,), (b,)))
-                for k in range(1, MERGE):
-                    if (a + k, b) in dot and owner[a] == owner[a + k]:
-                        total, norms = sum(dot.get((x, b), 0.0) for x in range(a, a + k + 1)), sum(norm[a : a + k + 1])
-                        score = total / ((norms * norm[b]) ** 0.5 or 1.0) * (1 - DRIFT * abs((where[a] + where[a + k]) / 2 - where[b])) / GAIN**k
-                        if score >= LEAST:
-                            found.append((-score, tuple(range(a, a + k + 1)), (b,)))
-                    if (a, b + k) in dot and owner[b] == owner[b + k]:
-                        total, norms = sum(dot.get((a, x), 0.0) for x in range(b, b + k + 1)), sum(norm[b : b + k + 1])
-                        score = total / ((norm[a] * norms) ** 0.5 or 1.0) * (1 - DRIFT * abs(where[a] - (where[b] + where[b + k]) / 2)) / GAIN**k
-                        if score >= LEAST:
-                            found.append((-score, (a,), tuple(range(b, b + k + 1))))
-            used: set[int] = set()
-            for score, o, p in sorted(found):  # the best pair of what is left is each other's best
-                if used.isdisjoint(o) and used.isdisjoint(p):
-                    used.update(o, p)
-                    out += [(int(docs[owner[k]]["id"]), starts[k], docs[owner[j]]["id"], starts[j], -score) for k in o for j in p]
+            n_o = sum(docs[k]["side"] == "o" for k in owner)
+            out += [(int(docs[owner[a]]["id"]), starts[a], docs[owner[b]]["id"], starts[b], score) for a, b, score in _best_pairs(owner, n_o, norm, dot)]
         yield pd.DataFrame(out, columns=["original_id", "o_start", "passage_id", "p_start", "score"])
 
 
@@ -318,7 +387,7 @@ def align_sentences(originals: DataFrame, passages: DataFrame) -> DataFrame:
     units = docs.groupBy("uid").agg(F.max("lang").alias("lang"), F.sort_array(F.collect_list(F.struct("side", "id", "starts", "words"))).alias("docs"))
     units = written(units.filter("exists(docs, x -> x.side = 'o') and exists(docs, x -> x.side = 'p')"), "paired-units")
 
-    counted = units.select("lang", "docs").mapInPandas(_count_words, COUNTS).groupBy("kind", "lang", "a", "b").agg(F.sum("n").alias("n"))
+    counted = units.select("lang", "docs").mapInArrow(_count_words, COUNTS).groupBy("kind", "lang", "a", "b").agg(F.sum("n").alias("n"))
     counted = written(counted, "word-counts")
     n_units = counted.filter("kind = 3").select("lang", F.col("n").alias("n_units"))  # a row a language
     df_o = written(counted.filter("kind = 1").select("lang", F.col("a").alias("ow"), F.col("n").alias("df_o")).join(F.broadcast(n_units), "lang"), "words-of-originals")
@@ -335,29 +404,21 @@ def align_sentences(originals: DataFrame, passages: DataFrame) -> DataFrame:
     idf_o, idf_p = F.log(1 + F.col("n_units") / F.col("df_o")), F.log(1 + F.col("n_units") / F.col("df_p"))
     gram = written(scored.select("lang", "ow", "pw", (F.col("weight") * F.col("share") * idf_o * idf_p).alias("g")), "word-cosines")
 
+    w2_o, w2_p = small_o.select("lang", F.col("ow").alias("w"), (idf_o * idf_o).alias("w2")), small_p.select("lang", F.col("pw").alias("w"), (F.log(1 + F.col("n_p") / F.col("df_p")) ** 2).alias("w2"))
+    if max(x.count() for x in (gram, df_o, df_p)) <= SMALL:
+        of_words = spark.sparkContext.broadcast(Gram(gram.toPandas(), w2_o.toPandas(), w2_p.toPandas()))
+        return units.select("lang", "docs").mapInArrow(lambda batches: _looked_up(batches, of_words.value), PAIR)
     # Sentences: the products of their words' weights and cosines, summed by a sparse join within the unit.
     exploded = units.select("uid", "lang", F.posexplode("docs").alias("d", "doc")).select("uid", "lang", "d", "doc.side", F.posexplode("doc.words").alias("s", "ws"))
     words = exploded.select("uid", "lang", "side", F.col("d").cast("int").alias("d"), F.col("s").cast("int").alias("s"), F.explode("ws").alias("w"))
-    if gram.count() <= SMALL:
-        of_words = spark.sparkContext.broadcast(Gram(gram.toPandas()))
-
-        def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                for k in range(0, len(pdf), CHUNK):
-                    yield _dots(pdf[k : k + CHUNK], of_words.value)
-
-        dots = units.select("uid", "lang", "docs").mapInPandas(look, DOTS)
-    else:
-        ow = words.filter("side = 'o'").select("uid", "lang", "d", "s", F.col("w").alias("ow")).join(gram, ["lang", "ow"]).select("uid", "d", "s", "pw", F.col("g").cast("float").alias("g"))
-        pw = words.filter("side = 'p'").select("uid", F.col("d").alias("e"), F.col("s").alias("t"), F.col("w").alias("pw"))
-        dots = ow.join(pw, ["uid", "pw"]).groupBy("uid", "d", "s", "e", "t").agg(F.sum("g").alias("v"))
-    w2o = words.filter("side = 'o'").join(small_o.select("lang", F.col("ow").alias("w"), (idf_o * idf_o).alias("w2")), ["lang", "w"]).select("uid", "d", "s", "w2")
-    w2p = words.filter("side = 'p'").join(small_p.select("lang", F.col("pw").alias("w"), (F.log(1 + F.col("n_p") / F.col("df_p")) ** 2).alias("w2")), ["lang", "w"]).select("uid", "d", "s", "w2")
-    norms = w2o.unionByName(w2p).groupBy("uid", "d", "s").agg(F.sum("w2").alias("v"))
+    ow = words.filter("side = 'o'").select("uid", "lang", "d", "s", F.col("w").alias("ow")).join(gram, ["lang", "ow"]).select("uid", "d", "s", "pw", F.col("g").cast("float").alias("g"))
+    pw = words.filter("side = 'p'").select("uid", F.col("d").alias("e"), F.col("s").alias("t"), F.col("w").alias("pw"))
+    dots = ow.join(pw, ["uid", "pw"]).groupBy("uid", "d", "s", "e", "t").agg(F.sum("g").alias("v"))
+    norms = words.filter("side = 'o'").join(w2_o, ["lang", "w"]).unionByName(words.filter("side = 'p'").join(w2_p, ["lang", "w"])).groupBy("uid", "d", "s").agg(F.sum("w2").alias("v"))
     values = dots.unionByName(norms.select("uid", "d", "s", F.lit(-1).cast("int").alias("e"), F.lit(0).cast("int").alias("t"), "v"))
     by_unit = values.groupBy("uid").agg(F.collect_list(F.struct("d", "s", "e", "t", "v")).alias("values"))
     heads = units.select("uid", F.transform("docs", lambda x: F.struct(x["side"].alias("side"), x["id"].alias("id"), x["starts"].alias("starts"))).alias("docs"))
-    return heads.join(by_unit, "uid").drop("uid").mapInPandas(_mutual_best, "original_id bigint, o_start int, passage_id string, p_start int, score double")
+    return heads.join(by_unit, "uid").drop("uid").mapInPandas(_mutual_best, PAIR)
 
 
 def translated_units(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
