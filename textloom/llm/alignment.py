@@ -299,7 +299,7 @@ def _looked_up(batches: Iterator[pa.RecordBatch], gram: Gram) -> Iterator[pa.Rec
                 if parts[k] == parts[k + 1]:
                     continue
                 some, zero = slice(parts[k], parts[k + 1]), x - first[0]
-                dot = dict(zip(zip((a[some] - zero).tolist(), (b[some] - zero).tolist()), v[some].tolist()))
+                dot = dict(zip(((a[some] - zero) * (y - x) + b[some] - zero).tolist(), v[some].tolist()))
                 owner = laid.doc[x:y].tolist()
                 n_o = int(laid.original[x:y].sum())
                 for o, p, score in _best_pairs(owner, n_o, norms[zero : zero + y - x].tolist(), dot):
@@ -310,25 +310,38 @@ def _looked_up(batches: Iterator[pa.RecordBatch], gram: Gram) -> Iterator[pa.Rec
         yield pa.RecordBatch.from_arrays([ids[0].cast(pa.int64()), starts[0], ids[1], starts[1], pa.array([r[4] for r in out], pa.float64())], names=["original_id", "o_start", "passage_id", "p_start", "score"])
 
 
-def _best_pairs(owner: list[int], n_o: int, norm: list[float], dot: dict[tuple[int, int], float]) -> list[tuple[int, int, float]]:
-    """Pairs of the sentences of a unit, those of originals (n_o) in front; owner: the document of each."""
-    n_p = len(owner) - n_o
+def _best_pairs(owner: list[int], n_o: int, norm: list[float], dot: dict[int, float]) -> list[tuple[int, int, float]]:
+    """Pairs of the sentences of a unit, those of originals (n_o) in front; owner: the document of each; dot of a and b by a * len(owner) + b."""
+    n, n_p = len(owner), len(owner) - n_o
     where = [(k + 0.5) / n_o for k in range(n_o)] + [(k + 0.5) / n_p for k in range(n_p)]  # middle of the sentence in its side
     found = []
     # A sentence against windows of neighbouring sentences of one text; a window that begins or ends with a sentence of no common word is never the best.
-    for (a, b), v in dot.items():
-        score = v / ((norm[a] * norm[b]) ** 0.5 or 1.0) * (1 - DRIFT * abs(where[a] - where[b]))
+    for code, v in dot.items():
+        a, b = divmod(code, n)
+        at, to = where[a], where[b]
+        score = v / ((norm[a] * norm[b]) ** 0.5 or 1.0) * (1 - DRIFT * abs(at - to))
         if score >= LEAST:
             found.append((-score, (a,), (b,)))
+        total, norms = v, norm[a]
         for k in range(1, MERGE):
-            if (a + k, b) in dot and owner[a] == owner[a + k]:
-                total, norms = sum(dot.get((x, b), 0.0) for x in range(a, a + k + 1)), sum(norm[a : a + k + 1])
-                score = total / ((norms * norm[b]) ** 0.5 or 1.0) * (1 - DRIFT * abs((where[a] + where[a + k]) / 2 - where[b])) / GAIN**k
+            if a + k >= n_o or owner[a + k] != owner[a]:
+                break
+            norms += norm[a + k]
+            part = dot.get(code + k * n)
+            if part is not None:
+                total += part
+                score = total / ((norms * norm[b]) ** 0.5 or 1.0) * (1 - DRIFT * abs((at + where[a + k]) / 2 - to)) / GAIN**k
                 if score >= LEAST:
                     found.append((-score, tuple(range(a, a + k + 1)), (b,)))
-            if (a, b + k) in dot and owner[b] == owner[b + k]:
-                total, norms = sum(dot.get((a, x), 0.0) for x in range(b, b + k + 1)), sum(norm[b : b + k + 1])
-                score = total / ((norm[a] * norms) ** 0.5 or 1.0) * (1 - DRIFT * abs(where[a] - (where[b] + where[b + k]) / 2)) / GAIN**k
+        total, norms = v, norm[b]
+        for k in range(1, MERGE):
+            if b + k >= n or owner[b + k] != owner[b]:
+                break
+            norms += norm[b + k]
+            part = dot.get(code + k)
+            if part is not None:
+                total += part
+                score = total / ((norm[a] * norms) ** 0.5 or 1.0) * (1 - DRIFT * abs(at - (to + where[b + k]) / 2)) / GAIN**k
                 if score >= LEAST:
                     found.append((-score, (a,), tuple(range(b, b + k + 1))))
     used: set[int] = set()
@@ -357,7 +370,7 @@ def _mutual_best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 if v["e"] < 0:
                     norm[at] = v["v"]
                 else:
-                    dot[at, number[v["e"], v["t"]]] = v["v"]
+                    dot[at * len(starts) + number[v["e"], v["t"]]] = v["v"]
             n_o = sum(docs[k]["side"] == "o" for k in owner)
             out += [(int(docs[owner[a]]["id"]), starts[a], docs[owner[b]]["id"], starts[b], score) for a, b, score in _best_pairs(owner, n_o, norm, dot)]
         yield pd.DataFrame(out, columns=["original_id", "o_start", "passage_id", "p_start", "score"])

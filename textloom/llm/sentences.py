@@ -47,6 +47,7 @@ _QUOTE = "".join(a + b for a, b in PAIRS)
 _FULL = "。！？｡!?׃।|"
 # Only these characters can begin an event, each by itself (of a run of like marks the last); what a dot means is looked up in the word in front of it.
 EVENT = re.compile(rf"(?P<verse>॥)|(?P<quote>[{_QUOTE}])|(?P<dot>[.．])|(?P<full>[{_FULL}](?![{_FULL}]))|(?P<semi>[;\u037e])|(?P<line>\n)|(?P<wide>　(?!　))|(?P<part>[也矣焉哉耳乎])")
+_ABBREVIATED = tuple(ABBREVIATIONS)
 _SHORT = {re.sub(rf"[{INVISIBLE}]", "", f) for a in ABBREVIATIONS for w in a.split(" ") for f in (w, unicodedata.normalize("NFD", w))}
 _BEFORE_NUMBER = {"no.", "vol.", "pp.", "p.", "ch.", "fol."}  # abbreviations only in front of a number
 _INITIAL = re.compile(r"(?:[A-Za-zΑ-Ωα-ωἀ-ὧ][̀-ͯ]?|[A-Z]h)\.")
@@ -181,7 +182,7 @@ def layout(text: str) -> str:
     else:
         how = "p"
     if how == "m":
-        starts = [m for m in _AFTER.finditer(text) if not any(text.endswith(a, max(0, m.start() - 10), m.start() + 1) for a in ABBREVIATIONS)]
+        starts = [m for m in _AFTER.finditer(text) if not text.endswith(_ABBREVIATED, max(0, m.start() - 10), m.start() + 1)]
         first = _LETTER.search(text)
         low = sum(m.group(1).islower() for m in starts)
         if low > len(starts) - low or (low and first and (first.group().islower() or "Ͱ" <= first.group() <= "Ͽ")):
